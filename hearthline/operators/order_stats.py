@@ -96,13 +96,13 @@ def average_rank(before: Column, n: Column) -> Column:
     return before + (n + 1) / 2.0
 
 
-def with_rank(
-    df: DataFrame, keys: list[str], value: str, out: str, method: str = "average", bounded: bool = False
+def with_ranks(
+    df: DataFrame, keys: list[str], value: str, outs: dict[str, str], bounded: bool = False
 ) -> DataFrame:
-    """Rows with a non-NULL value plus their ascending rank within the group.
+    """Rows with a non-NULL value plus ranks within the group: output name -> method.
 
-    ``method``: ``average``, ``min``, ``descending`` (average, largest first), or
-    ``pct`` (average rank as a percentage).
+    Methods: ``average`` and ``min`` (ascending), ``descending`` (average, largest
+    first), ``pct`` (average rank as a percentage of the group).
     """
     if bounded:
         group = Window.partitionBy(*keys)
@@ -112,16 +112,25 @@ def with_rank(
         total = F.count(F.lit(1)).over(group)
     else:
         before, n, total = F.col("before"), F.col("n"), F.col("total")
-    rank = {
-        "average": average_rank(before, n),
+    average = average_rank(before, n)
+    methods = {
+        "average": average,
         "min": before + 1,
-        "descending": total + 1 - average_rank(before, n),
-        "pct": average_rank(before, n) / total * 100.0,
-    }[method]
+        "descending": total + 1 - average,
+        "pct": average / total * 100.0,
+    }
+    ranks = {out: methods[method] for out, method in outs.items()}
     if bounded:
-        return df.where(F.col(value).isNotNull()).withColumn(out, rank)
-    ranks = ordered_histogram(df, keys, value).select(*keys, value, rank.alias(out))
-    return df.join(ranks, [*keys, value]).select(*df.columns, out)
+        return df.where(F.col(value).isNotNull()).withColumns(ranks)
+    table = ordered_histogram(df, keys, value).select(*keys, value, *[r.alias(out) for out, r in ranks.items()])
+    return df.join(table, [*keys, value]).select(*df.columns, *ranks)
+
+
+def with_rank(
+    df: DataFrame, keys: list[str], value: str, out: str, method: str = "average", bounded: bool = False
+) -> DataFrame:
+    """``with_ranks`` for a single rank column."""
+    return with_ranks(df, keys, value, {out: method}, bounded)
 
 
 def quantiles(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline import params as P
 from hearthline.functions import columns as C
+from hearthline.operators.joins import year_pairs
 from hearthline.operators.order_stats import quantiles
+from hearthline.operators.windows import recent_years
 
 
 def annual_station_sums(daily: DataFrame, measures: dict[str, Column], min_days: int) -> DataFrame:
@@ -243,18 +245,15 @@ def baseline_ratios(households: DataFrame) -> DataFrame:
     ratio = lambda bsum, bn, total, n: F.when(
         F.try_divide(total, n) > 0, F.try_divide(F.try_divide(bsum, bn), F.try_divide(total, n))
     )
-    # The reduced table has one row per division; its grand total is one row.
-    national = reduced.groupBy().agg(
-        F.coalesce(
-            F.when(
-                F.sum("n_match") > 0, ratio(F.sum("_bsum"), F.sum("_bn"), F.sum("_sum"), F.sum("_n"))
-            ),
-            F.lit(1.0),
-        ).alias("_national")
+    # One row per division, so the window over all of them is tiny.
+    everywhere = Window.partitionBy()
+    total = lambda c: F.sum(c).over(everywhere)
+    national = F.when(
+        total("n_match") > 0, ratio(total("_bsum"), total("_bn"), total("_sum"), total("_n"))
     )
     enough = F.col("n_match") >= P.MIN_BASELINE_MATCHES
     local = F.coalesce(ratio(F.col("_bsum"), F.col("_bn"), F.col("_sum"), F.col("_n")), F.lit(1.0))
-    return reduced.join(national).select(
+    return reduced.withColumn("_national", F.coalesce(national, F.lit(1.0))).select(
         "census_division", "n_match", F.when(enough, local).otherwise(F.col("_national")).alias("norm_factor")
     )
 
@@ -338,54 +337,32 @@ def pct_of_total(rows: DataFrame, is_total: Column) -> DataFrame:
     )
 
 
-def year_values(panel: DataFrame, value: str, first: int, last: int) -> DataFrame:
-    """Each unit's mean value per year as one map column ``_by_year``."""
-    yearly = (
-        panel.where(F.col("year").between(first, last) & F.col(value).isNotNull())
-        .groupBy("fips", "year")
-        .agg(F.avg(value).alias("_v"))
-    )
-    return yearly.groupBy("fips").agg(
-        F.map_from_entries(F.collect_list(F.struct("year", "_v"))).alias("_by_year")
-    )
-
-
 def volatility(panel: DataFrame, value: str, scoring_year: int, trailing: int = 5) -> DataFrame:
     """Sample deviation of yearly differences over the years present anywhere.
 
     A year that a unit lacks breaks both differences around it.
     """
-    first = scoring_year - trailing
-    maps = year_values(panel, value, first, scoring_year)
-    present = (
-        panel.where(F.col("year").between(first, scoring_year) & F.col(value).isNotNull())
-        .groupBy()
-        .agg(F.array_sort(F.collect_set("year")).alias("_years"))
+    recent = panel.where(
+        F.col("year").between(scoring_year - trailing, scoring_year) & F.col(value).isNotNull()
     )
-    at = lambda year: F.try_element_at("_by_year", year)
-    steps = F.zip_with(
-        F.slice("_years", F.lit(1), F.greatest(F.size("_years") - 1, F.lit(0))),
-        F.slice("_years", F.lit(2), F.greatest(F.size("_years") - 1, F.lit(0))),
-        lambda a, b: at(b) - at(a),
+    yearly = recent.groupBy("fips", "year").agg(F.avg(value).alias("_v"))
+    following = yearly.select("fips", F.col("year").alias("next_year"), F.col("_v").alias("_next"))
+    steps = yearly.join(year_pairs(yearly), "year").join(following, ["fips", "next_year"])
+    return (
+        steps.groupBy("fips")
+        .agg(F.stddev_samp(F.col("_next") - F.col("_v")).alias("volatility"))
+        .where(F.col("volatility").isNotNull())
     )
-    # At most ``trailing`` differences per unit.
-    exploded = maps.join(present).select("fips", F.explode(steps).alias("_step"))
-    return exploded.groupBy("fips").agg(F.stddev_samp("_step").alias("volatility")).where(F.col("volatility").isNotNull())
 
 
 def growth_rate(panel: DataFrame, value: str) -> DataFrame:
     """Relative change between the last two years that occur in the table."""
     yearly = panel.where(F.col(value).isNotNull()).groupBy("fips", "year").agg(F.avg(value).alias("_v"))
-    years = yearly.select("year").distinct()
-    last = years.groupBy().agg(F.slice(F.reverse(F.array_sort(F.collect_set("year"))), 1, 2).alias("_last"))
-    newest, previous = F.get("_last", F.lit(0)), F.get("_last", F.lit(1))
-    both = yearly.join(last).groupBy("fips").agg(
-        F.max(F.when(F.col("year") == newest, F.col("_v"))).alias("_new"),
-        F.max(F.when(F.col("year") == previous, F.col("_v"))).alias("_old"),
-    )
-    return both.select(
-        "fips", F.try_divide(F.col("_new") - F.col("_old"), F.col("_old")).alias("growth")
-    ).where(F.col("growth").isNotNull())
+    both = recent_years(yearly, 2).groupBy("fips").agg(
+        F.max_by("_v", "year").alias("_new"), F.min_by("_v", "year").alias("_old"), F.count(F.lit(1)).alias("_n")
+    )
+    growth = F.try_divide(F.col("_new") - F.col("_old"), F.col("_old"))
+    return both.where(F.col("_n") == 2).select("fips", growth.alias("growth")).where(F.col("growth").isNotNull())
 
 
 def acceleration_distribution(accel: DataFrame, keys: list[str], low: float, high: float, bounded: bool = False) -> DataFrame:
