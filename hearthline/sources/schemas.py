@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, DoubleType, IntegerType, StringType, StructField, StructType
 
+_TYPES = {"string": StringType(), "double": DoubleType(), "int": IntegerType(), "date": DateType()}
 
-def _schema(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
+
+def _schema(columns: str) -> StructType:
+    """Struct of ``name type`` pairs; needs no running session."""
+    pairs = [c.split() for c in columns.split(",")]
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 DAILY_OBS = _schema(
