@@ -8,7 +8,7 @@ def catalog() -> dict:
     from hearthline.bindings import registry
 
     for module in (
-        "flow",
+        "flow", "scoring", "sensitivity", "validating",
         # modules are added here
     ):
         __import__(f"hearthline.bindings.{module}")

@@ -11,7 +11,7 @@ from hearthline import params as P
 from hearthline.operators import rollups, stats, windows
 from hearthline.operators.order_stats import quantiles, with_ranks
 from hearthline.plans import index as I
-from hearthline.storage import is_bounded, materialize
+from hearthline.storage import materialize
 
 UNIT = I.UNIT
 
@@ -27,6 +27,8 @@ def compare_rankings(
     shared = alternatives.select("scenario", "fips", F.col("index_score").alias("y")).join(
         primary.select("fips", F.col("index_score").alias("x")), "fips"
     )
+    # Both rankings, the shifts and tau read these rows.
+    shared = materialize(shared, "rankings")
     ranked = with_ranks(shared, ["scenario"], "x", {"primary_rank": "min", "_rx": "average"}, bounded)
     ranked = with_ranks(ranked, ["scenario"], "y", {"alt_rank": "min", "_ry": "average"}, bounded)
     shift = ranked.withColumn("shift", F.abs(F.col("alt_rank") - F.col("primary_rank")))
