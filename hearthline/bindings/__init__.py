@@ -8,8 +8,7 @@ def catalog() -> dict:
     from hearthline.bindings import registry
 
     for module in (
-        "flow", "scoring", "sensitivity", "validating",
-        # modules are added here
+        "flow", "scoring", "sensitivity", "validating", "sources", "cleaning", "joining", "aggregating",
     ):
         __import__(f"hearthline.bindings.{module}")
     return registry.QUERIES

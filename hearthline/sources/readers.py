@@ -193,15 +193,15 @@ def recs_households(spark: SparkSession, path: str, vintage: int = 2020) -> Data
 # --- census JSON ----------------------------------------------------------------
 
 
-def _array_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of array-of-arrays JSON documents: ``path``, ``header``, ``cells``.
+def _array_rows(spark: SparkSession, path: str, lines: bool) -> DataFrame:
+    """Rows of array-of-arrays JSON documents: ``header`` and ``cells``.
 
-    Each line or file holds one response whose first row names the columns.
+    A document is one response, whose first row names the columns.  It is a
+    whole file, or with ``lines`` one line, which lets Spark split the input.
     """
-    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    parsed = text.select("path", F.from_json("value", "array<array<string>>").alias("rows"))
+    text = spark.read.text(path, wholetext=not lines)
+    parsed = text.select(F.from_json("value", "array<array<string>>").alias("rows"))
     return parsed.select(
-        "path",
         F.element_at("rows", 1).alias("header"),
         F.explode(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))).alias("cells"),
     )
@@ -226,9 +226,9 @@ def _census_number(name: str) -> Column:
     return C.null_if_in(C.to_number(_cell(name)), [P.CENSUS_SUPPRESSED])
 
 
-def acs_counties(spark: SparkSession, path: str, year: int) -> DataFrame:
+def acs_counties(spark: SparkSession, path: str, year: int, lines: bool = False) -> DataFrame:
     """County rows of one census vintage."""
-    rows = _array_rows(spark, path)
+    rows = _array_rows(spark, path, lines)
     return rows.select(
         C.compose_fips(_cell("state"), _cell("county")).alias("fips"),
         F.lit(year).alias("year"),
@@ -236,9 +236,9 @@ def acs_counties(spark: SparkSession, path: str, year: int) -> DataFrame:
     )
 
 
-def acs_block_groups(spark: SparkSession, path: str) -> DataFrame:
+def acs_block_groups(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Block-group housing units."""
-    rows = _array_rows(spark, path)
+    rows = _array_rows(spark, path, lines)
     state, county = C.zero_pad(_cell("state"), 2), C.zero_pad(_cell("county"), 3)
     return rows.select(
         C.block_group_id(_cell("state"), _cell("county"), _cell("tract"), _cell("block group")).alias("block_group_fips"),
