@@ -8,7 +8,7 @@ def catalog() -> dict:
     from hearthline.bindings import registry
 
     for module in (
-        "flow", "scoring", "sensitivity", "validating", "sources", "cleaning", "joining", "aggregating",
+        "flow", "scoring", "sensitivity", "validating", "sources", "cleaning", "joining", "aggregating", "places",
     ):
         __import__(f"hearthline.bindings.{module}")
     return registry.QUERIES
