@@ -11,6 +11,7 @@ from hearthline.functions import columns as C
 from hearthline.operators import rollups, stats, windows
 from hearthline.operators.order_stats import quantiles, with_rank
 from hearthline.plans import index as I
+from hearthline.storage import materialize
 
 YEAR = T.SCORING_YEAR
 _PLACE = I.precedence()
@@ -55,7 +56,8 @@ def steps(upto: str, *roles: str, recursive: bool = False) -> str:
 
 
 def current(spark, d):
-    return I.with_scenario(T.panel(spark, d).where(F.col("year") == YEAR))
+    """Scoring-year slice, stored as the harmonized panel would be."""
+    return materialize(I.with_scenario(T.panel(spark, d).where(F.col("year") == YEAR)), "current")
 
 
 def centered(spark, d, bounded: bool = False):

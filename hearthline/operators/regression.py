@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.operators.stats import pearson
+from hearthline.storage import materialize
 
 
 def two_way_fixed_effects(
@@ -21,6 +22,8 @@ def two_way_fixed_effects(
     """
     rows = panel.where(~F.col(is_break)) if is_break else panel
     rows = rows.select(F.col(unit).cast("string").alias("_u"), F.col(time).cast("string").alias("_t"), y, *xs).dropna()
+    # The indexers and the fit each read the rows.
+    rows = materialize(rows, "regression")
     for column in ("_u", "_t"):
         indexer = StringIndexer(inputCol=column, outputCol=f"{column}_i", stringOrderType="alphabetAsc").fit(rows)
         rows = indexer.transform(rows)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from hearthline import params as P
 from hearthline.functions import geometry as G
+from hearthline.storage import materialize
 
 
 def repair_or_drop(polygons: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def nearest_polygon(
     # The last radius spans any distance in the projected plane.
     radii = [limit_m] if limit_m else [first_m, first_m * 8, first_m * 64, first_m * 512]
     found = []
-    for radius in radii:
+    for step, radius in enumerate(radii):
         cells = _covering(planar, radius, margin=radius)
         placed = waiting.withColumns({"_cx": _cell(F.col("_x"), radius), "_cy": _cell(F.col("_y"), radius)})
         reached = (
@@ -83,8 +84,12 @@ def nearest_polygon(
             .agg(F.min(F.struct("distance_m", polygon_id)).alias("_best"))
             .select(point_id, f"_best.{polygon_id}", "_best.distance_m")
         )
+        # Stored, because the next step and the result both read it.
+        reached = materialize(reached, f"nearest{step}") if len(radii) > 1 else reached
         found.append(reached)
         waiting = waiting.join(reached.select(point_id), point_id, "left_anti")
+        if step + 1 < len(radii) and waiting.isEmpty():
+            break
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
@@ -93,7 +98,7 @@ def locate_points(
     limit_m: float | None = None, size: float = 0.5,
 ) -> DataFrame:
     """Containing polygon of each point, else the nearest one (within ``limit_m``)."""
-    inside = point_in_polygon(points, polygons, point_id, polygon_id, size)
+    inside = materialize(point_in_polygon(points, polygons, point_id, polygon_id, size), "inside")
     outside = points.join(inside.select(point_id), point_id, "left_anti")
     nearest = nearest_polygon(outside, polygons, point_id, polygon_id, limit_m)
     return inside.unionByName(nearest.select(point_id, polygon_id))

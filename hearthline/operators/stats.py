@@ -4,6 +4,8 @@ Rank-pair statistics (Kendall, distance correlation) are defined over all pairs
 of rows.  They are computed here in n log n rows: the x order is split by the
 bits of its position, so that every ordered pair meets in exactly one block,
 and inside a block running sums along y replace the pairs.
+
+``bounded`` left at None stores the rows once and counts them (see ``storage``).
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.operators.order_stats import ordered_histogram, running_totals, with_rank
+from hearthline.storage import materialize, measured
 
 
 def pearson(x: str, y: str) -> Column:
@@ -58,18 +61,22 @@ def full_matrix(pairs: DataFrame, keys: list[str], components: list[str]) -> Dat
     )
 
 
-def spearman(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool = False) -> DataFrame:
+def spearman(
+    df: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool | None = None
+) -> DataFrame:
     """Rank correlation of two columns per group, ranked on complete rows: ``r``, ``n``."""
     complete = df.select(*keys, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    complete, bounded = measured(complete, "ranked", bounded)
     ranked = with_rank(with_rank(complete, keys, x, "_rx", bounded=bounded), keys, y, "_ry", bounded=bounded)
     return ranked.groupBy(*keys).agg(pearson("_rx", "_ry").alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def pearson_and_spearman(
-    df: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool = False
+    df: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool | None = None
 ) -> DataFrame:
     """Both correlations over complete rows: ``pearson_r``, ``spearman_r``, ``n``."""
     complete = df.select(*keys, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    complete, bounded = measured(complete, "ranked", bounded)
     ranked = with_rank(with_rank(complete, keys, x, "_rx", bounded=bounded), keys, y, "_ry", bounded=bounded)
     return ranked.groupBy(*keys).agg(
         pearson(x, y).alias("pearson_r"), pearson("_rx", "_ry").alias("spearman_r"), F.count(F.lit(1)).alias("n")
@@ -86,27 +93,39 @@ def _blocks(cells: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _coded(df: DataFrame, keys: list[str], x: str, y: str, bounded: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Distinct (x, y) cells with counts and order codes, and both histograms."""
+def _row_distance_sum(value: str) -> Column:
+    """Sum of |value - other| over the group, from histogram columns."""
+    v, n = F.col(value), F.col("n")
+    below = v * F.col("before") - F.col("sum_before")
+    above = F.col("sum_total") - F.col("sum_before") - n * v - v * (F.col("total") - F.col("before") - n)
+    return below + above
+
+
+def _coded(
+    df: DataFrame, keys: list[str], x: str, y: str, bounded: bool | None
+) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """Distinct (x, y) cells, stored, and both histograms.
+
+    A cell has its count ``n``, order codes ``xcode`` and ``ycode``, the group
+    ``total``, and the distance sums ``ax`` and ``by`` of its values.
+    """
     complete = df.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).where(
         F.col(x).isNotNull() & F.col(y).isNotNull()
     )
+    complete, bounded = measured(complete, "complete", bounded)
     hist_x = ordered_histogram(complete, keys, "x", sums=True, bounded=bounded)
     hist_y = ordered_histogram(complete, keys, "y", sums=True, bounded=bounded)
-    cells = (
-        complete.groupBy(*keys, "x", "y")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(hist_x.select(*keys, "x", F.col("before").alias("xcode"), "total"), [*keys, "x"])
-        .join(hist_y.select(*keys, "y", F.col("before").alias("ycode")), [*keys, "y"])
-    )
-    return cells, hist_x, hist_y
+    of_x = hist_x.select(*keys, "x", F.col("before").alias("xcode"), "total", _row_distance_sum("x").alias("ax"))
+    of_y = hist_y.select(*keys, "y", F.col("before").alias("ycode"), _row_distance_sum("y").alias("by"))
+    cells = complete.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("n")).join(of_x, [*keys, "x"]).join(of_y, [*keys, "y"])
+    return materialize(cells, "cells"), hist_x, hist_y, bounded
 
 
 def kendall_tau_b(
-    df: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool = False
+    df: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool | None = None
 ) -> DataFrame:
     """Kendall's tau-b per group: keys, ``tau``."""
-    cells, hist_x, hist_y = _coded(df, keys, x, y, bounded)
+    cells, hist_x, hist_y, bounded = _coded(df, keys, x, y, bounded)
     block = [*keys, "level", "prefix"]
     columns = _blocks(cells, keys).groupBy(*block, "ycode").agg(
         F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("lower"),
@@ -131,19 +150,11 @@ def kendall_tau_b(
     )
 
 
-def _row_distance_sum(value: str) -> Column:
-    """Sum of |value - other| over the group, from histogram columns."""
-    v, n = F.col(value), F.col("n")
-    below = v * F.col("before") - F.col("sum_before")
-    above = F.col("sum_total") - F.col("sum_before") - n * v - v * (F.col("total") - F.col("before") - n)
-    return below + above
-
-
 def distance_correlation(
-    df: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool = False
+    df: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool | None = None
 ) -> DataFrame:
     """Biased (V-statistic) distance correlation per group: keys, ``r``."""
-    cells, hist_x, hist_y = _coded(df, keys, x, y, bounded)
+    cells, _, _, bounded = _coded(df, keys, x, y, bounded)
     block = [*keys, "level", "prefix"]
     lower = lambda c: F.sum(F.when(F.col("side") == 0, c).otherwise(0))
     upper = lambda c: F.sum(F.when(F.col("side") == 1, c).otherwise(0))
@@ -161,13 +172,10 @@ def distance_correlation(
             + F.col("un") * F.col("lxy_before")
         ).alias("concordant")
     )
-    row_sums = cells.join(
-        hist_x.select(*keys, "x", _row_distance_sum("x").alias("ax")), [*keys, "x"]
-    ).join(hist_y.select(*keys, "y", _row_distance_sum("y").alias("by")), [*keys, "y"])
     w = F.col("n")
     size = F.sum(w).cast("double")
     mean = lambda c: F.sum(w * c) / size
-    moments = row_sums.groupBy(*keys).agg(
+    moments = cells.groupBy(*keys).agg(
         size.alias("size"),
         (mean(F.col("x") * F.col("y")) - mean(F.col("x")) * mean(F.col("y"))).alias("cov"),
         (mean(F.col("x") * F.col("x")) - mean(F.col("x")) * mean(F.col("x"))).alias("vx"),

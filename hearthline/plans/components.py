@@ -13,6 +13,7 @@ from hearthline import params as P
 from hearthline.functions import columns as C
 from hearthline.functions import geometry as G
 from hearthline.operators import clean, joins, regression, rollups, spatial, windows
+from hearthline.storage import materialize
 
 
 def degree_days(daily: DataFrame, mapping: DataFrame, normals: DataFrame, min_days: int = P.MIN_DAYS_PER_YEAR) -> DataFrame:
@@ -263,15 +264,15 @@ def energy_attribution(
         padded = census.withColumn("fips", C.zero_pad(F.col("fips").cast("string"), 5))
         housing = rollups.state_rollup(padded, sums={"total_housing_units": "total_housing_units"})
     panel = household_panel(clean.clean_energy(energy), anomalies, rollups.baseline_ratios(households), housing)
-    marked = windows.structural_breaks(panel, "state_fips", "electricity_price")
+    marked = materialize(windows.structural_breaks(panel, "state_fips", "electricity_price"), "state_panel")
     breaks = marked.groupBy("state_fips").agg(
         F.count_if("is_break").cast("int").alias("structural_breaks_detected")
     )
     xs = ["hdd_anomaly", "cdd_anomaly"]
     betas = regression.two_way_fixed_effects(marked, "normalized_consumption", xs, is_break="is_break")
     # One number, like the coefficients.
-    r2 = regression.within_r2(panel, "normalized_consumption", *xs).first()[0]
-    costs = climate_costs(panel, betas, r2, breaks)
+    r2 = regression.within_r2(marked, "normalized_consumption", *xs).first()[0]
+    costs = climate_costs(marked, betas, r2, breaks)
     return joins.spread_to_counties(
         costs,
         county,

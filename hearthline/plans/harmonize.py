@@ -12,6 +12,7 @@ from hearthline.functions import columns as C
 from hearthline.operators import spatial, windows
 from hearthline.operators.clean import dedup_first
 from hearthline.operators.joins import stack_outer
+from hearthline.storage import materialize
 
 
 def merge_components(tables: dict[str, DataFrame]) -> DataFrame:
@@ -77,7 +78,10 @@ def idw_gap_fill(
     limits = max_km or P.IDW_MAX_KM
     reach = P.lookup({c: float(limits.get(c, P.IDW_MAX_KM_DEFAULT)) for c in names}, F.col("component"))
     places = dedup_first(centroids.select("fips", "lat", "lon"), ["fips"], ["lat", "lon"])
-    located = gap_candidates(panel, names).join(places, "fips").withColumn("max_km", reach)
+    # Read as queries and, several times, as sources.
+    located = materialize(
+        gap_candidates(panel, names).join(places, "fips").withColumn("max_km", reach), "located"
+    )
     keys = ["year", "component"]
     neighbours = spatial.nearest_neighbours(
         located.where(F.col("value").isNull()).drop("value"), located.where(F.col("value").isNotNull()), keys, "fips", k

@@ -268,7 +268,7 @@ def compute_index(
 
 
 def correlation_robustness(
-    centered: DataFrame, components: list[str], threshold: float = 0.6, bounded: bool = False
+    centered: DataFrame, components: list[str], threshold: float = 0.6, bounded: bool | None = None
 ) -> DataFrame:
     """Pair correlations by four methods: ``scenario, a, b, method, r, flagged``."""
     wide = to_wide(centered, components)

@@ -13,6 +13,7 @@ from hearthline.functions.pvalues import correlation_pvalue
 from hearthline.operators import rollups, stats, windows
 from hearthline.operators.joins import year_pairs
 from hearthline.operators.order_stats import quantiles
+from hearthline.storage import measured
 
 EXTERNAL_SCHEMA = (
     "indicator string, geographic_level string, pearson_r double, spearman_r double, p_value_pearson double, "
@@ -30,7 +31,9 @@ INDICATORS = (
 )
 
 
-def correlation_test(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool = False) -> DataFrame:
+def correlation_test(
+    pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool | None = None
+) -> DataFrame:
     """Pearson and Spearman with p-values per group; fewer than three rows give NULL."""
     both = stats.pearson_and_spearman(pairs, keys, x, y, bounded)
     enough = F.col("n") >= 3
@@ -45,7 +48,7 @@ def correlation_test(pairs: DataFrame, keys: list[str], x: str = "x", y: str = "
 
 
 def external_validation(
-    scored: DataFrame, panel: DataFrame | None, census: DataFrame | None, scoring_year: int, bounded: bool = False
+    scored: DataFrame, panel: DataFrame | None, census: DataFrame | None, scoring_year: int, bounded: bool | None = None
 ) -> DataFrame:
     """Six indicators against the scores; those without a source say so."""
     spark = scored.sparkSession
@@ -85,7 +88,7 @@ def external_validation(
     )
 
 
-def convergent_divergent(scored: DataFrame, benchmark: DataFrame | None, bounded: bool = False) -> DataFrame:
+def convergent_divergent(scored: DataFrame, benchmark: DataFrame | None, bounded: bool | None = None) -> DataFrame:
     """Two rows per benchmark: correlated enough, but no duplicate."""
     spark = scored.sparkSession
     targets = spark.createDataFrame(
@@ -134,7 +137,7 @@ def paired_scores(scores: DataFrame) -> DataFrame:
     )
 
 
-def rank_persistence(scores: DataFrame, bounded: bool = False) -> DataFrame:
+def rank_persistence(scores: DataFrame, bounded: bool | None = None) -> DataFrame:
     """Rank correlation of consecutive years with its interval; passes above 0.9."""
     both = stats.spearman(paired_scores(scores), ["year_pair"], bounded=bounded)
     r = F.when(F.col("n") >= 3, F.col("r"))
@@ -245,12 +248,14 @@ def _note_row(spark: SparkSession, metric: str, status: str, note: str) -> DataF
     return spark.createDataFrame([(metric, "N/A", None, None, None, status, note)], STABILITY_SCHEMA)
 
 
-def stability_report(multi_year: DataFrame, bounded: bool = False) -> DataFrame:
+def stability_report(multi_year: DataFrame, bounded: bool | None = None) -> DataFrame:
     """All stability metrics in common columns, with rows saying what was not possible."""
     spark = multi_year.sparkSession
     missing = sorted({"fips", "year", "index_score"} - set(multi_year.columns))
     if missing:
         return _note_row(spark, "all", "missing_columns", f"Missing required columns: {missing}")
+    # Every metric reads the scores.
+    multi_year, bounded = measured(multi_year, "multi_year", bounded)
     years = multi_year.select("year").distinct().count()
     if years < 2:
         return _note_row(spark, "all", "insufficient_years", f"Stability analysis requires >=2 years. Found {years}.")

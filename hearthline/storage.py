@@ -55,3 +55,9 @@ def is_bounded(stored: DataFrame, limit: int = ONE_TASK_ROWS) -> bool:
     as their ``bounded`` argument and use a distributed form when it is false.
     """
     return stored.count() <= limit
+
+
+def measured(df: DataFrame, name: str, bounded: bool | None = None) -> tuple[DataFrame, bool]:
+    """Store a table that several later steps read, and size it unless told."""
+    stored = materialize(df, name)
+    return stored, is_bounded(stored) if bounded is None else bounded
