@@ -191,7 +191,7 @@ PIXEL_SQL = """px AS (SELECT b.fips, label AS class FROM places p JOIN boxes b O
 @query("raster_polygon_join", T.with_roles("places", "boxes") + ", " + PIXEL_SQL + "\nSELECT fips, class, count(*) AS n FROM px GROUP BY ALL")
 def raster_polygon(spark, d):
     located = K.pixels_in_counties(pixels(spark, d), plane_boxes(spark, d))
-    return located.groupBy("fips", "class").agg(F.count(F.lit(1)).alias("n"))
+    return located.groupBy("fips", "class").agg(F.sum("n").alias("n"))
 
 
 FIRE_SQL = """fire AS (SELECT concat(substr(fips, 1, 2), '001') AS fips, count(*) AS fire_event_count, sum(coalesce(property_damage, 0) + coalesce(crop_damage, 0)) AS fire_damage FROM storms WHERE event_type = 'R' AND year(date) BETWEEN 1996 AND 2000 GROUP BY ALL),

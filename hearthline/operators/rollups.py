@@ -177,14 +177,11 @@ def housing_share(points: DataFrame, flag: str) -> DataFrame:
 def zonal_class_stats(pixels: DataFrame, counties: DataFrame) -> DataFrame:
     """Mean and highest hazard class and high-hazard share per county.
 
-    Only classes 1 to 5 count.  Pixels reduce to one count per county and class
-    first, so a county of any size is five rows.
+    Only classes 1 to 5 count.  Pixels (or pixel counts ``n``) reduce to one count
+    per county and class first, so a county of any size is five rows.
     """
-    counts = (
-        pixels.where(F.col("class").between(1, 5))
-        .groupBy("fips", "class")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    weight = F.sum("n") if "n" in pixels.columns else F.count(F.lit(1))
+    counts = pixels.where(F.col("class").between(1, 5)).groupBy("fips", "class").agg(weight.alias("n"))
     n = F.col("n")
     stats = counts.groupBy("fips").agg(
         (F.sum(F.col("class") * n) / F.sum(n)).alias("whp_mean"),

@@ -1,8 +1,9 @@
 """Spatial joins as equi-joins on grid cells followed by an exact test.
 
 Polygons are ring arrays (see ``functions.geometry``).  A polygon is copied to
-the grid cells its bounding box covers and joined to the cells of points or of
-other polygons; the exact predicate then removes the false candidates.
+the few grid cells its bounding box covers on a level that fits its size, and
+joined to the cells of points or other polygons; the exact predicate then
+removes the false candidates.
 """
 
 from __future__ import annotations
@@ -22,38 +23,67 @@ def repair_or_drop(polygons: DataFrame) -> DataFrame:
     return polygons.withColumn("rings", G.valid_rings(F.col("rings"))).where(F.size("rings") > 0)
 
 
-def _cell(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(float(size))).cast("long")
+# Grid levels: level e has cells of side 4**e.  A box lies on the level just
+# above its longer side, so it covers four cells at most, and a cell meets only
+# boxes of about its own size.  Dense areas of small polygons get small cells.
+DEGREES = (-9, 5)
+METRES = (0, 13)
 
 
-def _covering(polygons: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
-    """Polygon rows copied to each grid cell of their (widened) bounding box."""
-    boxed = polygons.withColumn("_box", G.bounds_of(F.col("rings")))
-    span = lambda low, high: F.sequence(
-        _cell(F.col(f"_box.{low}") - margin, size), _cell(F.col(f"_box.{high}") + margin, size)
+def _cell(value: Column, size) -> Column:
+    size = F.lit(float(size)) if isinstance(size, (int, float)) else size
+    return F.floor(value / size).cast("long")
+
+
+def _span(low: Column, high: Column, size, margin: float = 0.0) -> Column:
+    return F.explode(F.sequence(_cell(low - margin, size), _cell(high + margin, size)))
+
+
+def _boxed(polygons: DataFrame) -> DataFrame:
+    """Polygons with their box and edge list in place of the rings."""
+    return polygons.select(
+        *[c for c in polygons.columns if c != "rings"],
+        G.bounds_of(F.col("rings")).alias("_box"),
+        G.edges_of(F.col("rings")).alias("_edges"),
     )
-    return (
-        boxed.withColumn("_cx", F.explode(span("west", "east")))
-        .withColumn("_cy", F.explode(span("south", "north")))
-        .withColumn("_edges", G.edges_of(F.col("rings")))
-        .drop("rings")
+
+
+def _own_level(levels: tuple[int, int]) -> Column:
+    side = F.greatest(F.col("_box.east") - F.col("_box.west"), F.col("_box.north") - F.col("_box.south"))
+    fitting = F.ceil(F.log(F.greatest(side, F.lit(1e-12))) / F.log(F.lit(4.0)))
+    return F.least(F.lit(levels[1]), F.greatest(F.lit(levels[0]), fitting)).cast("int")
+
+
+def _side() -> Column:
+    return F.pow(F.lit(4.0), F.col("_level"))
+
+
+def _on_cells(boxed: DataFrame, size, margin: float = 0.0) -> DataFrame:
+    """Rows copied to each grid cell of their (widened) box."""
+    return boxed.withColumn("_cx", _span(F.col("_box.west"), F.col("_box.east"), size, margin)).withColumn(
+        "_cy", _span(F.col("_box.south"), F.col("_box.north"), size, margin)
     )
 
 
 def point_in_polygon(
-    points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, size: float = 0.5
+    points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, levels: tuple[int, int] = DEGREES
 ) -> DataFrame:
     """``(point_id, polygon_id)`` with the lowest polygon id of each contained point.
 
     ``points`` has ``lon`` and ``lat`` (or any x and y in the polygons' units).
+    Copies of one polygon reduce to the lowest id before the join.
     """
-    cells = _covering(polygons.select(polygon_id, "rings"), size)
-    placed = points.dropna(subset=["lat", "lon"]).select(point_id, "lon", "lat").withColumns(
-        {"_cx": _cell(F.col("lon"), size), "_cy": _cell(F.col("lat"), size)}
+    distinct = polygons.groupBy("rings").agg(F.min(polygon_id).alias(polygon_id))
+    cells = _on_cells(_boxed(distinct).withColumn("_level", _own_level(levels)), _side())
+    placed = (
+        points.dropna(subset=["lat", "lon"])
+        .select(point_id, "lon", "lat")
+        .withColumn("_level", F.explode(F.sequence(F.lit(levels[0]), F.lit(levels[1]))))
+        .withColumns({"_cx": _cell(F.col("lon"), _side()), "_cy": _cell(F.col("lat"), _side())})
     )
     x, y = F.col("lon"), F.col("lat")
     near = (x >= F.col("_box.west")) & (x <= F.col("_box.east")) & (y >= F.col("_box.south")) & (y <= F.col("_box.north"))
-    hits = placed.join(cells, ["_cx", "_cy"]).where(near).where(G.point_in(F.col("_edges"), x, y))
+    hits = placed.join(cells, ["_level", "_cx", "_cy"]).where(near).where(G.point_in(F.col("_edges"), x, y))
     return hits.groupBy(point_id).agg(F.min(polygon_id).alias(polygon_id))
 
 
@@ -69,12 +99,12 @@ def nearest_polygon(
     """
     x, y = G.albers_xy(F.col("lon"), F.col("lat"))
     waiting = points.dropna(subset=["lat", "lon"]).select(point_id, x.alias("_x"), y.alias("_y"))
-    planar = polygons.select(polygon_id, G.albers_rings(F.col("rings")).alias("rings"))
+    planar = _boxed(polygons.select(polygon_id, G.albers_rings(F.col("rings")).alias("rings")))
     # The last radius spans any distance in the projected plane.
     radii = [limit_m] if limit_m else [first_m, first_m * 8, first_m * 64, first_m * 512]
     found = []
     for step, radius in enumerate(radii):
-        cells = _covering(planar, radius, margin=radius)
+        cells = _on_cells(planar, radius, margin=radius)
         placed = waiting.withColumns({"_cx": _cell(F.col("_x"), radius), "_cy": _cell(F.col("_y"), radius)})
         reached = (
             placed.join(cells, ["_cx", "_cy"])
@@ -95,30 +125,46 @@ def nearest_polygon(
 
 def locate_points(
     points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str = "fips",
-    limit_m: float | None = None, size: float = 0.5,
+    limit_m: float | None = None,
 ) -> DataFrame:
     """Containing polygon of each point, else the nearest one (within ``limit_m``)."""
-    inside = materialize(point_in_polygon(points, polygons, point_id, polygon_id, size), "inside")
+    inside = materialize(point_in_polygon(points, polygons, point_id, polygon_id), "inside")
     outside = points.join(inside.select(point_id), point_id, "left_anti")
     nearest = nearest_polygon(outside, polygons, point_id, polygon_id, limit_m)
     return inside.unionByName(nearest.select(point_id, polygon_id))
 
 
 def polygons_touching(
-    left: DataFrame, right: DataFrame, left_id: list[str], right_id: str, size: float = 1.0
+    left: DataFrame, right: DataFrame, left_id: list[str], right_id: str, levels: tuple[int, int] = DEGREES
 ) -> DataFrame:
-    """Distinct ``(left_id..., right_id)`` of intersecting polygons."""
-    a = _covering(left.select(*left_id, "rings"), size).withColumnsRenamed({"_edges": "_ea", "_box": "_ba"})
-    b = _covering(right.select(right_id, "rings"), size).withColumnsRenamed({"_edges": "_eb", "_box": "_bb"})
-    overlap = (
-        (F.col("_ba.west") <= F.col("_bb.east")) & (F.col("_bb.west") <= F.col("_ba.east"))
-        & (F.col("_ba.south") <= F.col("_bb.north")) & (F.col("_bb.south") <= F.col("_ba.north"))
-    )
-    # Two boxes share many cells; only the first shared one carries the test.
-    corner = lambda axis, low: _cell(F.greatest(F.col(f"_ba.{low}"), F.col(f"_bb.{low}")), size) == F.col(axis)
-    once = corner("_cx", "west") & corner("_cy", "south")
-    hits = a.join(b, ["_cx", "_cy"]).where(overlap & once).where(G.polygons_intersect(F.col("_ea"), F.col("_eb")))
-    return hits.select(*left_id, right_id).distinct()
+    """Distinct ``(left_id..., right_id)`` of intersecting polygons.
+
+    A pair meets on the level of the larger polygon: the smaller one is copied
+    to the levels above its own, the larger one stays on its own level.
+    """
+    a = _boxed(left.select(*left_id, "rings")).withColumn("_own", _own_level(levels))
+    b = _boxed(right.select(right_id, "rings")).withColumn("_own", _own_level(levels))
+
+    def own(df):
+        return _on_cells(df.withColumn("_level", F.col("_own")), _side())
+
+    def above(df, first: int):
+        raised = df.withColumn("_level", F.explode(F.sequence(F.col("_own"), F.lit(levels[1]))))
+        return _on_cells(raised.where(F.col("_level") >= F.col("_own") + first), _side())
+
+    def meet(p, q):
+        p = p.withColumnsRenamed({"_edges": "_ea", "_box": "_ba"}).drop("_own")
+        q = q.withColumnsRenamed({"_edges": "_eb", "_box": "_bb"}).drop("_own")
+        overlap = (
+            (F.col("_ba.west") <= F.col("_bb.east")) & (F.col("_bb.west") <= F.col("_ba.east"))
+            & (F.col("_ba.south") <= F.col("_bb.north")) & (F.col("_bb.south") <= F.col("_ba.north"))
+        )
+        # Two boxes may share several cells; only the first shared one carries the test.
+        corner = lambda axis, low: _cell(F.greatest(F.col(f"_ba.{low}"), F.col(f"_bb.{low}")), _side()) == F.col(axis)
+        candidates = p.join(q, ["_level", "_cx", "_cy"]).where(overlap & corner("_cx", "west") & corner("_cy", "south"))
+        return candidates.where(G.polygons_intersect(F.col("_ea"), F.col("_eb"))).select(*left_id, right_id)
+
+    return meet(above(a, 0), own(b)).unionByName(meet(own(a), above(b, 1))).distinct()
 
 
 _LEVELS = 11

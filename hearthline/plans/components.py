@@ -305,7 +305,7 @@ def housing_in_high_risk(housing: DataFrame, classed: DataFrame) -> DataFrame:
     """Share of a county's housing at block-group points inside high-risk zones."""
     high = classed.where(F.col("risk_class") == "high").withColumn("zone_key", F.xxhash64("county_fips", "rings"))
     points = clean.drop_unmapped(housing, ["lat", "lon"])
-    inside = spatial.point_in_polygon(points, high, "block_group_fips", "zone_key", size=0.1)
+    inside = spatial.point_in_polygon(points, high, "block_group_fips", "zone_key")
     flagged = points.join(inside, "block_group_fips", "left").withColumn("in_high", F.col("zone_key").isNotNull())
     return rollups.housing_share(flagged, "in_high")
 
@@ -334,25 +334,25 @@ def assemble_flood(
     )
 
 
-def pixels_in_counties(pixels: DataFrame, counties: DataFrame, size: float = 25_000.0) -> DataFrame:
-    """Hazard pixels with the county that holds their centre (both in plane metres).
+def pixels_in_counties(pixels: DataFrame, counties: DataFrame) -> DataFrame:
+    """Pixels ``(fips, class, n)`` by the county that holds their centre (plane metres).
 
-    Pixels sharing a centre reduce to the counted classes before the join.
+    Equal pixels reduce to one with their count; class and count ride along in
+    the key, so the result needs no second join.
     """
-    named = pixels.withColumn("pixel", F.struct("x", "y")).select(
-        "pixel", F.col("x").alias("lon"), F.col("y").alias("lat"), "class"
-    )
-    located = spatial.point_in_polygon(named, counties, "pixel", "fips", size)
-    return named.select("pixel", "class").join(located, "pixel").select("fips", "class")
+    counted = pixels.groupBy("x", "y", "class").agg(F.count(F.lit(1)).alias("n"))
+    named = counted.select(F.struct("x", "y", "class", "n").alias("pixel"), F.col("x").alias("lon"), F.col("y").alias("lat"))
+    located = spatial.point_in_polygon(named, counties, "pixel", "fips", spatial.METRES)
+    return located.select("fips", "pixel.class", "pixel.n")
 
 
 def wildfire(
     pixels: DataFrame, counties: DataFrame, year: int, events: DataFrame | None = None, planar: bool = False,
-    size: float = 25_000.0, bounded: bool = False,
+    bounded: bool = False,
 ) -> DataFrame:
     """Static hazard of the pixels blended with recent fire activity."""
     plane = counties.select("fips", "rings" if planar else G.albers_rings(F.col("rings")).alias("rings"))
-    stats = rollups.zonal_class_stats(pixels_in_counties(pixels, plane, size), counties)
+    stats = rollups.zonal_class_stats(pixels_in_counties(pixels, plane), counties)
     static = stats.withColumn("_static", C.hazard_blend(F.col("whp_mean"), F.col("pct_high_hazard")))
     if events is None:
         joined = static.withColumns(
