@@ -32,7 +32,7 @@ STEP_SQL = {
     "pairs": """pairs AS (SELECT x.component AS a, y.component AS b, CASE WHEN var_pop(x.value) > 0 AND var_pop(y.value) > 0 THEN corr(x.value, y.value) END AS r, count(*) AS n FROM centered x JOIN reg rx ON rx.component = x.component
         JOIN centered y ON y.fips = x.fips JOIN reg ry ON ry.component = y.component WHERE rx.pos < ry.pos GROUP BY ALL)""",
     "flagged": """flagged AS (SELECT CASE WHEN ra.place <= rb.place THEN a ELSE b END AS winner, CASE WHEN ra.place <= rb.place THEN b ELSE a END AS loser, r, 1 - r * r AS raw_penalty
-        FROM pairs JOIN reg ra ON ra.component = a JOIN reg rb ON rb.component = b WHERE abs(r) > 0.6)""",
+        FROM pairs JOIN reg ra ON ra.component = a JOIN reg rb ON rb.component = b WHERE round(abs(r), 12) > 0.6)""",
     "penalties": """penalties AS (SELECT loser AS component, greatest(0.2, product(raw_penalty)) AS penalty FROM flagged GROUP BY loser)""",
     "win_points": f"""win_points AS (SELECT fips, component, year, value, span FROM panel_long JOIN reg USING (component) WHERE year BETWEEN {YEAR} - span + 1 AND {YEAR})""",
     "slopes": """slopes AS (SELECT fips, component, CASE WHEN years < 2 THEN 0 WHEN n >= greatest(2, ceil(span * 0.8)) THEN slope END AS slope FROM
@@ -368,7 +368,7 @@ _METHODS_SQL = """methods AS (SELECT a, b, 'pearson' AS method, r FROM pairs UNI
 _ROBUST = steps("pairs") + ",\n" + ",\n".join([PAIR_ROWS_SQL, SPEARMAN_SQL, DCOR_SQL, PARTIAL_SQL, _METHODS_SQL])
 
 
-@query("correlation_robustness", _ROBUST + rounded_sql("SELECT a, b, method, r, abs(r) > 0.6 AS flagged FROM methods WHERE r IS NOT NULL", "r"))
+@query("correlation_robustness", _ROBUST + rounded_sql("SELECT a, b, method, r, round(abs(r), 12) > 0.6 AS flagged FROM methods WHERE r IS NOT NULL", "r"))
 def correlation_robustness(spark, d):
     base = ready(spark, d)
     return rounded(plain(I.correlation_robustness(base.centered, T.COMPONENTS, 0.6, base.bounded)), "r")
@@ -377,7 +377,7 @@ def correlation_robustness(spark, d):
 @query(
     "correlation_discrepancies",
     _ROBUST + """
-    SELECT a, b, count(*) AS n_methods, count(*) FILTER (WHERE abs(r) > 0.15) AS n_flagged, true AS conservative_flag FROM methods
+    SELECT a, b, count(*) AS n_methods, count(*) FILTER (WHERE round(abs(r), 12) > 0.15) AS n_flagged, true AS conservative_flag FROM methods
     WHERE r IS NOT NULL GROUP BY ALL HAVING n_methods >= 2 AND n_flagged > 0 AND n_flagged < n_methods""",
 )
 def correlation_discrepancies(spark, d):

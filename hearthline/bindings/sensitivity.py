@@ -89,7 +89,7 @@ _SWEEP = (0.1, 0.2, 0.6)
     steps("scores") + chain(
         "sweep(threshold) AS (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in _SWEEP) + ")",
         """sweep_pen AS (SELECT threshold, loser AS component, greatest(0.2, product(1 - r * r)) AS penalty FROM (
-            SELECT threshold, CASE WHEN ra.place <= rb.place THEN b ELSE a END AS loser, r FROM pairs JOIN reg ra ON ra.component = a JOIN reg rb ON rb.component = b JOIN sweep ON abs(r) > threshold) GROUP BY ALL)""",
+            SELECT threshold, CASE WHEN ra.place <= rb.place THEN b ELSE a END AS loser, r FROM pairs JOIN reg ra ON ra.component = a JOIN reg rb ON rb.component = b JOIN sweep ON round(abs(r), 12) > threshold) GROUP BY ALL)""",
         """alt_parts AS (SELECT CAST(s.threshold AS VARCHAR) AS scenario, c.fips, c.value * coalesce(p.penalty, 1) * coalesce(acceleration, 1) * weight AS score
             FROM centered c CROSS JOIN sweep s JOIN reg USING (component) LEFT JOIN sweep_pen p ON p.component = c.component AND p.threshold = s.threshold LEFT JOIN accel a ON a.fips = c.fips AND a.component = c.component)""",
         _ALT_SQL, _COMPARE_SQL,
@@ -190,7 +190,7 @@ def _full_sql(variants: str) -> str:
         f"""fcent AS (SELECT scenario, fips, component, (rank() OVER ({over} ORDER BY value) + (count(*) OVER ({over}, value) - 1) / 2.0) / count(*) OVER ({over}) * 100.0 - 50.0 AS value FROM fwins SEMI JOIN fuse USING (scenario, fips))""",
         """fpairs AS (SELECT x.scenario, x.component AS a, y.component AS b, corr(x.value, y.value) AS r, rx.place AS pa, ry.place AS pb FROM fcent x JOIN reg rx ON rx.component = x.component
             JOIN fcent y ON y.scenario = x.scenario AND y.fips = x.fips JOIN reg ry ON ry.component = y.component WHERE rx.pos < ry.pos GROUP BY ALL)""",
-        """fpen AS (SELECT scenario, CASE WHEN pa <= pb THEN b ELSE a END AS component, greatest(0.2, product(1 - r * r)) AS penalty FROM fpairs WHERE abs(r) > 0.6 GROUP BY ALL)""",
+        """fpen AS (SELECT scenario, CASE WHEN pa <= pb THEN b ELSE a END AS component, greatest(0.2, product(1 - r * r)) AS penalty FROM fpairs WHERE round(abs(r), 12) > 0.6 GROUP BY ALL)""",
         f"""fpts AS (SELECT scenario, fips, component, year, value, span FROM variants JOIN reg USING (component) WHERE year BETWEEN {YEAR} - span + 1 AND {YEAR})""",
         """fslopes AS (SELECT scenario, fips, component, CASE WHEN years < 2 THEN 0 WHEN n >= greatest(2, ceil(span * 0.8)) THEN slope END AS slope FROM
             (SELECT scenario, fips, component, span, count(*) AS n FROM fpts GROUP BY ALL) JOIN (SELECT scenario, component, count(DISTINCT year) AS years FROM fpts GROUP BY ALL) USING (scenario, component)

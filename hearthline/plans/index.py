@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline import params as P
@@ -119,6 +119,11 @@ def precedence(registry=P.REGISTRY) -> dict[str, int]:
     return {c.id: i for i, c in enumerate(order)}
 
 
+def over_threshold(r: Column, threshold: Column | float) -> Column:
+    """Strictly above in absolute value; summation noise around an equal value does not count."""
+    return F.round(F.abs(r), 12) > threshold
+
+
 def flagged_pairs(
     pairs: DataFrame, threshold: float, alternatives: DataFrame | None = None, registry=P.REGISTRY
 ) -> DataFrame:
@@ -128,10 +133,10 @@ def flagged_pairs(
     also counts when any of those exceeds the threshold (conservative mode).
     """
     place = lambda c: P.lookup(precedence(registry), F.col(c), 999)
-    over = F.abs(F.col("r")) > threshold
+    over = over_threshold(F.col("r"), threshold)
     if alternatives is not None:
         other = (
-            alternatives.where(F.abs(F.col("r")) > threshold)
+            alternatives.where(over_threshold(F.col("r"), threshold))
             .select("scenario", "a", "b")
             .distinct()
             .withColumn("_other", F.lit(True))
@@ -289,7 +294,7 @@ def correlation_robustness(
     out = stacked[0]
     for table in stacked[1:]:
         out = out.unionByName(table)
-    return out.where(F.col("r").isNotNull()).withColumn("flagged", F.abs("r") > threshold)
+    return out.where(F.col("r").isNotNull()).withColumn("flagged", over_threshold(F.col("r"), threshold))
 
 
 def correlation_discrepancies(by_method: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ def threshold_sweep(ready: I.Prepared, settings: P.Settings, thresholds=(0.5, 0.
     ).join(table, "threshold").withColumnRenamed("sweep", "scenario")
     flagged = I.flagged_pairs(swept, 0.0).join(
         table.withColumnRenamed("sweep", "scenario"), "scenario"
-    ).where(F.abs("r") > F.col("threshold"))
+    ).where(I.over_threshold(F.col("r"), F.col("threshold")))
     penalties = I.overlap_penalties(flagged, settings.overlap_floor)
     fanned = ready.centered.drop("scenario").withColumn(
         "scenario", F.explode(F.array(*[F.lit(str(t)) for t in thresholds]))
