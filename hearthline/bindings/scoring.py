@@ -11,7 +11,7 @@ from hearthline.functions import columns as C
 from hearthline.operators import rollups, stats, windows
 from hearthline.operators.order_stats import quantiles, with_rank
 from hearthline.plans import index as I
-from hearthline.storage import materialize
+from hearthline.storage import is_bounded, materialize
 
 YEAR = T.SCORING_YEAR
 _PLACE = I.precedence()
@@ -60,8 +60,11 @@ def current(spark, d):
     return materialize(I.with_scenario(T.panel(spark, d).where(F.col("year") == YEAR)), "current")
 
 
-def centered(spark, d, bounded: bool = False):
-    return I.center(I.percentile_rank(I.winsorized_universe(current(spark, d), T.SETTINGS, bounded), bounded))
+def centered(spark, d, bounded: bool | None = None):
+    """Centered values; the window form only after the stored slice was counted."""
+    stored = current(spark, d)
+    bounded = is_bounded(stored, limit=100_000) if bounded is None else bounded
+    return I.center(I.percentile_rank(I.winsorized_universe(stored, T.SETTINGS, bounded), bounded))
 
 
 def plain(df):
@@ -114,11 +117,11 @@ def percentile_rank(spark, d):
 
 @query("center", steps("centered") + rounded_sql("SELECT fips, component, value FROM centered", "value"))
 def center(spark, d):
-    return rounded(plain(centered(spark, d)), "value")
+    return rounded(plain(centered(spark, d, False)), "value")
 
 
-def pairs(spark, d, bounded: bool = True):
-    return stats.pearson_pairs(I.to_wide(centered(spark, d, bounded), T.COMPONENTS), ["scenario"], T.COMPONENTS)
+def pairs(spark, d):
+    return stats.pearson_pairs(I.to_wide(centered(spark, d), T.COMPONENTS), ["scenario"], T.COMPONENTS)
 
 
 @query("pearson_matrix", steps("pairs") + rounded_sql("SELECT a, b, r, n FROM pairs", "r"))
@@ -179,7 +182,7 @@ def acceleration(spark, d):
     ),
 )
 def acceleration_distribution(spark, d):
-    accel = windows.acceleration_multipliers(slopes(spark, d), ["scenario"], 0.5, 3.0, 0.1, True)
+    accel = windows.acceleration_multipliers(slopes(spark, d), ["scenario"], 0.5, 3.0, 0.1)
     result = rollups.acceleration_distribution(accel, ["scenario", "component"], 0.5, 3.0)
     return rounded(plain(result), "median_acceleration pct_at_lower_bound pct_at_upper_bound")
 
@@ -342,7 +345,7 @@ PARTIAL_SQL = f"""regional AS (SELECT *, {_REGION} AS region FROM centered WHERE
 
 
 def pair_table(spark, d, complete: bool = False):
-    wide = I.to_wide(centered(spark, d, True), T.COMPONENTS)
+    wide = I.to_wide(centered(spark, d), T.COMPONENTS)
     wide = wide.dropna(subset=T.COMPONENTS) if complete else wide
     return stats.pair_rows(wide, ["scenario"], T.COMPONENTS)
 
@@ -359,7 +362,7 @@ def distance_correlation(spark, d):
 
 @query("partial_correlation", steps("centered") + ",\n" + PARTIAL_SQL + rounded_sql("SELECT a, b, r, n FROM partial", "r"))
 def partial_correlation(spark, d):
-    long = centered(spark, d, True).withColumn("region", P.state_group(P.REGION_STATES, C.state_of(F.col("fips"))))
+    long = centered(spark, d).withColumn("region", P.state_group(P.REGION_STATES, C.state_of(F.col("fips"))))
     return rounded(plain(stats.partial_pairs(long, ["scenario"], "fips", "region", T.COMPONENTS)), "r")
 
 
@@ -439,7 +442,7 @@ def exact_quantiles(spark, d):
     ),
 )
 def zscore(spark, d):
-    long = I.winsorized_universe(current(spark, d), T.SETTINGS, True)
+    long = I.winsorized_universe(current(spark, d), T.SETTINGS, False)
     return rounded(plain(windows.zscore_normalize(long, ["scenario", "component"])), "value")
 
 
