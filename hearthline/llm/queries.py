@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import simhash
+from hearthline.llm import simhash, suffix
 from hearthline.llm.common import table
 
 
@@ -17,6 +17,19 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that stay when all 200-byte strings found twice are removed."""
+    kept = suffix.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op4_suffix_array_dedup": (op4_suffix_array_dedup, None),
     "op5_simhash_near_dedup": (op5_simhash_near_dedup, None),
 }
