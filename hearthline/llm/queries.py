@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import simhash, suffix
+from hearthline.llm import quality, simhash, suffix
 from hearthline.llm.common import table
 
 
@@ -29,7 +29,16 @@ def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts, base verdict and learned verdict of every document."""
+    judged = quality.judge(table(spark, folder, "documents").select("doc_id", "text"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
+    )
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op4_suffix_array_dedup": (op4_suffix_array_dedup, None),
     "op5_simhash_near_dedup": (op5_simhash_near_dedup, None),
+    "op7_weak_supervision": (op7_weak_supervision, None),
 }
