@@ -410,17 +410,25 @@ def labelled_windows(df: DataFrame, text: str = "text", limit: int = SAMPLE) ->
 
 
 def learn(df: DataFrame, text: str = "text", limit: int = SAMPLE) -> Network:
-    """Train on the labelled sample; at most ``limit`` windows of ``WINDOW`` characters reach the driver."""
-    rows = labelled_windows(df, text, limit).collect()
-    spans = []
-    for r in rows:
-        parsed, last = [], 0
-        for a, kind, b in (map(int, s.split(":")) for s in r["spans"].split(",") if s):
-            if a >= last:  # tags cannot overlap: the first span counts
-                parsed.append((a, kind, b))
-                last = b
-        spans.append(parsed)
-    return train([r["window"] for r in rows], spans)
+    """Train on the labelled sample of at most ``limit`` windows, in one task; only the weights reach the driver."""
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        windows, spans = [], []
+        for batch in batches:
+            for window, said in zip(batch["window"], batch["spans"]):
+                parsed, last = [], 0
+                for a, kind, b in (map(int, s.split(":")) for s in said.split(",") if s):
+                    if a >= last:  # tags cannot overlap: the first span counts
+                        parsed.append((a, kind, b))
+                        last = b
+                windows.append(window)
+                spans.append(parsed)
+        net = train(windows, spans)
+        yield pd.DataFrame({"name": list(net.weights), "data": [w.tobytes() for w in net.weights.values()]})
+
+    fitted = labelled_windows(df, text, limit).coalesce(1).mapInPandas(fit, "name string, data binary").collect()
+    shapes = Network.fresh().weights
+    return Network({r["name"]: np.frombuffer(bytes(r["data"]), np.float32).reshape(shapes[r["name"]].shape) for r in fitted})
 
 
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"

@@ -39,7 +39,7 @@ def _repeated(words: Column) -> Column:
     each other; their positions in order then give the number of words they cover.
     """
     spots = F.sequence(F.lit(0), F.size(words) - 3)
-    windows = F.transform(spots, lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")))
+    hashes = F.transform(spots, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
     def count(ordered: Column) -> Column:
         near = lambda x, j: F.coalesce(F.get(ordered, j)["h"] == x["h"], F.lit(False))
@@ -49,26 +49,32 @@ def _repeated(words: Column) -> Column:
         step = lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"))
         return F.aggregate(places, start, step, lambda a: a["n"])
 
-    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(F.sort_array(windows), count))
+    def repeats(h: Column) -> Column:
+        ordered = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        # Most texts repeat no window, and need no sorting.
+        return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(_let(ordered, count))
+
+    return F.when(F.size(words) < 4, F.lit(0).cast("long")).otherwise(_let(hashes, repeats))
 
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts that rules look at; a null text counts as an empty one.  Columns of these names are replaced."""
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    counts = {
+        "n_words": F.size("_words"),
+        "word_chars": _without(body, SPACES),
+        "n_symbols": F.length(body) - _without(body, SYMBOLS),
+        "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
+        "n_repeat_words": _repeated(F.col("_words")),
+        "n_lines": F.size("_lines"),
+        "n_capitals": F.length(body) - _without(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        "n_shouts": F.length(body) - _without(body, "!"),
+    }
     df = df.withColumns({"_words": F.array_remove(F.split(body, "[\\x20\\x09-\\x0D]+"), ""), "_lines": lines})
-    return df.withColumns(
-        {
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": _without(body, SPACES).cast("long"),
-            "n_symbols": (F.length(body) - _without(body, SYMBOLS)).cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": _repeated(F.col("_words")),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_capitals": (F.length(body) - _without(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")).cast("long"),
-            "n_shouts": (F.length(body) - _without(body, "!")).cast("long"),
-        }
-    ).drop("_words", "_lines")
+    # A generator of one row: conditions on the counts are not moved below it, where each would count again.
+    once = F.inline(F.array(F.struct(*[c.cast("long").alias(name) for name, c in counts.items()])))
+    return df.select(*[c for c in df.columns if c not in (*counts, "_words", "_lines")], once)
 
 
 @dataclass(frozen=True)

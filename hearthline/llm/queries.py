@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import pii, quality, simhash, suffix
+from hearthline.llm import packing, pii, quality, simhash, suffix
 from hearthline.llm.common import table
 
 
@@ -22,10 +22,16 @@ def op2_character_lstm_crf(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.with_spans(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     base = F.filter("pii", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined("pii").alias("spans"))
 
 
+def op3_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's pieces with their bucket and batch."""
+    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes of every document that stay when all 200-byte strings found twice are removed."""
     kept = suffix.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
@@ -48,6 +54,7 @@ def op7_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op2_character_lstm_crf": (op2_character_lstm_crf, None),
+    "op3_length_buckets": (op3_length_buckets, None),
     "op4_suffix_array_dedup": (op4_suffix_array_dedup, None),
     "op5_simhash_near_dedup": (op5_simhash_near_dedup, None),
     "op7_weak_supervision": (op7_weak_supervision, None),

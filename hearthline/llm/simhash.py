@@ -87,7 +87,8 @@ def links(classes: DataFrame) -> DataFrame:
 def near_duplicates(
     df: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 3, keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per input row: id, signed fingerprint, component id (smallest id reachable), and ``keep`` columns.
+    """One row per input row: id, signed fingerprint, class (its smallest fingerprint), component id (smallest id
+    reachable), and ``keep`` columns.
 
     Copies fall together before any join: only distinct fingerprints are embedded and linked.  Null and empty
     texts share fingerprint 0 and are linked like others.  Rows with a null id keep it and take part; a component
@@ -100,6 +101,7 @@ def near_duplicates(
     rooted = classes.join(roots, classes["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "_first", F.coalesce("root", "fingerprint").alias("_root")
     )
-    lowest = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    named = rooted.join(lowest, "_root").select("fingerprint", "component_id")
-    return marked.join(named, "fingerprint").select(id_column, "fingerprint", "component_id", *keep)
+    # Stored, so that adaptive execution can split the other side where one class has very many rows.
+    lowest = materialize(rooted.groupBy("_root").agg(F.min("_first").alias("component_id")), "components")
+    named = rooted.join(lowest, "_root").select("fingerprint", F.col("_root").alias("class"), "component_id")
+    return marked.join(materialize(named, "named"), "fingerprint").select(id_column, "fingerprint", "class", "component_id", *keep)
