@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import packing, pii, quality, simhash, suffix
+from hearthline.llm import bitplane, bpe, packing, pii, quality, simhash, suffix
 from hearthline.llm.common import table
+from hearthline.storage import scratch_path
 
 
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,6 +18,23 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def _vocabulary() -> str:
+    """Path of the public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
+def op1_bit_plane_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents written in order as planes, and what is read back of them."""
+    to = scratch_path(spark, "ids")
+    bitplane.write(table(spark, folder, "documents"), to, _vocabulary())
+    return bitplane.read(spark, to).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op2_character_lstm_crf(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document: counts of the fixed patterns, their digest, and all spans."""
     found = pii.with_spans(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
@@ -52,10 +70,24 @@ def op7_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_streaming_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every document by the streaming transducer, and their text by the incremental decoder."""
+    coded = bpe.with_ids(table(spark, folder, "documents").select("doc_id", "text"), _vocabulary()).drop("text")
+    both = bpe.with_text(coded, _vocabulary())
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
+    "op1_bit_plane_ids": (op1_bit_plane_ids, None),
     "op2_character_lstm_crf": (op2_character_lstm_crf, None),
     "op3_length_buckets": (op3_length_buckets, None),
     "op4_suffix_array_dedup": (op4_suffix_array_dedup, None),
     "op5_simhash_near_dedup": (op5_simhash_near_dedup, None),
     "op7_weak_supervision": (op7_weak_supervision, None),
+    "op8_streaming_bpe": (op8_streaming_bpe, None),
 }
