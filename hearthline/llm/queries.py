@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import bitplane, bpe, packing, pii, quality, simhash, suffix
+from hearthline.llm import ann, bitplane, bpe, packing, pii, quality, simhash, suffix
 from hearthline.llm.common import table
 from hearthline.storage import scratch_path
 
@@ -62,6 +62,11 @@ def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found of every vector whose id is divisible by 20."""
+    return ann.search(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base verdict and learned verdict of every document."""
     judged = quality.judge(table(spark, folder, "documents").select("doc_id", "text"))
@@ -88,6 +93,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op3_length_buckets": (op3_length_buckets, None),
     "op4_suffix_array_dedup": (op4_suffix_array_dedup, None),
     "op5_simhash_near_dedup": (op5_simhash_near_dedup, None),
+    "op6_learned_partitions": (op6_learned_partitions, None),
     "op7_weak_supervision": (op7_weak_supervision, None),
     "op8_streaming_bpe": (op8_streaming_bpe, None),
 }
