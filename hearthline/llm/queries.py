@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import ann, bitplane, bpe, packing, pii, quality, simhash, suffix
+from hearthline.llm import ann, bitplane, bpe, packing, pii, quality, simhash, suffix, toxicity
 from hearthline.llm.common import table
 from hearthline.storage import scratch_path
 
@@ -87,6 +87,17 @@ def op8_streaming_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+THRESHOLD = 0.7
+
+
+def op10_levenshtein_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score and verdict of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, folder, "labels"))
+    scored = toxicity.with_score(docs, model).drop("text")
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_bit_plane_ids": (op1_bit_plane_ids, None),
     "op2_character_lstm_crf": (op2_character_lstm_crf, None),
@@ -96,4 +107,5 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_learned_partitions": (op6_learned_partitions, None),
     "op7_weak_supervision": (op7_weak_supervision, None),
     "op8_streaming_bpe": (op8_streaming_bpe, None),
+    "op10_levenshtein_lexicon": (op10_levenshtein_lexicon, None),
 }
