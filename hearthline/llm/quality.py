@@ -134,17 +134,24 @@ def learn(df: DataFrame, rules: tuple[Rule, ...] = RULES) -> tuple[float, ...]:
     return estimate(sorted((tuple(r[:-1]), r[-1]) for r in counted.collect()), len(rules))
 
 
-def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """Add the counts, ``base_failed``, ``quality`` (posterior probability) and ``kept``.
+def verdict(counted: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
+    """Add ``base_failed``, ``quality`` (posterior probability) and ``kept`` to a table with counts.
 
-    Rows, nulls and repeats stay as they are; a null or empty text has no words and fails.  An empty table learns
-    nothing and comes back empty.  Input columns with the names of results are replaced.
+    The table is read twice, to learn and to judge; store it first where counting again costs more than storing.
     """
-    counted = features(df, text)
-    accuracy = learn(features(df.select(text), text), rules)
+    accuracy = learn(counted, rules)
     odds = F.lit(0.0)
     for rule, a in zip(rules, accuracy):
         odds = odds + vote(rule) * F.lit(math.log(a / (1 - a)))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = counted.withColumns({"base_failed": failed, "quality": 1 / (1 + F.exp(-odds))})
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+
+
+def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
+    """Add the counts, ``base_failed``, ``quality`` and ``kept``.
+
+    Rows, nulls and repeats stay as they are; a null or empty text has no words and fails.  An empty table learns
+    nothing and comes back empty.  Input columns with the names of results are replaced.
+    """
+    return verdict(features(df, text), rules, threshold)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import ann, bitplane, bpe, packing, pii, quality, simhash, suffix, toxicity
+from hearthline.llm import ann, bitplane, bpe, license, packing, pii, quality, simhash, suffix, toxicity
 from hearthline.llm.common import table
-from hearthline.storage import scratch_path
+from hearthline.storage import materialize, scratch_path
 
 
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +69,8 @@ def op6_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
 
 def op7_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, base verdict and learned verdict of every document."""
-    judged = quality.judge(table(spark, folder, "documents").select("doc_id", "text"))
+    counted = quality.features(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    judged = quality.verdict(materialize(counted, "counts"))
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
     )
@@ -87,6 +88,12 @@ def op8_streaming_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence of every document, its own or that of a directory above it (source, then language)."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license.scan(table(spark, folder, "documents").select("doc_id", "text", path.alias("path")))
+
+
 THRESHOLD = 0.7
 
 
@@ -107,5 +114,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_learned_partitions": (op6_learned_partitions, None),
     "op7_weak_supervision": (op7_weak_supervision, None),
     "op8_streaming_bpe": (op8_streaming_bpe, None),
+    "op9_license_scan": (op9_license_scan, license.sql("concat_ws('/', source, lang, doc_id || '.txt')")),
     "op10_levenshtein_lexicon": (op10_levenshtein_lexicon, None),
 }

@@ -9,6 +9,7 @@ regression turns the summed strength of the hits into a score.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.segments import Memory
+from hearthline.storage import materialize
 
 #: Bounds of what is learned: labelled documents that training sees, and terms that it keeps.
-SAMPLE, TERMS = 20_000, 500
-#: A term needs so many toxic documents, and so large a share of toxic among its documents.
-SUPPORT, PURITY = 5, 0.95
+SAMPLE, TERMS = 10_000, 500
+#: A term needs so many toxic documents, so large a share of toxic among its documents, and so many that chance would
+#: hardly bring them together (natural logarithm).
+SUPPORT, PURITY, CHANCE = 5, 0.95, 5.0
 SHORTEST, LONGEST = 4, 12
 WINDOW = 8
 
@@ -192,7 +195,14 @@ def training_texts(df: DataFrame, labels: DataFrame, id_column: str, text: str,
     some = some.groupBy(F.col(id_column).alias("_id")).agg(F.max(label).alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(limit)
     texts = df.select(F.col(id_column).alias("_id"), F.col(text).alias("text"))
     # The sample has a fixed bound, so it may go to every task.
-    return texts.join(F.broadcast(some), "_id").select("text", "toxic")
+    some_texts = texts.join(F.broadcast(some), "_id").select("text", "toxic")
+    # Copies share all their words, also those that do not make them toxic: of documents with one smallest hash of
+    # three words, and one label, one is learned from.
+    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+"), lambda w: w != "")
+    spots = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("_words") - 3))
+    least = F.array_min(F.transform(spots, lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))))
+    marked = some_texts.withColumn("_words", words).withColumn("_least", least)
+    return marked.dropDuplicates(["_least", "toxic"]).select("text", "toxic")
 
 
 def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -231,12 +241,16 @@ def choose(counts: dict[str, tuple[int, int]], limit: int = TERMS) -> list[tuple
 
 def learn(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", limit: int = SAMPLE) -> Model:
     """Lexicon, trust and weights from a bounded sample of labelled documents outside the held-out third."""
-    sample = training_texts(df, labels, id_column, text, label, limit)
+    sample = materialize(training_texts(df, labels, id_column, text, label, limit), "labelled")
     counts = sample.mapInPandas(_candidates, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counts = counts.where((F.col("bad") >= SUPPORT) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good") + 0.25)))
-    # Every extension of a term is pure too; the largest suffice to find the terms.
+    size, toxic = sample.agg(F.count("*"), F.count(F.when(F.col("toxic") > 0, 1))).first()
+    rate = min(0.9, max(toxic, 1) / max(size, 1))
+    # So many toxic documents in a row would come by chance to less than one term in e^CHANCE tables of this size.
+    least = max(SUPPORT, (math.log(1 + size * 1000) + CHANCE) / -math.log(rate))
+    counts = counts.where((F.col("bad") >= least) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good") + 0.25)))
     rows = counts.orderBy(F.desc("bad"), F.length("term"), "term").limit(40 * TERMS).collect()
-    lexicon = Lexicon(choose({r["term"]: (r["bad"], r["good"]) for r in rows}))
+    terms = choose({r["term"]: (r["bad"], r["good"]) for r in rows})
+    lexicon = Lexicon(terms)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         finder = Finder(lexicon)
