@@ -27,8 +27,8 @@ BLOCK = 16_384
 #: Ids after which a chunk is closed; a longer document has a chunk to itself.
 CHUNK = 131_072
 END = 0
-#: Segments remembered per Python worker.
-REMEMBERED = 400_000
+#: Segments remembered per Python worker: as many new ones, and as many before these.
+REMEMBERED = 600_000
 
 
 def to_planes(ids: np.ndarray, bits: bool = False) -> list[bytes]:
@@ -62,9 +62,12 @@ def from_planes(planes: list[bytes], count: int, bits: bool = False) -> np.ndarr
 class LibraryIds:
     """Ids by the tokenizers library, which sees each distinct segment of a batch once.
 
-    Texts are cut where no token reaches across, so the ids of the segments are those of the whole text.
+    Texts are cut where no token reaches across, so the ids of the segments are those of the whole text.  For the same
+    reason new segments go to the library joined by spaces, many at a time, and token lengths part the ids again.
     """
 
+    JOINED = 2_000
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -72,20 +75,46 @@ class LibraryIds:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        names = self.library.get_vocab(with_added_tokens=True)
+        # A character of a token's name stands for one byte.
+        self.length = np.zeros(max(names.values()) + 1, np.int64)
+        for name, i in names.items():
+            self.length[i] = len(name)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Ids of segments that a space precedes."""
+        for low in range(0, len(new), self.JOINED):
+            some = new[low : low + self.JOINED]
+            ids = np.array(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.cumsum([1 + len(s.encode()) for s in some])
+            cuts = [0, *(np.searchsorted(np.cumsum(self.length[ids]), ends) + 1).tolist()]
+            data = ids.tobytes()
+            for s, a, b in zip(some, cuts, cuts[1:]):
+                self.known[s] = data[4 * a : 4 * b]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [pieces(t) for t in texts]
-        new = {" " + s for _, rest in cut for s in set(rest)} | {first for first, _ in cut}
-        new = [s for s in new if s not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({" " + s for _, rest in cut for s in rest} | {first for first, _ in cut})
-        for s, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[s] = np.array(found.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[first], *[known[" " + s] for s in rest]]) for first, rest in cut]
+        seen: set[str] = set()
+        for _, rest in cut:
+            seen.update(rest)
+        if len(self.known) + len(seen) > REMEMBERED:
+            self.older, self.known = self.known, {}
+        new = []
+        for s in seen:
+            if s not in self.known:
+                # What is still in use moves on, what is not is forgotten with its generation.
+                found = self.older.get(s)
+                if found is None:
+                    new.append(s)
+                else:
+                    self.known[s] = found
+        self._learn(new)
+        starts = self.library.encode_batch_fast([first for first, _ in cut], add_special_tokens=False)
+        get = self.known.__getitem__
+        return [np.array(e.ids, "<u4").tobytes() + b"".join(map(get, rest)) for e, (_, rest) in zip(starts, cut)]
 
 
 _LIBRARY: dict[str, LibraryIds] = {}

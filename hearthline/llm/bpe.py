@@ -12,6 +12,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -54,6 +55,8 @@ class Vocabulary:
         for rank, pair in enumerate(said["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.merges[ids[left], ids[right]] = (rank, ids[left + right])
+        # One number for a pair, one for its rank and what it makes: quick to look up and to compare.
+        self.ranked = {a << 24 | b: rank << 24 | made for (a, b), (rank, made) in self.merges.items()}
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -69,18 +72,21 @@ class Vocabulary:
     def merged(self, data: bytes) -> list[int]:
         """Tokens of a whole byte string, merged by rank, leftmost first."""
         ids = [self.byte_id[b] for b in data]
-        if len(ids) > 24:
+        if len(ids) > 48:
             return self._merged_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best, at, made = 1 << 60, -1, -1
-            for i in range(len(ids) - 1):
-                found = merges.get((ids[i], ids[i + 1]))
-                if found and found[0] < best:
-                    (best, made), at = found, i
-            if at < 0:
+        get, none = self.ranked.get, 1 << 60
+        ranks = [get(a << 24 | b, none) for a, b in zip(ids, ids[1:])]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            ids[at : at + 2] = [made]
+            i = ranks.index(best)
+            ids[i : i + 2] = [best & 0xFFFFFF]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 24 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 24 | ids[i + 1], none)
         return ids
 
     def _merged_long(self, ids: list[int]) -> list[int]:
@@ -141,6 +147,8 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         data = word.encode()
+        if len(data) <= 48:
+            return array("i", self.vocabulary.merged(data)).tobytes()
         parts = (data[i : i + self.CHUNK] for i in range(0, len(data), self.CHUNK))
         return np.fromiter(self.vocabulary.stream(parts), "<i4").tobytes()
 

@@ -13,9 +13,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.storage import materialize
+
 #: Fixed values of the base rules.
-SPACES = " \t\n\x0b\f\r"
-SYMBOLS = "#*$%&|<>"
+SPACE = "[\\x20\\x09-\\x0D]"
+SYMBOL = "[#*$%&|<>]"
 MIN_WORDS = 50
 
 #: Start of the estimation, and limits that keep a rule from being read the wrong way round.
@@ -27,11 +29,6 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _without(text: Column, characters: str) -> Column:
-    """Code points of a text other than some characters."""
-    return F.length(F.translate(text, characters, ""))
-
-
 def _repeated(words: Column) -> Column:
     """Words inside three-word windows that are found twice or more.
 
@@ -60,18 +57,18 @@ def _repeated(words: Column) -> Column:
 def features(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the counts that rules look at; a null text counts as an empty one.  Columns of these names are replaced."""
     body = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(body, "\n"), lambda x: F.translate(x, SPACES, "") != "")
+    lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(SPACE.replace("[", "[^")))
     counts = {
         "n_words": F.size("_words"),
-        "word_chars": _without(body, SPACES),
-        "n_symbols": F.length(body) - _without(body, SYMBOLS),
+        "word_chars": F.aggregate("_words", F.lit(0), lambda n, w: n + F.length(w)),
+        "n_symbols": F.regexp_count(body, F.lit(SYMBOL)),
         "n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "n_repeat_words": _repeated(F.col("_words")),
         "n_lines": F.size("_lines"),
-        "n_capitals": F.length(body) - _without(body, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "n_shouts": F.length(body) - _without(body, "!"),
+        "n_capitals": F.regexp_count(body, F.lit("[A-Z]")),
+        "n_shouts": F.regexp_count(body, F.lit("!")),
     }
-    df = df.withColumns({"_words": F.array_remove(F.split(body, "[\\x20\\x09-\\x0D]+"), ""), "_lines": lines})
+    df = df.withColumns({"_words": F.array_remove(F.split(body, SPACE + "+"), ""), "_lines": lines})
     # A generator of one row: conditions on the counts are not moved below it, where each would count again.
     once = F.inline(F.array(F.struct(*[c.cast("long").alias(name) for name, c in counts.items()])))
     return df.select(*[c for c in df.columns if c not in (*counts, "_words", "_lines")], once)
@@ -154,4 +151,4 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, th
     Rows, nulls and repeats stay as they are; a null or empty text has no words and fails.  An empty table learns
     nothing and comes back empty.  Input columns with the names of results are replaced.
     """
-    return verdict(features(df, text), rules, threshold)
+    return verdict(materialize(features(df, text), "counted"), rules, threshold)
