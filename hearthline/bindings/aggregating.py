@@ -172,11 +172,11 @@ def baseline_ratios(spark, d):
 @query(
     "method_majority",
     """SELECT CAST(user_id AS VARCHAR) AS fips, CAST(year(ts) AS INTEGER) AS year, count(*) AS smoke_days,
-    CASE WHEN count(*) FILTER (WHERE event_type = 'view') > count(*) FILTER (WHERE event_type = 'click') THEN 'hms' WHEN count(*) FILTER (WHERE event_type = 'view') < count(*) FILTER (WHERE event_type = 'click') THEN 'spike_detection' ELSE 'mixed' END AS smoke_day_method
-    FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL""",
+    CASE WHEN count(*) FILTER (WHERE event_type = 'view') > count(*) FILTER (WHERE event_type <> 'view') THEN 'hms' WHEN count(*) FILTER (WHERE event_type = 'view') < count(*) FILTER (WHERE event_type <> 'view') THEN 'spike_detection' ELSE 'mixed' END AS smoke_day_method
+    FROM events GROUP BY ALL""",
 )
 def method_majority(spark, d):
-    smoke = T.table(spark, d, "events").where(F.col("event_type").isin("view", "click")).select(
+    smoke = T.table(spark, d, "events").select(
         F.col("user_id").cast("string").alias("fips"), F.year("ts").alias("year"),
         F.when(F.col("event_type") == "view", "hms").otherwise("spike_detection").alias("method"),
     )

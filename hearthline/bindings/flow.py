@@ -149,7 +149,7 @@ def state_panel(spark, d, with_housing: bool = True):
 
 # Divisions of the states that the bound keys can name.
 _DIVISION_SQL = "CASE state_fips " + " ".join(
-    f"WHEN '{s}' THEN {n}" for n, members in P.DIVISION_STATES.items() for s in members.split()
+    f"WHEN '{s}' THEN {n}" for s, n in P.DIVISION_OF_STATE.items()
 ) + " END"
 STATE_PANEL_SQL = ", state_units AS (SELECT substr(fips, 1, 2) AS state_fips, year, sum(total_housing_units) AS total_housing_units FROM housing GROUP BY ALL)," + f"""
     state_raw AS (SELECT e.*, a.hdd_anomaly, a.cdd_anomaly, {_DIVISION_SQL} AS census_division, u.total_housing_units AS found

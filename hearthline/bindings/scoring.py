@@ -11,7 +11,7 @@ from hearthline.functions import columns as C
 from hearthline.operators import rollups, stats, windows
 from hearthline.operators.order_stats import quantiles, with_rank
 from hearthline.plans import index as I
-from hearthline.storage import is_bounded, materialize
+from hearthline.storage import materialize
 
 YEAR = T.SCORING_YEAR
 _PLACE = I.precedence()
@@ -60,11 +60,10 @@ def current(spark, d):
     return materialize(I.with_scenario(T.panel(spark, d).where(F.col("year") == YEAR)), "current")
 
 
-def centered(spark, d, bounded: bool | None = None):
-    """Centered values; the window form only after the stored slice was counted."""
+def centered(spark, d):
+    """Centered values."""
     stored = current(spark, d)
-    bounded = is_bounded(stored, limit=100_000) if bounded is None else bounded
-    return I.center(I.percentile_rank(I.winsorized_universe(stored, T.SETTINGS, bounded), bounded))
+    return I.center(I.percentile_rank(I.winsorized_universe(stored, T.SETTINGS)))
 
 
 def plain(df):
@@ -111,13 +110,13 @@ def define_universe(spark, d):
     "percentile_rank_average", steps("centered") + rounded_sql("SELECT fips, component, value + 50 AS pct FROM centered", "pct")
 )
 def percentile_rank(spark, d):
-    ranked = I.percentile_rank(I.winsorized_universe(current(spark, d), T.SETTINGS, False))
+    ranked = I.percentile_rank(I.winsorized_universe(current(spark, d), T.SETTINGS))
     return rounded(ranked.select("fips", "component", F.col("value").alias("pct")), "pct")
 
 
 @query("center", steps("centered") + rounded_sql("SELECT fips, component, value FROM centered", "value"))
 def center(spark, d):
-    return rounded(plain(centered(spark, d, False)), "value")
+    return rounded(plain(centered(spark, d)), "value")
 
 
 def pairs(spark, d):
@@ -336,7 +335,7 @@ DCOR_SQL = """complete AS (SELECT fips FROM centered GROUP BY fips HAVING count(
     dprod AS (SELECT a, b, avg(mu) AS gu, avg(mv) AS gv, avg(mu * mv) AS m_uv, avg(mu * mu) AS m_uu, avg(mv * mv) AS m_vv FROM dmean GROUP BY ALL),
     dcor AS (SELECT a, b, sqrt(greatest(uv + gu * gv - 2 * m_uv, 0) / sqrt((uu + gu * gu - 2 * m_uu) * (vv + gv * gv - 2 * m_vv))) AS r FROM dsum JOIN dprod USING (a, b))"""
 _REGION = "CASE substr(fips, 1, 2) " + " ".join(
-    f"WHEN '{s}' THEN {n}" for n, members in P.REGION_STATES.items() for s in members.split()
+    f"WHEN '{s}' THEN {n}" for s, n in P.REGION_OF_STATE.items()
 ) + " END"
 PARTIAL_SQL = f"""regional AS (SELECT *, {_REGION} AS region FROM centered WHERE {_REGION} IS NOT NULL),
     resid AS (SELECT fips, component, CASE WHEN region = (SELECT min(region) FROM regional) THEN value ELSE value - avg(value) OVER (PARTITION BY component, region) END AS value FROM regional),
@@ -362,7 +361,7 @@ def distance_correlation(spark, d):
 
 @query("partial_correlation", steps("centered") + ",\n" + PARTIAL_SQL + rounded_sql("SELECT a, b, r, n FROM partial", "r"))
 def partial_correlation(spark, d):
-    long = centered(spark, d).withColumn("region", P.state_group(P.REGION_STATES, C.state_of(F.col("fips"))))
+    long = centered(spark, d).withColumn("region", P.lookup(P.REGION_OF_STATE, C.state_of(F.col("fips"))))
     return rounded(plain(stats.partial_pairs(long, ["scenario"], "fips", "region", T.COMPONENTS)), "r")
 
 
@@ -374,7 +373,7 @@ _ROBUST = steps("pairs") + ",\n" + ",\n".join([PAIR_ROWS_SQL, SPEARMAN_SQL, DCOR
 @query("correlation_robustness", _ROBUST + rounded_sql("SELECT a, b, method, r, round(abs(r), 12) > 0.6 AS flagged FROM methods WHERE r IS NOT NULL", "r"))
 def correlation_robustness(spark, d):
     base = ready(spark, d)
-    return rounded(plain(I.correlation_robustness(base.centered, T.COMPONENTS, 0.6, base.bounded)), "r")
+    return rounded(plain(I.correlation_robustness(base.centered, T.COMPONENTS, 0.6)), "r")
 
 
 @query(
@@ -385,7 +384,7 @@ def correlation_robustness(spark, d):
 )
 def correlation_discrepancies(spark, d):
     base = ready(spark, d)
-    methods = I.correlation_robustness(base.centered, T.COMPONENTS, 0.15, base.bounded)
+    methods = I.correlation_robustness(base.centered, T.COMPONENTS, 0.15)
     return plain(I.correlation_discrepancies(methods)).drop("methods")
 
 
@@ -442,7 +441,7 @@ def exact_quantiles(spark, d):
     ),
 )
 def zscore(spark, d):
-    long = I.winsorized_universe(current(spark, d), T.SETTINGS, False)
+    long = I.winsorized_universe(current(spark, d), T.SETTINGS)
     return rounded(plain(windows.zscore_normalize(long, ["scenario", "component"])), "value")
 
 

@@ -11,7 +11,8 @@ from hearthline.bindings.scoring import REG_SQL, YEAR, ready, steps
 from hearthline.operators.joins import year_pairs
 from hearthline.plans import scenarios as S
 
-ITERATIONS = 200
+#: All draws of the method.
+ITERATIONS = T.SETTINGS.monte_carlo_iterations
 
 # Composite and comparison for a table ``alt_parts(scenario, fips, score)``.
 _ALT_SQL = """alt_raw AS (SELECT scenario, fips, sum(score) AS raw FROM alt_parts GROUP BY ALL),

@@ -115,21 +115,20 @@ def declarations(spark, d) -> DataFrame:
     """Assistance declarations with missing and negative amounts."""
     t, dsc, p = F.col("t"), F.col("d"), F.col("p")
     amount = F.when(t >= 0.015, p * 100.0).when(t >= 0.005, -p)
-    return lines(spark, d).where(F.col("q") <= 1).join(suppliers(spark, d), "l_suppkey").select(
+    return lines(spark, d).join(suppliers(spark, d), "l_suppkey").select(
         F.col("l_orderkey").cast("string").alias("disaster_number"), "fips", "year",
         amount.alias("ia_amount"), F.when(dsc >= 0.005, F.col("l_linenumber").cast("double")).alias("registrant_count"),
     )
 
 
 def visits(spark, d) -> DataFrame:
-    """Visit counts: some counties, and every state."""
+    """Visit counts of all lines by state, and of the lines that are visits of a county where it has any."""
     li = lines(spark, d)
     missing = F.lit(None).cast("double")
-    some = by_county_year(
-        spark, d, li.where((F.col("q") >= 50) & (F.col("rf") == "A")), heat_ed_visits=F.count(F.lit(1)).cast("double")
-    )
+    of_county = F.count_if((F.col("q") >= 50) & (F.col("rf") == "A")).cast("double")
+    some = by_county_year(spark, d, li, heat_ed_visits=of_county).where("heat_ed_visits > 0")
     of_state = (
-        li.where(F.col("q") <= 1).groupBy("l_suppkey", "year").agg(F.count(F.lit(1)).alias("n"))
+        li.groupBy("l_suppkey", "year").agg(F.count(F.lit(1)).alias("n"))
         .join(suppliers(spark, d), "l_suppkey")
         .groupBy(F.substring("fips", 1, 2).alias("state_fips"), "year").agg(F.sum("n").cast("double").alias("heat_ed_visits"))
     )
@@ -321,11 +320,11 @@ ROLES: dict[str, tuple[tuple[str, ...], str]] = {
     "decl": (("sup", "li"), """decl AS (SELECT CAST(l_orderkey AS VARCHAR) AS disaster_number, fips, year,
     CASE WHEN t >= 0.015 THEN p * 100.0 WHEN t >= 0.005 THEN -p END AS ia_amount,
     CASE WHEN d >= 0.005 THEN CAST(l_linenumber AS DOUBLE) END AS registrant_count
-    FROM li JOIN sup USING (l_suppkey) WHERE q <= 1)"""),
-    "county_visits": (("sup", "li"), """county_visits AS (SELECT fips, year, CAST(count(*) AS DOUBLE) AS heat_ed_visits
-    FROM li JOIN sup USING (l_suppkey) WHERE q >= 50 AND rf = 'A' GROUP BY ALL)"""),
+    FROM li JOIN sup USING (l_suppkey))"""),
+    "county_visits": (("sup", "li"), """county_visits AS (SELECT fips, year, CAST(count(*) FILTER (WHERE q >= 50 AND rf = 'A') AS DOUBLE) AS heat_ed_visits
+    FROM li JOIN sup USING (l_suppkey) GROUP BY fips, year HAVING heat_ed_visits > 0)"""),
     "state_visits": (("sup", "li"), """state_visits AS (SELECT substr(fips, 1, 2) AS state_fips, year, CAST(count(*) AS DOUBLE) AS heat_ed_visits
-    FROM li JOIN sup USING (l_suppkey) WHERE q <= 1 GROUP BY ALL)"""),
+    FROM li JOIN sup USING (l_suppkey) GROUP BY ALL)"""),
     "stations": ((), """stations AS (SELECT CAST(c_custkey AS VARCHAR) AS station_id, printf('%02d001', c_nationkey + 1) AS fips FROM customer
     UNION ALL SELECT NULL, printf('%02d002', n_nationkey + 1) FROM nation)"""),
     "obs": ((), """obs AS (SELECT CAST(user_id AS VARCHAR) AS station_id, CAST(ts AS DATE) AS date,

@@ -7,9 +7,7 @@ value ranges by approximate quantiles, each range is counted on its own, and
 the small table of range totals is summed up in order.  The approximate cut
 points only balance the work, the counts are exact.
 
-Functions take ``bounded``: a caller that has counted its stored input (see
-``storage.is_bounded``) may ask for the plain window form, which is one shuffle.
-Both forms give the same numbers.
+There is one form for every size: no row count chooses another plan.
 """
 
 from __future__ import annotations
@@ -31,7 +29,7 @@ def _range_of(bounds: Column, value: Column) -> Column:
 
 
 def ordered_histogram(
-    df: DataFrame, keys: list[str], value: str, sums: bool = False, bounded: bool = False
+    df: DataFrame, keys: list[str], value: str, sums: bool = False
 ) -> DataFrame:
     """One row per distinct value of each group.
 
@@ -43,17 +41,6 @@ def ordered_histogram(
     measures = {"before": F.col("n")}
     if sums:
         measures["sum_before"] = F.col("n") * F.col(value)
-    if bounded:
-        whole = Window.partitionBy(*keys)
-        earlier = whole.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        return hist.select(
-            *keys,
-            value,
-            "n",
-            *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(name) for name, m in measures.items()],
-            F.sum("n").over(whole).alias("total"),
-            *([F.sum(measures["sum_before"]).over(whole).alias("sum_total")] if sums else []),
-        )
     # The condition keeps the plan equal to the other uses of the histogram,
     # so its shuffle is computed once.
     bounds = (
@@ -97,21 +84,14 @@ def average_rank(before: Column, n: Column) -> Column:
 
 
 def with_ranks(
-    df: DataFrame, keys: list[str], value: str, outs: dict[str, str], bounded: bool = False
+    df: DataFrame, keys: list[str], value: str, outs: dict[str, str]
 ) -> DataFrame:
     """Rows with a non-NULL value plus ranks within the group: output name -> method.
 
     Methods: ``average`` and ``min`` (ascending), ``descending`` (average, largest
     first), ``pct`` (average rank as a percentage of the group).
     """
-    if bounded:
-        group = Window.partitionBy(*keys)
-        order = group.orderBy(value)
-        before = F.rank().over(order) - 1
-        n = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
-        total = F.count(F.lit(1)).over(group)
-    else:
-        before, n, total = F.col("before"), F.col("n"), F.col("total")
+    before, n, total = F.col("before"), F.col("n"), F.col("total")
     average = average_rank(before, n)
     methods = {
         "average": average,
@@ -120,26 +100,21 @@ def with_ranks(
         "pct": average / total * 100.0,
     }
     ranks = {out: methods[method] for out, method in outs.items()}
-    if bounded:
-        return df.where(F.col(value).isNotNull()).withColumns(ranks)
     table = ordered_histogram(df, keys, value).select(*keys, value, *[r.alias(out) for out, r in ranks.items()])
     return df.join(table, [*keys, value]).select(*df.columns, *ranks)
 
 
 def with_rank(
-    df: DataFrame, keys: list[str], value: str, out: str, method: str = "average", bounded: bool = False
+    df: DataFrame, keys: list[str], value: str, out: str, method: str = "average"
 ) -> DataFrame:
     """``with_ranks`` for a single rank column."""
-    return with_ranks(df, keys, value, {out: method}, bounded)
+    return with_ranks(df, keys, value, {out: method})
 
 
 def quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], bounded: bool = False
+    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
     """Linearly interpolated quantiles per group, one column per name."""
-    if bounded:
-        exact = [F.percentile(value, float(p)).alias(name) for name, p in probabilities.items()]
-        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(*exact)
     hist = ordered_histogram(df, keys, value)
 
     def at(position: Column) -> Column:
@@ -157,7 +132,7 @@ def quantiles(
 
 
 def running_totals(
-    df: DataFrame, keys: list[str], code: str, measures: list[str], chunk_bits: int = 16, bounded: bool = False
+    df: DataFrame, keys: list[str], code: str, measures: list[str], chunk_bits: int = 16
 ) -> DataFrame:
     """Sums over rows with a smaller integer ``code``, plus group totals.
 
@@ -165,14 +140,6 @@ def running_totals(
     are summed on their own and the chunk totals in order, so no group is
     sorted as a whole.  Adds ``<m>_before`` and ``<m>_all`` per measure.
     """
-    if bounded:
-        whole = Window.partitionBy(*keys)
-        earlier = whole.orderBy(code).rowsBetween(Window.unboundedPreceding, -1)
-        return df.select(
-            "*",
-            *[F.coalesce(F.sum(m).over(earlier), F.lit(0)).alias(f"{m}_before") for m in measures],
-            *[F.sum(m).over(whole).alias(f"{m}_all") for m in measures],
-        )
     chunked = df.withColumn("_chunk", F.shiftright(F.col(code), chunk_bits))
     totals = chunked.groupBy(*keys, "_chunk").agg(*[F.sum(m).alias(m) for m in measures])
     in_order = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -192,7 +192,7 @@ def zonal_class_stats(pixels: DataFrame, counties: DataFrame) -> DataFrame:
     return joined.withColumn("pct_high_hazard", F.coalesce("pct_high_hazard", F.lit(0.0)))
 
 
-def trailing_activity(events: DataFrame, year: int, event_type: str = "Wildfire", bounded: bool = False) -> DataFrame:
+def trailing_activity(events: DataFrame, year: int, event_type: str = "Wildfire") -> DataFrame:
     """Five-year event count and damage per county, scored against the 95th percentile."""
     damage = F.coalesce("property_damage", F.lit(0.0)) + F.coalesce("crop_damage", F.lit(0.0))
     recent = events.where(
@@ -204,7 +204,7 @@ def trailing_activity(events: DataFrame, year: int, event_type: str = "Wildfire"
         recent.groupBy(C.normalize_fips(F.col("fips")).alias("fips"), F.col("event_type").alias("_type"))
         .agg(F.count(F.lit(1)).alias("fire_event_count"), F.sum(damage).alias("fire_damage"))
     )
-    scale = quantiles(per_county, ["_type"], "fire_damage", {"p95": 0.95}, bounded=bounded)
+    scale = quantiles(per_county, ["_type"], "fire_damage", {"p95": 0.95})
     reference = F.log1p(F.when(F.col("p95") > 0, F.col("p95")).otherwise(F.lit(1.0)))
     return per_county.join(scale, "_type").select(
         "fips",
@@ -315,10 +315,10 @@ def weighted_mean(df: DataFrame, keys: list[str], value: str, weight: str) -> Da
     )
 
 
-def calibrate_k(df: DataFrame, keys: list[str], value: str, span: float, bounded: bool = False) -> DataFrame:
+def calibrate_k(df: DataFrame, keys: list[str], value: str, span: float) -> DataFrame:
     """Scale that maps the interquartile range to ``span``; 1 for a flat distribution."""
     iqr = F.col("q3") - F.col("q1")
-    return quantiles(df, keys, value, {"q1": 0.25, "q3": 0.75}, bounded=bounded).select(
+    return quantiles(df, keys, value, {"q1": 0.25, "q3": 0.75}).select(
         *keys, F.when(iqr < 1e-10, F.lit(1.0)).otherwise(F.try_divide(F.lit(float(span)), iqr)).alias("k")
     )
 
@@ -362,13 +362,13 @@ def growth_rate(panel: DataFrame, value: str) -> DataFrame:
     return both.where(F.col("_n") == 2).select("fips", growth.alias("growth")).where(F.col("growth").isNotNull())
 
 
-def acceleration_distribution(accel: DataFrame, keys: list[str], low: float, high: float, bounded: bool = False) -> DataFrame:
+def acceleration_distribution(accel: DataFrame, keys: list[str], low: float, high: float) -> DataFrame:
     """Median multiplier and the shares at either bound."""
     share = lambda bound: F.avg(F.when(F.col("acceleration") == bound, 100.0).otherwise(0.0))
     shares = accel.groupBy(*keys).agg(
         share(low).alias("pct_at_lower_bound"), share(high).alias("pct_at_upper_bound")
     )
-    medians = quantiles(accel, keys, "acceleration", {"median_acceleration": 0.5}, bounded=bounded)
+    medians = quantiles(accel, keys, "acceleration", {"median_acceleration": 0.5})
     return medians.join(shares, keys)
 
 

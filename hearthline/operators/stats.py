@@ -4,8 +4,6 @@ Rank-pair statistics (Kendall, distance correlation) are defined over all pairs
 of rows.  They are computed here in n log n rows: the x order is split by the
 bits of its position, so that every ordered pair meets in exactly one block,
 and inside a block running sums along y replace the pairs.
-
-``bounded`` left at None stores the rows once and counts them (see ``storage``).
 """
 
 from __future__ import annotations
@@ -16,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.operators.order_stats import ordered_histogram, running_totals, with_rank
-from hearthline.storage import materialize, measured
+from hearthline.storage import materialize
 
 
 def pearson(x: str, y: str) -> Column:
@@ -62,22 +60,22 @@ def full_matrix(pairs: DataFrame, keys: list[str], components: list[str]) -> Dat
 
 
 def spearman(
-    df: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool | None = None
+    df: DataFrame, keys: list[str], x: str = "x", y: str = "y"
 ) -> DataFrame:
     """Rank correlation of two columns per group, ranked on complete rows: ``r``, ``n``."""
     complete = df.select(*keys, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    complete, bounded = measured(complete, "ranked", bounded)
-    ranked = with_rank(with_rank(complete, keys, x, "_rx", bounded=bounded), keys, y, "_ry", bounded=bounded)
+    complete = materialize(complete, "ranked")
+    ranked = with_rank(with_rank(complete, keys, x, "_rx"), keys, y, "_ry")
     return ranked.groupBy(*keys).agg(pearson("_rx", "_ry").alias("r"), F.count(F.lit(1)).alias("n"))
 
 
 def pearson_and_spearman(
-    df: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool | None = None
+    df: DataFrame, keys: list[str], x: str = "x", y: str = "y"
 ) -> DataFrame:
     """Both correlations over complete rows: ``pearson_r``, ``spearman_r``, ``n``."""
     complete = df.select(*keys, x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    complete, bounded = measured(complete, "ranked", bounded)
-    ranked = with_rank(with_rank(complete, keys, x, "_rx", bounded=bounded), keys, y, "_ry", bounded=bounded)
+    complete = materialize(complete, "ranked")
+    ranked = with_rank(with_rank(complete, keys, x, "_rx"), keys, y, "_ry")
     return ranked.groupBy(*keys).agg(
         pearson(x, y).alias("pearson_r"), pearson("_rx", "_ry").alias("spearman_r"), F.count(F.lit(1)).alias("n")
     )
@@ -102,8 +100,8 @@ def _row_distance_sum(value: str) -> Column:
 
 
 def _coded(
-    df: DataFrame, keys: list[str], x: str, y: str, bounded: bool | None
-) -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    df: DataFrame, keys: list[str], x: str, y: str
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Distinct (x, y) cells, stored, and both histograms.
 
     A cell has its count ``n``, order codes ``xcode`` and ``ycode``, the group
@@ -112,26 +110,26 @@ def _coded(
     complete = df.select(*keys, F.col(x).alias("x"), F.col(y).alias("y")).where(
         F.col(x).isNotNull() & F.col(y).isNotNull()
     )
-    complete, bounded = measured(complete, "complete", bounded)
-    hist_x = ordered_histogram(complete, keys, "x", sums=True, bounded=bounded)
-    hist_y = ordered_histogram(complete, keys, "y", sums=True, bounded=bounded)
+    complete = materialize(complete, "complete")
+    hist_x = ordered_histogram(complete, keys, "x", sums=True)
+    hist_y = ordered_histogram(complete, keys, "y", sums=True)
     of_x = hist_x.select(*keys, "x", F.col("before").alias("xcode"), "total", _row_distance_sum("x").alias("ax"))
     of_y = hist_y.select(*keys, "y", F.col("before").alias("ycode"), _row_distance_sum("y").alias("by"))
     cells = complete.groupBy(*keys, "x", "y").agg(F.count(F.lit(1)).alias("n")).join(of_x, [*keys, "x"]).join(of_y, [*keys, "y"])
-    return materialize(cells, "cells"), hist_x, hist_y, bounded
+    return materialize(cells, "cells"), hist_x, hist_y
 
 
 def kendall_tau_b(
-    df: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool | None = None
+    df: DataFrame, keys: list[str], x: str = "x", y: str = "y"
 ) -> DataFrame:
     """Kendall's tau-b per group: keys, ``tau``."""
-    cells, hist_x, hist_y, bounded = _coded(df, keys, x, y, bounded)
+    cells, hist_x, hist_y = _coded(df, keys, x, y)
     block = [*keys, "level", "prefix"]
     columns = _blocks(cells, keys).groupBy(*block, "ycode").agg(
         F.sum(F.when(F.col("side") == 0, F.col("n")).otherwise(0)).alias("lower"),
         F.sum(F.when(F.col("side") == 1, F.col("n")).otherwise(0)).alias("upper"),
     )
-    summed = running_totals(columns, block, "ycode", ["lower"], bounded=bounded)
+    summed = running_totals(columns, block, "ycode", ["lower"])
     above = F.col("lower_all") - F.col("lower_before") - F.col("lower")
     balance = summed.groupBy(*keys).agg(
         F.sum(F.col("upper").cast("double") * (F.col("lower_before") - above)).alias("balance")
@@ -151,10 +149,10 @@ def kendall_tau_b(
 
 
 def distance_correlation(
-    df: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool | None = None
+    df: DataFrame, keys: list[str], x: str = "x", y: str = "y"
 ) -> DataFrame:
     """Biased (V-statistic) distance correlation per group: keys, ``r``."""
-    cells, _, _, bounded = _coded(df, keys, x, y, bounded)
+    cells, _, _ = _coded(df, keys, x, y)
     block = [*keys, "level", "prefix"]
     lower = lambda c: F.sum(F.when(F.col("side") == 0, c).otherwise(0))
     upper = lambda c: F.sum(F.when(F.col("side") == 1, c).otherwise(0))
@@ -163,7 +161,7 @@ def distance_correlation(
         lower(n).alias("ln"), lower(nx).alias("lx"), upper(n).alias("un"), upper(nx).alias("ux")
     )
     columns = columns.withColumns({"ly": F.col("ln") * F.col("y"), "lxy": F.col("lx") * F.col("y")})
-    summed = running_totals(columns, block, "ycode", ["ln", "lx", "ly", "lxy"], bounded=bounded)
+    summed = running_totals(columns, block, "ycode", ["ln", "lx", "ly", "lxy"])
     concordant = summed.groupBy(*keys).agg(
         F.sum(
             F.col("ux") * F.col("y") * F.col("ln_before")

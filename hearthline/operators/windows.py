@@ -156,7 +156,7 @@ def theil_sen(
 
 
 def acceleration_multipliers(
-    slopes: DataFrame, scenario: list[str], low: float, high: float, epsilon: float, bounded: bool = False
+    slopes: DataFrame, scenario: list[str], low: float, high: float, epsilon: float
 ) -> DataFrame:
     """Multiplier of each slope relative to the component's median slope.
 
@@ -165,7 +165,7 @@ def acceleration_multipliers(
     """
     group = [*scenario, "component"]
     spread = slopes.groupBy(*group).agg(F.stddev_samp("slope").alias("sigma"))
-    medians = quantiles(slopes, group, "slope", {"median": 0.5}, bounded=bounded)
+    medians = quantiles(slopes, group, "slope", {"median": 0.5})
     joined = slopes.join(spread, group).join(medians, group, "left")
     slope, median, sigma = F.col("slope"), F.col("median"), F.col("sigma")
     ratio = F.try_divide(slope, median)
@@ -179,9 +179,9 @@ def acceleration_multipliers(
     )
 
 
-def winsorize_upper(long: DataFrame, keys: list[str], percentile: float, bounded: bool = False) -> DataFrame:
+def winsorize_upper(long: DataFrame, keys: list[str], percentile: float) -> DataFrame:
     """Values above the group's percentile lowered to it."""
-    cut = quantiles(long, keys, "value", {"_cut": percentile / 100.0}, bounded=bounded)
+    cut = quantiles(long, keys, "value", {"_cut": percentile / 100.0})
     return long.join(cut, keys).withColumn("value", C.clamp_high(F.col("value"), F.col("_cut"))).drop("_cut")
 
 

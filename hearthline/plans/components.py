@@ -208,7 +208,7 @@ def household_panel(
     States without any housing figure keep their total consumption.
     """
     panel = energy.join(anomalies, ["state_fips", "year"]).withColumn(
-        "census_division", P.state_group(P.DIVISION_STATES, F.col("state_fips"))
+        "census_division", P.lookup(P.DIVISION_OF_STATE, F.col("state_fips"))
     )
     panel = panel.join(ratios.select("census_division", "norm_factor"), "census_division", "left").withColumn(
         "norm_factor", F.coalesce("norm_factor", F.lit(1.0))
@@ -348,7 +348,6 @@ def pixels_in_counties(pixels: DataFrame, counties: DataFrame) -> DataFrame:
 
 def wildfire(
     pixels: DataFrame, counties: DataFrame, year: int, events: DataFrame | None = None, planar: bool = False,
-    bounded: bool = False,
 ) -> DataFrame:
     """Static hazard of the pixels blended with recent fire activity."""
     plane = counties.select("fips", "rings" if planar else G.albers_rings(F.col("rings")).alias("rings"))
@@ -363,7 +362,7 @@ def wildfire(
             }
         )
     else:
-        joined = static.join(rollups.trailing_activity(events, year, bounded=bounded), "fips", "left")
+        joined = static.join(rollups.trailing_activity(events, year), "fips", "left")
     filled = joined.withColumns(
         {
             "fire_event_count": F.coalesce("fire_event_count", F.lit(0)),

@@ -17,7 +17,8 @@ from hearthline import params as P
 from hearthline.functions import columns as C
 from hearthline.operators import rollups, stats, windows
 from hearthline.operators.order_stats import quantiles, with_rank
-from hearthline.storage import is_bounded, materialize
+from hearthline.sources.readers import latest_vintage
+from hearthline.storage import materialize
 
 UNIT = ["scenario", "fips"]
 
@@ -31,7 +32,6 @@ class Prepared(NamedTuple):
     pairs: DataFrame
     penalties: DataFrame
     accelerations: DataFrame
-    bounded: bool
 
 
 class IndexResult(NamedTuple):
@@ -75,9 +75,9 @@ def define_universe(panel: DataFrame) -> DataFrame:
     return panel.where(C.in_universe()).select(*UNIT)
 
 
-def percentile_rank(long: DataFrame, bounded: bool = False) -> DataFrame:
+def percentile_rank(long: DataFrame) -> DataFrame:
     """Step 3b: average-tie percentile rank per component, 0 to 100."""
-    ranked = with_rank(long, ["scenario", "component"], "value", "_pct", "pct", bounded)
+    ranked = with_rank(long, ["scenario", "component"], "value", "_pct", "pct")
     return ranked.withColumn("value", F.col("_pct")).drop("_pct")
 
 
@@ -86,10 +86,10 @@ def center(long: DataFrame, subtract: float = 50.0) -> DataFrame:
     return long.withColumn("value", F.col("value") - subtract)
 
 
-def winsorized_universe(panel: DataFrame, settings: P.Settings, bounded: bool) -> DataFrame:
+def winsorized_universe(panel: DataFrame, settings: P.Settings) -> DataFrame:
     """Steps 1 to 3a: transformed values, cut at the percentile over all counties, universe only."""
     long = observed_long(transform_inputs(panel), components_of(panel))
-    cut = windows.winsorize_upper(long, ["scenario", "component"], settings.winsorize_percentile, bounded)
+    cut = windows.winsorize_upper(long, ["scenario", "component"], settings.winsorize_percentile)
     return cut.where("in_universe").select(*UNIT, "component", "value")
 
 
@@ -164,14 +164,14 @@ def overlap_penalties(flagged: DataFrame, floor: float) -> DataFrame:
 
 
 def accelerations(
-    panel: DataFrame, components: list[str], settings: P.Settings, registry_table: DataFrame, bounded: bool = False
+    panel: DataFrame, components: list[str], settings: P.Settings, registry_table: DataFrame
 ) -> DataFrame:
     """Step 6: trend multipliers from the untransformed multi-year values."""
     wide = panel.select(*UNIT, "year", *[F.col(c).cast("double").alias(c) for c in components])
     long = wide.unpivot([*UNIT, "year"], components, "component", "value")
     slopes = windows.theil_sen(long, registry_table, settings.scoring_year, UNIT, settings.min_completeness)
     return windows.acceleration_multipliers(
-        slopes, ["scenario"], settings.accel_low, settings.accel_high, settings.accel_epsilon, bounded
+        slopes, ["scenario"], settings.accel_low, settings.accel_high, settings.accel_epsilon
     )
 
 
@@ -179,13 +179,12 @@ def prepare(panel: DataFrame, settings: P.Settings, registry=P.REGISTRY) -> Prep
     """Steps 1 to 6, shared by every weighting of the same panel."""
     components = components_of(panel)
     stored = materialize(with_scenario(panel), "panel")
-    bounded = is_bounded(stored, limit=100_000)
     current = stored.where(F.col("year") == settings.scoring_year)
-    centered = materialize(center(percentile_rank(winsorized_universe(current, settings, bounded), bounded)), "centered")
+    centered = materialize(center(percentile_rank(winsorized_universe(current, settings))), "centered")
     pairs = stats.pearson_pairs(to_wide(centered, components), ["scenario"], components)
     penalties = overlap_penalties(flagged_pairs(pairs, settings.overlap_threshold, registry=registry), settings.overlap_floor)
-    accel = accelerations(stored, components, settings, P.registry_frame(panel.sparkSession, registry), bounded)
-    return Prepared(stored, components, centered, pairs, penalties, accel, bounded)
+    accel = accelerations(stored, components, settings, P.registry_frame(panel.sparkSession, registry))
+    return Prepared(stored, components, centered, pairs, penalties, accel)
 
 
 def contributions(centered: DataFrame, penalties: DataFrame, accel: DataFrame | None) -> DataFrame:
@@ -208,22 +207,22 @@ def component_scores(parts: DataFrame, weights: DataFrame) -> DataFrame:
     return parts.join(weights, keys).select(*UNIT, "component", (F.col("value") * F.col("weight")).alias("score"))
 
 
-def composite(scores: DataFrame, settings: P.Settings, bounded: bool = False, k: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def composite(scores: DataFrame, settings: P.Settings, k: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Steps 9 and 10: sum per county, calibrate k, scale to 100 + k·S."""
     raw = scores.groupBy(*UNIT).agg(F.sum("score").alias("raw_composite"))
-    scale = k if k is not None else rollups.calibrate_k(raw, ["scenario"], "raw_composite", settings.target_span, bounded)
+    scale = k if k is not None else rollups.calibrate_k(raw, ["scenario"], "raw_composite", settings.target_span)
     scaled = raw.join(scale, "scenario").select(
         *UNIT, (100.0 + F.col("k") * F.col("raw_composite")).alias("index_score"), "raw_composite"
     )
     return scaled, scale
 
 
-def strain(scores: DataFrame, income: DataFrame, bounded: bool = False) -> DataFrame:
+def strain(scores: DataFrame, income: DataFrame) -> DataFrame:
     """Score per income, re-indexed so that its median is 100."""
     ratio = scores.join(income.select("fips", "median_household_income"), "fips").where(
         F.col("median_household_income") > 0
     ).select(*UNIT, (F.col("index_score") / F.col("median_household_income")).alias("_ratio"))
-    middle = quantiles(ratio, ["scenario"], "_ratio", {"_median": 0.5}, bounded)
+    middle = quantiles(ratio, ["scenario"], "_ratio", {"_median": 0.5})
     value = F.when(F.col("_median") > 0, F.col("_ratio") / F.col("_median") * 100.0).otherwise(F.lit(100.0))
     return ratio.join(middle, "scenario").select(*UNIT, value.alias("index_strain"))
 
@@ -240,13 +239,19 @@ def compute_index(
     panel: DataFrame, settings: P.Settings, census: DataFrame | None = None,
     weights: DataFrame | None = None, k: DataFrame | None = None, registry=P.REGISTRY,
 ) -> IndexResult:
-    """All ten steps.  ``k`` may be given to freeze the scale of an earlier run."""
+    """All ten steps.  ``k`` may be given to freeze the scale of an earlier run.
+
+    ``census`` may hold several years; the newest of the last five up to the scoring year counts.
+    """
     spark = panel.sparkSession
+    if census is not None and "year" in census.columns:
+        # A county has one row: that of the newest vintage up to the scoring year.
+        census = latest_vintage(census, settings.scoring_year).dropDuplicates(["fips"])
     ready = prepare(panel, settings, registry)
     if weights is None:
         weights = P.registry_frame(spark, registry).select("component", "weight")
     parts = component_scores(contributions(ready.centered, ready.penalties, ready.accelerations), weights)
-    scaled, scale = composite(parts, settings, ready.bounded, k)
+    scaled, scale = composite(parts, settings, k)
     scored = materialize(scaled, "scores")
     current = ready.panel.where(F.col("year") == settings.scoring_year)
     tiers = current.select(*UNIT, C.quality_tier(current.columns).alias("data_quality_tier"))
@@ -264,7 +269,7 @@ def compute_index(
         correlation=ready.pairs,
         k=scale,
         national=national(scored, census),
-        strain=strain(scored, census, ready.bounded) if census is not None else scored.limit(0).select(
+        strain=strain(scored, census) if census is not None else scored.limit(0).select(
             *UNIT, F.lit(None).cast("double").alias("index_strain")
         ),
         dollar=dollar,
@@ -273,18 +278,18 @@ def compute_index(
 
 
 def correlation_robustness(
-    centered: DataFrame, components: list[str], threshold: float = 0.6, bounded: bool | None = None
+    centered: DataFrame, components: list[str], threshold: float = 0.6
 ) -> DataFrame:
     """Pair correlations by four methods: ``scenario, a, b, method, r, flagged``."""
     wide = to_wide(centered, components)
     complete = wide.dropna(subset=components)
     pair_keys = ["scenario", "a", "b"]
-    regional = centered.withColumn("region", P.state_group(P.REGION_STATES, C.state_of(C.zero_pad(F.col("fips"), 5))))
+    regional = centered.withColumn("region", P.lookup(P.REGION_OF_STATE, C.state_of(C.zero_pad(F.col("fips"), 5))))
     methods = {
         "pearson": stats.pearson_pairs(wide, ["scenario"], components),
-        "spearman": stats.spearman(stats.pair_rows(wide, ["scenario"], components), pair_keys, bounded=bounded),
+        "spearman": stats.spearman(stats.pair_rows(wide, ["scenario"], components), pair_keys),
         "distance": stats.distance_correlation(
-            stats.pair_rows(complete, ["scenario"], components), pair_keys, bounded=bounded
+            stats.pair_rows(complete, ["scenario"], components), pair_keys
         ),
         "partial": stats.partial_pairs(regional, ["scenario"], "fips", "region", components),
     }

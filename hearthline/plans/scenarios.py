@@ -17,7 +17,7 @@ UNIT = I.UNIT
 
 
 def compare_rankings(
-    primary: DataFrame, alternatives: DataFrame, bounded: bool = False, kendall: bool = True, top: int = 10
+    primary: DataFrame, alternatives: DataFrame, kendall: bool = True, top: int = 10
 ) -> DataFrame:
     """Rank agreement of each scenario with the primary scores.
 
@@ -29,8 +29,8 @@ def compare_rankings(
     )
     # Both rankings, the shifts and tau read these rows.
     shared = materialize(shared, "rankings")
-    ranked = with_ranks(shared, ["scenario"], "x", {"primary_rank": "min", "_rx": "average"}, bounded)
-    ranked = with_ranks(ranked, ["scenario"], "y", {"alt_rank": "min", "_ry": "average"}, bounded)
+    ranked = with_ranks(shared, ["scenario"], "x", {"primary_rank": "min", "_rx": "average"})
+    ranked = with_ranks(ranked, ["scenario"], "y", {"alt_rank": "min", "_ry": "average"})
     shift = ranked.withColumn("shift", F.abs(F.col("alt_rank") - F.col("primary_rank")))
     summary = shift.groupBy("scenario").agg(
         stats.pearson("_rx", "_ry").alias("spearman_r"),
@@ -51,7 +51,7 @@ def compare_rankings(
     )
     result = summary.join(shifted, "scenario", "left")
     if kendall:
-        result = result.join(stats.kendall_tau_b(shared, ["scenario"], bounded=bounded), "scenario", "left").withColumnRenamed(
+        result = result.join(stats.kendall_tau_b(shared, ["scenario"]), "scenario", "left").withColumnRenamed(
             "tau", "kendall_tau"
         )
     return result
@@ -60,16 +60,16 @@ def compare_rankings(
 def primary_scores(ready: I.Prepared, settings: P.Settings, weights: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Primary index ``(fips, index_score)`` and its scale."""
     parts = I.component_scores(I.contributions(ready.centered, ready.penalties, ready.accelerations), weights)
-    scored, k = I.composite(parts, settings, ready.bounded)
+    scored, k = I.composite(parts, settings)
     return scored.drop("scenario"), k
 
 
-def rescored(contributions: DataFrame, schemes: DataFrame, settings: P.Settings, bounded: bool) -> DataFrame:
+def rescored(contributions: DataFrame, schemes: DataFrame, settings: P.Settings) -> DataFrame:
     """Scores of each weighting scheme over the same contributions, k recalibrated."""
     parts = contributions.drop("scenario").join(schemes, "component").select(
         *UNIT, "component", (F.col("value") * F.col("weight")).alias("score")
     )
-    return I.composite(parts, settings, bounded)[0]
+    return I.composite(parts, settings)[0]
 
 
 def base_weights_frame(spark: SparkSession) -> DataFrame:
@@ -95,8 +95,8 @@ def jackknife(ready: I.Prepared, settings: P.Settings) -> DataFrame:
     primary, _ = primary_scores(ready, settings, base_weights_frame(spark))
     schemes = P.weights_frame(spark, jackknife_schemes(P.base_weights()))
     parts = I.contributions(ready.centered, ready.penalties, ready.accelerations)
-    alternatives = rescored(parts, schemes, settings, ready.bounded)
-    return compare_rankings(primary, alternatives, ready.bounded, kendall=False).select(
+    alternatives = rescored(parts, schemes, settings)
+    return compare_rankings(primary, alternatives, kendall=False).select(
         F.col("scenario").alias("excluded_component"), "spearman_r", "max_rank_shift", "n_shifted_gt_10",
         F.col("top_shifted").alias("most_affected_counties"),
     )
@@ -118,14 +118,14 @@ def alternative_weightings(ready: I.Prepared, settings: P.Settings) -> DataFrame
     neutral = I.contributions(ready.centered, ready.penalties, None)
     weighted = P.weights_frame(spark, {"equal": equal, "pure_risk": P.RISK_WEIGHTS})
     unmoved = P.weights_frame(spark, {"pure_budget": base, "neutral_acceleration": base})
-    scored = rescored(moving, weighted, settings, ready.bounded).unionByName(
-        rescored(neutral, unmoved, settings, ready.bounded)
+    scored = rescored(moving, weighted, settings).unionByName(
+        rescored(neutral, unmoved, settings)
     )
     spread = quantiles(
-        scored, ["scenario"], "index_score", {"iqr_low": 0.25, "median_index_score": 0.5, "iqr_high": 0.75}, ready.bounded
+        scored, ["scenario"], "index_score", {"iqr_low": 0.25, "median_index_score": 0.5, "iqr_high": 0.75}
     )
     return (
-        compare_rankings(primary, scored, ready.bounded, kendall=False)
+        compare_rankings(primary, scored, kendall=False)
         .join(spread, "scenario")
         .select(
             F.col("scenario").alias("scheme"), F.col("spearman_r").alias("spearman_r_vs_primary"), "max_rank_shift",
@@ -162,8 +162,8 @@ def threshold_sweep(ready: I.Prepared, settings: P.Settings, thresholds=(0.5, 0.
         "scenario", F.explode(F.array(*[F.lit(str(t)) for t in thresholds]))
     )
     parts = I.component_scores(I.contributions(fanned, penalties, accel), weights)
-    scored, _ = I.composite(parts, settings, ready.bounded)
-    compared = compare_rankings(primary, scored, ready.bounded, kendall=False)
+    scored, _ = I.composite(parts, settings)
+    compared = compare_rankings(primary, scored, kendall=False)
     counted = penalties.groupBy("scenario").agg(
         F.count_if(F.col("penalty") < 1).alias("n_penalized"),
         F.map_from_entries(F.collect_list(F.struct("component", "penalty"))).alias("penalties"),
@@ -188,14 +188,14 @@ def normalization_compare(ready: I.Prepared, settings: P.Settings) -> DataFrame:
     primary, _ = primary_scores(ready, settings, weights)
     current = ready.panel.where(F.col("year") == settings.scoring_year)
     scaled = windows.zscore_normalize(
-        I.winsorized_universe(current, settings, ready.bounded), ["scenario", "component"]
+        I.winsorized_universe(current, settings), ["scenario", "component"]
     )
     parts = I.component_scores(I.contributions(scaled, ready.penalties, ready.accelerations), weights)
-    scored, _ = I.composite(parts, settings, ready.bounded)
+    scored, _ = I.composite(parts, settings)
     both = scored.withColumn("scenario", F.lit("z_score")).unionByName(
         primary.withColumn("scenario", F.lit("percentile"))
     )
-    return compare_rankings(primary, both, ready.bounded).select(
+    return compare_rankings(primary, both).select(
         F.col("scenario").alias("normalization"), F.col("spearman_r").alias("spearman_r_vs_primary"), "kendall_tau",
         "max_rank_shift", "n_shifted_gt_10",
     )
@@ -219,12 +219,12 @@ def fan_out(panel: DataFrame, variants: dict[str, dict[str, Column]]) -> DataFra
 
 def full_variants(
     panel: DataFrame, variants: dict[str, dict[str, Column]], settings: P.Settings
-) -> tuple[DataFrame, bool]:
+) -> DataFrame:
     """All ten steps for each variant of the panel, in one run keyed by scenario."""
     ready = I.prepare(fan_out(panel, variants), settings)
     weights = base_weights_frame(panel.sparkSession)
     parts = I.component_scores(I.contributions(ready.centered, ready.penalties, ready.accelerations), weights)
-    return materialize(I.composite(parts, settings, ready.bounded)[0], "variants"), ready.bounded
+    return materialize(I.composite(parts, settings)[0], "variants")
 
 
 def severity_perturbation(panel: DataFrame, settings: P.Settings, factors=(0.75, 0.875, 1.0, 1.125, 1.25)) -> DataFrame:
@@ -234,9 +234,9 @@ def severity_perturbation(panel: DataFrame, settings: P.Settings, factors=(0.75,
         variants.update({str(f): {"storm_severity": F.col("storm_severity") * float(f)} for f in factors})
     else:
         variants.update({str(f): {} for f in factors})
-    scored, bounded = full_variants(panel, variants, settings)
+    scored = full_variants(panel, variants, settings)
     primary = scored.where(F.col("scenario") == "primary").drop("scenario")
-    return compare_rankings(primary, scored.where(F.col("scenario") != "primary"), bounded, kendall=False).select(
+    return compare_rankings(primary, scored.where(F.col("scenario") != "primary"), kendall=False).select(
         F.col("scenario").cast("double").alias("perturbation_factor"),
         F.col("spearman_r").alias("spearman_r_vs_primary"),
         "max_rank_shift",
@@ -265,9 +265,9 @@ def baseline_comparison(panel: DataFrame, settings: P.Settings, alternative: Dat
         absent = spark.createDataFrame([("1981-2010", None, None, None, "data_unavailable")], BASELINE_SCHEMA)
         return own.unionByName(absent)
     swapped = {old: F.col(new) for old, new in ALTERNATIVE_BASELINE.items()}
-    scored, bounded = full_variants(panel, {"primary": {}, "1981-2010": swapped}, settings)
+    scored = full_variants(panel, {"primary": {}, "1981-2010": swapped}, settings)
     primary = scored.where(F.col("scenario") == "primary").drop("scenario")
-    compared = compare_rankings(primary, scored.where(F.col("scenario") != "primary"), bounded, kendall=False)
+    compared = compare_rankings(primary, scored.where(F.col("scenario") != "primary"), kendall=False)
     return own.unionByName(
         compared.select(
             F.col("scenario").alias("baseline"), F.col("spearman_r").alias("spearman_r_vs_primary"),
@@ -290,10 +290,10 @@ def window_sensitivity(ready: I.Prepared, settings: P.Settings, lengths=(3, 5, 7
     ]
     table = reduce(lambda a, b: a.unionByName(b), tables)
     fan = lambda df: df.drop("scenario").withColumn("scenario", F.explode(F.array(*[F.lit(str(w)) for w in lengths])))
-    accel = I.accelerations(fan(ready.panel), ready.components, settings, table, ready.bounded)
+    accel = I.accelerations(fan(ready.panel), ready.components, settings, table)
     penalties = fan(ready.penalties)
     parts = I.component_scores(I.contributions(fan(ready.centered), penalties, accel), weights)
-    scored, _ = I.composite(parts, settings, ready.bounded)
+    scored, _ = I.composite(parts, settings)
     # Components and counties without a multiplier count as one in the score and in this summary.
     units = fan(ready.panel.select("scenario", "fips").distinct()).withColumn(
         "component", F.explode(F.array(*[F.lit(c) for c in ready.components]))
@@ -301,9 +301,9 @@ def window_sensitivity(ready: I.Prepared, settings: P.Settings, lengths=(3, 5, 7
     full = units.join(accel.select(*UNIT, "component", "acceleration"), [*UNIT, "component"], "left").withColumn(
         "acceleration", F.coalesce("acceleration", F.lit(1.0))
     )
-    spread = rollups.acceleration_distribution(full, ["scenario"], settings.accel_low, settings.accel_high, ready.bounded)
+    spread = rollups.acceleration_distribution(full, ["scenario"], settings.accel_low, settings.accel_high)
     return (
-        compare_rankings(primary, scored, ready.bounded, kendall=False)
+        compare_rankings(primary, scored, kendall=False)
         .join(spread, "scenario")
         .select(
             F.col("scenario").cast("int").alias("window_years"), F.col("spearman_r").alias("spearman_r_vs_primary"),
@@ -330,17 +330,22 @@ def uniform_draw(draw: Column, place: int, seed: int) -> Column:
     return mixed / float(_PRIME)
 
 
-def perturbed_weights(
-    spark: SparkSession, weights: dict[str, float], iterations: int, perturbation: float, seed: int = 42
-) -> DataFrame:
-    """``(iteration, weights)``: each weight scaled by a draw in 1 ± perturbation, then to sum one."""
+def with_perturbed_weights(draws: DataFrame, weights: dict[str, float], perturbation: float, seed: int = 42) -> DataFrame:
+    """Add ``weights`` of each ``iteration``: every weight scaled by a draw in 1 ± perturbation, then to sum one."""
     drawn = [
-        F.lit(w) * (F.lit(1.0 - perturbation) + 2.0 * perturbation * uniform_draw(F.col("id"), place, seed))
+        F.lit(w) * (F.lit(1.0 - perturbation) + 2.0 * perturbation * uniform_draw(F.col("iteration"), place, seed))
         for place, w in enumerate(weights.values())
     ]
-    raw = spark.range(iterations).select(F.col("id").cast("int").alias("iteration"), F.array(*drawn).alias("_w"))
     total = F.aggregate("_w", F.lit(0.0), lambda a, w: a + w)
-    return raw.select("iteration", F.transform("_w", lambda w: w / total).alias("weights"))
+    return draws.withColumn("_w", F.array(*drawn)).withColumn("weights", F.transform("_w", lambda w: w / total)).drop("_w")
+
+
+def perturbed_weights(
+    spark: SparkSession, weights: dict[str, float], iterations: int, perturbation: float, seed: int = 42
+) -> DataFrame:
+    """``(iteration, weights)`` of all draws."""
+    draws = spark.range(iterations).select(F.col("id").cast("int").alias("iteration"))
+    return with_perturbed_weights(draws, weights, perturbation, seed)
 
 
 class MonteCarlo:
@@ -356,8 +361,8 @@ def monte_carlo_weights(
 ) -> MonteCarlo:
     """Rank spread of each county under random weights, with the primary scale.
 
-    The draw table is bounded by the iteration count.  Each county row meets it
-    by key, giving one score per draw, which is what the rank spread is about.
+    A draw's weights are arithmetic on its number, so each county row computes its
+    score of every draw in place; no table of draws is joined.
     """
     spark = ready.panel.sparkSession
     iterations = iterations or settings.monte_carlo_iterations
@@ -370,14 +375,16 @@ def monte_carlo_weights(
     flat = wide.join(scale, "scenario").select(
         "fips", "k", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in names]
     )
-    weights = perturbed_weights(spark, base, iterations, perturbation, seed)
-    fanned = flat.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).join(weights, "iteration")
+    fanned = flat.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    fanned = with_perturbed_weights(fanned, base, perturbation, seed)
     total = reduce(lambda a, b: a + b, [F.col(c) * F.get("weights", F.lit(i)) for i, c in enumerate(names)])
     scored = fanned.select("iteration", "fips", (100.0 + F.col("k") * total).alias("score"))
-    few = ready.bounded
-    ranked = with_ranks(scored, ["iteration"], "score", {"rank": "min", "_ry": "average"}, few)
+    # A draw ranks the counties, so its group is as large as their number, whatever the number of draws.
+    group = Window.partitionBy("iteration")
+    ties = F.count(F.lit(1)).over(Window.partitionBy("iteration", "score"))
+    ranked = scored.withColumn("rank", F.rank().over(group.orderBy("score"))).withColumn("_ry", F.col("rank") + (ties - 1) / 2.0)
     own = with_ranks(
-        primary.withColumn("_all", F.lit("primary")), ["_all"], "index_score", {"primary_rank": "min", "_rx": "average"}, few
+        primary.withColumn("_all", F.lit("primary")), ["_all"], "index_score", {"primary_rank": "min", "_rx": "average"}
     ).select("fips", "primary_rank", "_rx")
     draws = materialize(ranked.join(own, "fips").drop("score"), "draws")
     n_units = own.groupBy().agg(F.count(F.lit(1)).alias("_units"))
@@ -424,10 +431,9 @@ def report_rows(
 
 def monte_carlo_row(result: MonteCarlo) -> DataFrame:
     """Report row of a Monte-Carlo run: median agreement, 95th percentile shift, flagged counties."""
-    shifts = result.detail.groupBy(F.lit("monte_carlo").alias("variant")).agg(
-        F.percentile_approx("max_rank_shift", 0.95, 10_000).cast("double").alias("max_rank_shift"),
-        F.count_if("is_flagged").alias("n_flagged"),
-    )
+    detail = result.detail.withColumn("variant", F.lit("monte_carlo"))
+    flagged = detail.groupBy("variant").agg(F.count_if("is_flagged").alias("n_flagged"))
+    shifts = quantiles(detail, ["variant"], "max_rank_shift", {"max_rank_shift": 0.95}).join(flagged, "variant")
     agreement = result.summary.withColumn("variant", F.lit("monte_carlo"))
     return report_rows(
         agreement.join(shifts, "variant"), "weight_perturbation", F.col("variant"), "p50", flagged="n_flagged"

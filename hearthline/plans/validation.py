@@ -13,7 +13,7 @@ from hearthline.functions.pvalues import correlation_pvalue
 from hearthline.operators import rollups, stats, windows
 from hearthline.operators.joins import year_pairs
 from hearthline.operators.order_stats import quantiles
-from hearthline.storage import measured
+from hearthline.storage import materialize
 
 EXTERNAL_SCHEMA = (
     "indicator string, geographic_level string, pearson_r double, spearman_r double, p_value_pearson double, "
@@ -32,10 +32,10 @@ INDICATORS = (
 
 
 def correlation_test(
-    pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y", bounded: bool | None = None
+    pairs: DataFrame, keys: list[str], x: str = "x", y: str = "y"
 ) -> DataFrame:
     """Pearson and Spearman with p-values per group; fewer than three rows give NULL."""
-    both = stats.pearson_and_spearman(pairs, keys, x, y, bounded)
+    both = stats.pearson_and_spearman(pairs, keys, x, y)
     enough = F.col("n") >= 3
     return both.select(
         *keys,
@@ -48,7 +48,7 @@ def correlation_test(
 
 
 def external_validation(
-    scored: DataFrame, panel: DataFrame | None, census: DataFrame | None, scoring_year: int, bounded: bool | None = None
+    scored: DataFrame, panel: DataFrame | None, census: DataFrame | None, scoring_year: int
 ) -> DataFrame:
     """Six indicators against the scores; those without a source say so."""
     spark = scored.sparkSession
@@ -73,7 +73,7 @@ def external_validation(
     else:
         stacked = reduce(lambda a, b: a.unionByName(b), series)
         matched = stacked.join(scored.select("fips", F.col("index_score").alias("x")), "fips")
-        tested = correlation_test(matched, ["indicator"], bounded=bounded)
+        tested = correlation_test(matched, ["indicator"])
     size = F.when(F.col("signed"), F.col("pearson_r")).otherwise(F.abs("pearson_r"))
     status = (
         F.when(F.col("n_observations").isNull(), F.lit("data_unavailable"))
@@ -88,7 +88,7 @@ def external_validation(
     )
 
 
-def convergent_divergent(scored: DataFrame, benchmark: DataFrame | None, bounded: bool | None = None) -> DataFrame:
+def convergent_divergent(scored: DataFrame, benchmark: DataFrame | None) -> DataFrame:
     """Two rows per benchmark: correlated enough, but no duplicate."""
     spark = scored.sparkSession
     targets = spark.createDataFrame(
@@ -106,7 +106,7 @@ def convergent_divergent(scored: DataFrame, benchmark: DataFrame | None, bounded
         matched = scored.select("fips", F.col("index_score").alias("x")).join(
             benchmark.select("fips", F.col("nri_score").alias("y"), F.lit("fema_nri").alias("benchmark")), "fips"
         )
-        tested = correlation_test(matched, ["benchmark"], bounded=bounded)
+        tested = correlation_test(matched, ["benchmark"])
     size = F.abs("pearson_r")
     within = F.when(F.col("closed"), size.between(F.col("target_r_low"), F.col("target_r_high"))).otherwise(
         size < F.col("target_r_high")
@@ -126,20 +126,26 @@ def convergent_divergent(scored: DataFrame, benchmark: DataFrame | None, bounded
 # --- stability ---------------------------------------------------------------------
 
 
+def _pair_label() -> Column:
+    return F.concat_ws("-", F.col("year").cast("string"), F.col("next_year").cast("string"))
+
+
 def paired_scores(scores: DataFrame) -> DataFrame:
     """Scores of counties present in consecutive years: ``year_pair, fips, x, y``."""
     following = scores.select(F.col("year").alias("next_year"), "fips", F.col("index_score").alias("y"))
-    label = F.concat_ws("-", F.col("year").cast("string"), F.col("next_year").cast("string"))
     return (
         scores.join(year_pairs(scores), "year")
         .join(following, ["next_year", "fips"])
-        .select(label.alias("year_pair"), "fips", F.col("index_score").alias("x"), "y")
+        .select(_pair_label().alias("year_pair"), "fips", F.col("index_score").alias("x"), "y")
     )
 
 
-def rank_persistence(scores: DataFrame, bounded: bool | None = None) -> DataFrame:
+def rank_persistence(scores: DataFrame) -> DataFrame:
     """Rank correlation of consecutive years with its interval; passes above 0.9."""
-    both = stats.spearman(paired_scores(scores), ["year_pair"], bounded=bounded)
+    found = stats.spearman(paired_scores(scores), ["year_pair"])
+    # Consecutive years without a common county keep their row, with n = 0.
+    both = year_pairs(scores).select(_pair_label().alias("year_pair")).join(found, "year_pair", "left")
+    both = both.withColumn("n", F.coalesce("n", F.lit(0)))
     r = F.when(F.col("n") >= 3, F.col("r"))
     return both.select(
         "year_pair",
@@ -151,12 +157,12 @@ def rank_persistence(scores: DataFrame, bounded: bool | None = None) -> DataFram
     )
 
 
-def decile_turnover(scores: DataFrame, bounded: bool = False) -> DataFrame:
+def decile_turnover(scores: DataFrame) -> DataFrame:
     """Share of the top and bottom tenth that leaves it by the next year; passes below 20 %."""
     pairs = paired_scores(scores)
     levels = {"low": 0.1, "high": 0.9}
-    cuts_x = quantiles(pairs, ["year_pair"], "x", {f"x_{n}": p for n, p in levels.items()}, bounded)
-    cuts_y = quantiles(pairs, ["year_pair"], "y", {f"y_{n}": p for n, p in levels.items()}, bounded)
+    cuts_x = quantiles(pairs, ["year_pair"], "x", {f"x_{n}": p for n, p in levels.items()})
+    cuts_y = quantiles(pairs, ["year_pair"], "y", {f"y_{n}": p for n, p in levels.items()})
     placed = pairs.join(cuts_x, "year_pair").join(cuts_y, "year_pair")
     top = (F.col("x") >= F.col("x_high"), F.col("y") >= F.col("y_high"))
     bottom = (F.col("x") <= F.col("x_low"), F.col("y") <= F.col("y_low"))
@@ -248,14 +254,14 @@ def _note_row(spark: SparkSession, metric: str, status: str, note: str) -> DataF
     return spark.createDataFrame([(metric, "N/A", None, None, None, status, note)], STABILITY_SCHEMA)
 
 
-def stability_report(multi_year: DataFrame, bounded: bool | None = None) -> DataFrame:
+def stability_report(multi_year: DataFrame) -> DataFrame:
     """All stability metrics in common columns, with rows saying what was not possible."""
     spark = multi_year.sparkSession
     missing = sorted({"fips", "year", "index_score"} - set(multi_year.columns))
     if missing:
         return _note_row(spark, "all", "missing_columns", f"Missing required columns: {missing}")
     # Every metric reads the scores.
-    multi_year, bounded = measured(multi_year, "multi_year", bounded)
+    multi_year = materialize(multi_year, "multi_year")
     years = multi_year.select("year").distinct().count()
     if years < 2:
         return _note_row(spark, "all", "insufficient_years", f"Stability analysis requires >=2 years. Found {years}.")
@@ -264,11 +270,11 @@ def stability_report(multi_year: DataFrame, bounded: bool | None = None) -> Data
     interval = F.when(
         F.col("ci_low").isNotNull(), F.format_string("CI=[%.3f, %.3f]", F.col("ci_low"), F.col("ci_high"))
     ).otherwise(F.lit(""))
-    persistence = rank_persistence(scores, bounded).select(
+    persistence = rank_persistence(scores).select(
         F.lit("rank_persistence").alias("metric"), "year_pair", F.col("spearman_r").alias("value"),
         F.lit(0.9).alias("threshold"), "passes", verdict.alias("status"), interval.alias("note"),
     )
-    turnover = decile_turnover(scores, bounded).select(
+    turnover = decile_turnover(scores).select(
         F.concat(F.lit("decile_turnover_"), "decile").alias("metric"), "year_pair",
         F.col("turnover_pct").alias("value"), "threshold", "passes", verdict.alias("status"), F.lit("").alias("note"),
     )
@@ -296,12 +302,15 @@ def stability_report(multi_year: DataFrame, bounded: bool | None = None) -> Data
             _note_row(spark, "component_contribution_stability", "no_component_data", "No component columns found")
         )
     changed, all_of = F.count_if("driver_changed"), F.count(F.lit(1))
+    some = all_of > 0
+    changes = F.format_string("%d/%d counties changed primary driver", changed, all_of)
     return rows.unionByName(
         contribution_stability(multi_year, components).agg(
-            F.lit("component_contribution_stability").alias("metric"), F.lit("all").alias("year_pair"),
-            F.avg("component_rank_spearman_r").alias("value"), no_number.alias("threshold"),
-            no_verdict.alias("passes"), F.lit("success").alias("status"),
-            F.format_string("%d/%d counties changed primary driver", changed, all_of).alias("note"),
+            F.lit("component_contribution_stability").alias("metric"),
+            F.when(some, F.lit("all")).otherwise(F.lit("N/A")).alias("year_pair"),
+            F.avg("component_rank_spearman_r").alias("value"), no_number.alias("threshold"), no_verdict.alias("passes"),
+            F.when(some, F.lit("success")).otherwise(F.lit("no_component_data")).alias("status"),
+            F.when(some, changes).otherwise(F.lit("No comparable county-years found")).alias("note"),
         )
     )
 

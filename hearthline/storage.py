@@ -43,21 +43,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-ONE_TASK_ROWS = 1_000_000
-
-
-def is_bounded(stored: DataFrame, limit: int = ONE_TASK_ROWS) -> bool:
-    """Whether a stored table is small enough for one task to hold a group of it.
-
-    Counting a written table reads file footers only.  Operators take the answer
-    as their ``bounded`` argument and use a distributed form when it is false.
-    """
-    return stored.count() <= limit
-
-
-def measured(df: DataFrame, name: str, bounded: bool | None = None) -> tuple[DataFrame, bool]:
-    """Store a table that several later steps read, and size it unless told."""
-    stored = materialize(df, name)
-    return stored, is_bounded(stored) if bounded is None else bounded

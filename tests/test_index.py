@@ -81,7 +81,7 @@ def test_winsorize_precedes_universe(spark, panel):
     """The cut uses every county of the year, also those outside the universe."""
     rare = panel.where("year = 2024").withColumn("drought_score", F.when(F.col("fips") != "01000", F.col("drought_score")))
     rare = rare.withColumn("pm25_annual", F.when(F.col("fips") == "01000", F.lit(1e6)).otherwise(F.col("pm25_annual")))
-    inside = I.winsorized_universe(I.with_scenario(rare), P.Settings(), True)
+    inside = I.winsorized_universe(I.with_scenario(rare), P.Settings())
     assert inside.where("fips = '01000'").count() == 0
     values = rare.toPandas().pm25_annual
     top = inside.where("component = 'pm25_annual'").agg(F.max("value")).first()[0]

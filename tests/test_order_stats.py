@@ -23,11 +23,10 @@ def table(spark):
     return rows, frame
 
 
-@pytest.mark.parametrize("bounded", [False, True])
-def test_ranks(table, bounded):
+def test_ranks(table):
     rows, frame = table
     outs = {"average": "average", "lowest": "min", "down": "descending", "pct": "pct"}
-    got = O.with_ranks(rows, ["k"], "x", outs, bounded).toPandas().sort_values(["k", "i"])
+    got = O.with_ranks(rows, ["k"], "x", outs).toPandas().sort_values(["k", "i"])
     by = frame.groupby("k").x
     assert np.allclose(got.average, by.rank())
     assert np.allclose(got.lowest, by.rank(method="min"))
@@ -35,20 +34,19 @@ def test_ranks(table, bounded):
     assert np.allclose(got.pct, by.rank(pct=True) * 100)
 
 
-@pytest.mark.parametrize("bounded", [False, True])
-def test_quantiles_skip_null(table, bounded):
+def test_quantiles_skip_null(table):
     rows, frame = table
-    got = O.quantiles(rows, ["k"], "y", {"q": 0.25, "m": 0.5, "h": 0.99}, bounded).toPandas().set_index("k")
+    got = O.quantiles(rows, ["k"], "y", {"q": 0.25, "m": 0.5, "h": 0.99}).toPandas().set_index("k")
     for key, group in frame.groupby("k"):
         values = group.y.dropna()
         if len(values):
             assert np.allclose(got.loc[key], np.percentile(values, [25, 50, 99]))
 
 
-@pytest.mark.parametrize("bounded,bits", [(False, 3), (False, 16), (True, 16)])
-def test_running_totals(spark, bounded, bits):
+@pytest.mark.parametrize("bits", [3, 16])
+def test_running_totals(spark, bits):
     rows = spark.createDataFrame([("a", int(c), float(c % 7)) for c in range(0, 300, 3)], "k string, code long, v double")
-    got = O.running_totals(rows, ["k"], "code", ["v"], bits, bounded).toPandas().sort_values("code")
+    got = O.running_totals(rows, ["k"], "code", ["v"], bits).toPandas().sort_values("code")
     assert np.allclose(got.v_before, got.v.cumsum() - got.v)
     assert np.allclose(got.v_all, got.v.sum())
 
@@ -64,11 +62,10 @@ def brute_dcor(x, y):
     return np.sqrt((a * b).mean() / np.sqrt((a * a).mean() * (b * b).mean()))
 
 
-@pytest.mark.parametrize("bounded", [False, True])
-def test_pair_statistics(table, bounded):
+def test_pair_statistics(table):
     rows, frame = table
-    tau = S.kendall_tau_b(rows, ["k"], bounded=bounded).toPandas().set_index("k").tau
-    dcor = S.distance_correlation(rows, ["k"], bounded=bounded).toPandas().set_index("k").r
+    tau = S.kendall_tau_b(rows, ["k"]).toPandas().set_index("k").tau
+    dcor = S.distance_correlation(rows, ["k"]).toPandas().set_index("k").r
     for key in "ab":
         group = frame[frame.k == key].dropna()
         x, y = group.x.values, group.y.values
