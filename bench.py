@@ -17,7 +17,8 @@ HEADLINE = (
     "health_burden", "energy_attribution", "flood_scores", "wildfire_scores", "harmonize", "percentile_rank_average",
     "theil_sen_slope", "pearson_matrix", "spearman_matrix", "distance_correlation", "compute_index", "jackknife",
     "severity_perturbation", "monte_carlo_weights", "stability_report", "nearest_year_asof_join", "zone_explode_join",
-    "point_in_polygon_join", "range_distance_join", "slug_item_code",
+    "point_in_polygon_join", "range_distance_join", "slug_item_code", "nearest_polygon_join", "polygon_intersects_join",
+    "raster_polygon_join", "idw_gap_fill", "kendall_tau_b", "correlation_robustness",
 )
 
 

@@ -380,9 +380,10 @@ def monte_carlo_weights(
     total = reduce(lambda a, b: a + b, [F.col(c) * F.get("weights", F.lit(i)) for i, c in enumerate(names)])
     scored = fanned.select("iteration", "fips", (100.0 + F.col("k") * total).alias("score"))
     # A draw ranks the counties, so its group is as large as their number, whatever the number of draws.
-    group = Window.partitionBy("iteration")
-    ties = F.count(F.lit(1)).over(Window.partitionBy("iteration", "score"))
-    ranked = scored.withColumn("rank", F.rank().over(group.orderBy("score"))).withColumn("_ry", F.col("rank") + (ties - 1) / 2.0)
+    order = Window.partitionBy("iteration").orderBy("score")
+    ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
+    ranked = scored.select("*", F.rank().over(order).alias("rank"), ties.alias("_ties"))
+    ranked = ranked.withColumn("_ry", F.col("rank") + (F.col("_ties") - 1) / 2.0).drop("_ties")
     own = with_ranks(
         primary.withColumn("_all", F.lit("primary")), ["_all"], "index_score", {"primary_rank": "min", "_rx": "average"}
     ).select("fips", "primary_rank", "_rx")

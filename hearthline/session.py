@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -17,6 +19,8 @@ def local_session(name: str, cores: int | str = 8, **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "12g")
     )
+    if "spark.checkpoint.dir" not in conf:
+        conf["spark.checkpoint.dir"] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()

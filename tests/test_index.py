@@ -155,3 +155,16 @@ def test_stable_scores_pass(spark):
     assert report.loc["rank_persistence", "passes"] and report.loc["rank_persistence", "value"] > 0.9
     assert report.loc["score_band_stability", "status"] == "insufficient_years"
     assert report.loc["component_contribution_stability", "status"] == "no_component_data"
+
+
+def test_census_of_several_years_gives_one_row_per_county(spark, panel):
+    one = panel.where("year = 2024").select("fips", "year", F.lit(10.0).alias("total_housing_units"), F.lit(50.0).alias("median_household_income"))
+    several = one.unionByName(one.withColumn("year", F.lit(2022))).unionByName(one.withColumn("year", F.lit(2030)))
+    result = I.compute_index(panel, P.Settings(), several)
+    assert result.strain.count() == one.count()
+
+
+def test_year_pairs_without_common_counties_keep_their_row(spark):
+    rows = [(f"0100{i}", 2020, float(i)) for i in range(4)] + [(f"0200{i}", 2021, float(i)) for i in range(4)]
+    got = V.rank_persistence(spark.createDataFrame(rows, "fips string, year int, index_score double")).collect()
+    assert [(r["year_pair"], r["n"], r["spearman_r"]) for r in got] == [("2020-2021", 0, None)]
