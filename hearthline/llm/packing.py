@@ -8,11 +8,15 @@ that length and a rest, so every token lands in exactly one sequence.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from hearthline.llm import bitplane
 from hearthline.storage import materialize
 
 MAX_LENGTH = 2048
@@ -28,6 +32,18 @@ def words(text: str) -> Column:
     return F.size(found).cast("long")
 
 
+def tokens(path: str, text: str = "text") -> Column:
+    """Length of a text in tokens of the vocabulary file at ``path``, readable on every executor; 0 for null."""
+
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        library = bitplane._library(path)
+        for batch in batches:
+            counts = [len(ids) // 4 for low in range(0, len(batch), 512) for ids in library.encode([t or "" for t in batch[low : low + 512]])]
+            yield pd.Series(counts, dtype="int64")
+
+    return F.pandas_udf(each, "long")(F.col(text))
+
+
 def boundaries(histogram: dict[int, int], buckets: int) -> list[int]:
     """Ends of at most ``buckets`` length ranges with the least total padding; the last is the greatest length.
 

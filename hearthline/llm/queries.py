@@ -46,8 +46,9 @@ def op2_character_lstm_crf(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document's pieces with their bucket and batch."""
-    return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
+    """Every document's pieces, counted in tokens, with their bucket and batch."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack(docs, length=packing.tokens(_vocabulary()))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
