@@ -33,13 +33,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/hearthline/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to scratch and return a scan of the written table.
+def materialize(df: DataFrame, name: str, at: str | None = None) -> DataFrame:
+    """Write ``df`` once to scratch (to ``at`` where given) and return a scan of the written table.
 
     The result has a short lineage and real file sizes, which lets the
     optimizer choose its later joins from measured rather than guessed sizes.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = at or scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table below the scratch folder that nothing will read again."""
+    if not path.startswith(f"{scratch_root(spark)}/hearthline/"):
+        raise ValueError(f"{path} is no scratch table")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
