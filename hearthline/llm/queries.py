@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import ann, bitplane, bpe, license, packing, pii, quality, simhash, suffix, toxicity
+from hearthline.llm import ann, bitplane, bpe, fim, hamming, license, packing, pii, quality, resample, simhash, suffix, toxicity
 from hearthline.llm.common import table
 from hearthline.storage import materialize, scratch_path
 
@@ -106,6 +106,47 @@ def op10_levenshtein_lexicon(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Form, cut widths, and digests of the transformed and the restored text of every document."""
+    made = fim.transform(table(spark, folder, "documents").select("doc_id", "text"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+FIM_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units FROM documents
+), n AS (
+  SELECT doc_id, text, units, len(units) AS n,
+         ('0x' || substr(h, 1, 8))::BIGINT % (len(units) + 1) AS u1, ('0x' || substr(h, 9, 8))::BIGINT % (len(units) + 1) AS u2,
+         ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM d
+), p AS (
+  SELECT doc_id, text, n, array_to_string(units[1:least(u1, u2)], '') AS prefix,
+         array_to_string(units[least(u1, u2) + 1:greatest(u1, u2)], '') AS middle,
+         array_to_string(units[greatest(u1, u2) + 1:], '') AS suffix,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+              WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM n
+)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE text END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM p
+"""
+
+
+def op12_multi_index_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Shingle count, component and verdict of every document, linked at a similarity of 0.8 of two-word shingles."""
+    return hamming.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"), words=2)
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, score and rank of every document drawn towards the benchmark's texts."""
+    return resample.resample(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_bit_plane_ids": (op1_bit_plane_ids, None),
     "op2_character_lstm_crf": (op2_character_lstm_crf, None),
@@ -117,4 +158,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_streaming_bpe": (op8_streaming_bpe, None),
     "op9_license_scan": (op9_license_scan, license.sql("concat_ws('/', source, lang, doc_id || '.txt')")),
     "op10_levenshtein_lexicon": (op10_levenshtein_lexicon, None),
+    "op11_fill_in_middle": (op11_fill_in_middle, FIM_SQL),
+    "op12_multi_index_minhash": (op12_multi_index_minhash, None),
+    "op13_importance_resampling": (op13_importance_resampling, None),
 }
