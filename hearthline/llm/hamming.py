@@ -7,7 +7,7 @@ similarity s differ in a symbol with chance 1 - s, so at 0.8 they differ in abou
 The symbols lie in 14 chunks of four.  Were two signatures to differ twice or more in every chunk, they would differ in
 28 symbols; so within distance 27 some chunk has at most one error.  The errors allowed in a chunk are enumerated by
 blanking each of its four places in turn: any pair in range is equal in one of 56 views.  Joining on these views finds
-every such pair; the signature distance and then the whole sets decide.
+every such pair; the signature distance, a longer signature of single bits and then the whole sets decide.
 
 Groups of many near copies do not become all their pairs.  First every text is linked to the nearest of the smallest
 and greatest texts of its views, in several rounds of components; then only texts of different components are joined,
@@ -16,7 +16,7 @@ in each view those outside its largest component with the others.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -38,6 +38,10 @@ SEED = 42
 _DRAWN = np.random.default_rng(SEED)
 FACTORS = _DRAWN.integers(1, 1 << 63, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _DRAWN.integers(0, 1 << 63, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2)
+#: Single bits of the longer signature and the most that may differ: at 0.8 the mean is 205, beyond the limit 1 in 10^6.
+FINE_BITS, MAX_FINE = 2048, 270
+FINE_FACTORS = _DRAWN.integers(1, 1 << 31, FINE_BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+FINE_SHIFTS = _DRAWN.integers(0, 1 << 32, FINE_BITS, dtype=np.uint32)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 WORDS = [f"w{i}" for i in range(CHUNKS)]
 
@@ -66,6 +70,16 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return mixed.astype("<u2").view("<i8")
 
 
+def fine_signature(hashes: np.ndarray) -> np.ndarray:
+    """One bit of each of many more minimum hashes of a set, 64 to a word."""
+    folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    least = np.full(FINE_BITS, np.iinfo(np.uint32).max, np.uint32)
+    for low in range(0, len(folded), 32):
+        np.minimum(least, (folded[low : low + 32, None] * FINE_FACTORS + FINE_SHIFTS).min(axis=0), out=least)
+    mixed = (least ^ (least >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(31)
+    return np.packbits(mixed.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def with_signature(df: DataFrame, text: str, words: int) -> DataFrame:
     """Add ``size`` of the shingle set, its ``key`` (equal for equal sets, null for the empty one) and its ``words``."""
 
@@ -82,10 +96,10 @@ def with_signature(df: DataFrame, text: str, words: int) -> DataFrame:
     return df.withColumn("_sketch", sketch(F.col(text))).select("*", "_sketch.*").drop("_sketch")
 
 
-def _hashes(text: str, words: int) -> Column:
+def _of_set(text: str, words: int, what: Callable[[np.ndarray], np.ndarray]) -> Column:
     def each(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([shingles(t, words).view(np.int64) for t in batch], dtype=object)
+            yield pd.Series([what(shingles(t, words)).view(np.int64) for t in batch], dtype=object)
 
     return F.pandas_udf(each, "array<long>")(F.col(text))
 
@@ -119,6 +133,18 @@ def distance(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [differing(w) for w in WORDS])
 
 
+def fine_distance(a: str, b: str) -> Column:
+    """Number of bits in which the longer signatures differ."""
+    bits = F.zip_with(f"{a}.fine", f"{b}.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(bits, F.lit(0), lambda acc, n: acc + n)
+
+
+def _first_shared(a: str, b: str) -> Column:
+    """Number of the first view in which two signatures are equal."""
+    both = [views([F.col(f"{side}.words")[i] for i in range(CHUNKS)]) for side in (a, b)]
+    return F.array_position(F.zip_with(*both, lambda x, y: x == y), True)
+
+
 def _sized(a: str, b: str) -> Column:
     """Whether two sets' sizes allow the similarity."""
     return WHOLE * F.least(f"{a}.size", f"{b}.size") >= PART * F.greatest(f"{a}.size", f"{b}.size")
@@ -141,13 +167,18 @@ class _Steps:
                 discard(self.spark, self.paths.pop(name))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, steps: _Steps) -> DataFrame:
-    """Those of the stored ``pairs(a, b)`` whose whole sets are similar enough."""
-    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+def _with_sets(keys: DataFrame, classes: DataFrame, texts: DataFrame, words: int, what: Callable, name: str, steps: _Steps) -> DataFrame:
+    """Stored ``what`` of the whole shingle set of each of ``keys(key)``."""
     wanted = steps.store(classes.join(keys, "key", "left_semi").select("key", "at"), "wanted")
     # Copies fall together before they are dealt out.
     whole = texts.join(wanted.select("at"), "at", "left_semi").groupBy("at").agg(F.first("_text").alias("_text"))
-    sets = steps.store(whole.join(wanted, "at").select("key", _hashes("_text", words).alias("hashes")), "sets")
+    return steps.store(whole.join(wanted, "at").select("key", _of_set("_text", words, what).alias(name)), name)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, steps: _Steps) -> DataFrame:
+    """Those of the stored ``pairs(a, b)`` whose whole sets are similar enough."""
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    sets = _with_sets(keys, classes, texts, words, lambda h: h, "hashes", steps)
     left, right = (sets.select(F.col("key").alias(k), F.col("hashes").alias(f"_{k}")) for k in "ab")
     both = F.size(F.array_intersect("_a", "_b"))
     similar = (PART + WHOLE) * both >= PART * (F.size("_a") + F.size("_b"))
@@ -157,13 +188,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int
 def links(classes: DataFrame, texts: DataFrame, words: int, steps: _Steps) -> DataFrame:
     """Components ``(node, root)`` of the similar classes, roots left out.
 
-    ``classes(key, size, w0..., at)`` has one row per distinct set; ``texts(at, _text)`` the texts by their hash.
+    ``classes(key, size, words, at)`` has one row per distinct set; ``texts(at, _text)`` the texts by their hash.
     """
     spark = classes.sparkSession
-    signed = classes.select("key", "size", *WORDS)
-    placed = classes.select("key", F.explode(views([F.col(w) for w in WORDS])).alias("view"))
+    symbols = [F.col("words")[i] for i in range(CHUNKS)]
+    signed = classes.select("key", "size", *[c.alias(w) for c, w in zip(symbols, WORDS)])
+    placed = classes.select("key", F.posexplode(views(symbols)).alias("place", "view"))
     shared = placed.groupBy("view").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    members = steps.store(placed.join(steps.store(shared, "shared"), "view"), "members")
+    members = placed.join(steps.store(shared, "shared"), "view").withColumn("place", F.col("place").cast("byte"))
+    members = steps.store(members, "members")
     steps.drop("shared")
     # Round by round: every text with the nearest end of its views that is not yet in its component.
     ends = members.select("key", F.explode(F.array("low", "high")).alias("end")).where("key <> end").distinct()
@@ -171,13 +204,10 @@ def links(classes: DataFrame, texts: DataFrame, words: int, steps: _Steps) -> Da
     ends = ends.join(signed.select(F.col("key").alias("end"), F.struct("size", *WORDS).alias("y")), "end")
     near = ends.where(_sized("x", "y") & (distance("x", "y") <= MAX_DISTANCE))
     near = steps.store(near.select(F.col("x.key").alias("key"), "end", distance("x", "y").alias("far")), "ends")
-    found, roots = None, spark.createDataFrame([], "node binary, root binary")
-    tested = None
+    found, tested, roots = None, None, None
     for turn in range(ROUNDS):
-        open_ends = _across(near, roots, "key", "end")
-        if tested is not None:
-            open_ends = open_ends.join(tested, ["key", "end"], "left_anti")
-        best = open_ends.groupBy("key").agg(F.min_by("end", F.struct("far", "end")).alias("end"))
+        fresh = near if roots is None else _across(near, roots, "key", "end").join(tested, ["key", "end"], "left_anti")
+        best = fresh.groupBy("key").agg(F.min_by("end", F.struct("far", "end")).alias("end"))
         best = steps.store(best, f"best{turn}")
         if not best.take(1):
             break
@@ -186,32 +216,37 @@ def links(classes: DataFrame, texts: DataFrame, words: int, steps: _Steps) -> Da
         good = steps.store(_verified(steps.store(pairs, "pairs"), classes, texts, words, steps), f"good{turn}")
         found = good if found is None else found.unionByName(good)
         roots = steps.store(components(found), f"roots{turn}")
-    steps.drop("ends")
+    steps.drop("ends", "pairs", "hashes", "wanted")
     if found is None:
-        return roots
-    rooted = members.select("key", "view").join(roots.withColumnRenamed("node", "key"), "key", "left")
+        return spark.createDataFrame([], "node binary, root binary")
+    rooted = members.select("key", "place", "view").join(roots.withColumnRenamed("node", "key"), "key", "left")
     rooted = steps.store(rooted.withColumn("root", F.coalesce("root", "key")), "rooted")
     steps.drop("members")
     counted = rooted.groupBy("view", "root").agg(F.count("*").alias("n"))
     largest = counted.groupBy("view").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-    mixed = rooted.join(largest.where("roots > 1").drop("roots"), "view").join(signed, "key")
-    mixed = steps.store(mixed, "mixed")
+    mixed = steps.store(rooted.join(largest.where("roots > 1").drop("roots"), "view"), "mixed")
+    steps.drop("rooted")
+    fine = _with_sets(mixed.select("key").distinct(), classes, texts, words, fine_signature, "fine", steps)
+    mixed = mixed.join(fine.join(classes.select("key", "size", "words"), "key"), "key")
+    mixed = steps.store(mixed, "signed")
     a, b = mixed.where("root <> main").alias("a"), mixed.alias("b")
     close = (
         (F.col("a.view") == F.col("b.view"))
         & (F.col("a.root") != F.col("b.root"))
         & ((F.col("b.root") == F.col("b.main")) | (F.col("a.key") < F.col("b.key")))
         & _sized("a", "b")
-        & (distance("a", "b") <= MAX_DISTANCE)
+        & (fine_distance("a", "b") <= MAX_FINE)
+        # Of the views that a pair shares, only the first makes a row.
+        & (_first_shared("a", "b") == F.col("a.place") + 1)
     )
-    rest = a.join(b, close).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+    rest = a.join(b, close).select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"))
     old = tested.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
     rest = steps.store(rest.join(old, ["a", "b"], "left_anti"), "pairs")
-    steps.drop("rooted", "mixed")
+    steps.drop("mixed", "signed", "fine")
     if rest.take(1):
         found = found.unionByName(steps.store(_verified(rest, classes, texts, words, steps), "good"))
         roots = steps.store(components(found), "roots")
-    steps.drop("wanted", "sets", "pairs")
+    steps.drop("wanted", "hashes", "pairs")
     return roots
 
 
@@ -237,8 +272,9 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     texts = df.select(F.col(id_column).alias("_id"), text_or_empty).withColumn("at", F.xxhash64("_text"))
     marked = materialize(with_signature(texts, "_text", words).drop("_text"), "sketches")
     some = marked.where("size > 0")
-    classes = some.groupBy("key").agg(F.first("size").alias("size"), F.first("words").alias("words"), F.min("at").alias("at"), F.min("_id").alias("first"))
-    classes = steps.store(classes.select("key", "size", "at", "first", *[F.col("words")[i].alias(w) for i, w in enumerate(WORDS)]), "classes")
+    firsts = [F.first("size").alias("size"), F.first("words").alias("words"), F.min("at").alias("at"), F.min("_id").alias("first")]
+    classes = some.groupBy("key").agg(*firsts)
+    classes = steps.store(classes, "classes")
     roots = links(classes, texts.select("at", "_text"), words, steps)
     rooted = classes.select("key", "first").join(roots.withColumnRenamed("node", "key"), "key", "left")
     rooted = steps.store(rooted.withColumn("root", F.coalesce("root", "key")), "named")

@@ -130,3 +130,16 @@ def test_signature_estimates_similarity():
     got, want = np.mean(far, axis=0)
     assert abs(got - want) < 0.02
     assert all(f * 56 <= hamming.MAX_DISTANCE for (f, d) in far if d <= 0.2)
+
+
+def test_long_signature_keeps_pairs_at_the_limit():
+    rng = random.Random(9)
+    for size in (20, 200, 1000):
+        words = [word(rng) for _ in range(size)]
+        for _ in range(40):
+            a, b = (hamming.shingles(" ".join(edited(rng, words, max(1, size // 20))), 2) for _ in "ab")
+            s = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+            x, y = (hamming.fine_signature(h).view(np.uint8) for h in (a, b))
+            far = int(np.unpackbits(x ^ y).sum())
+            assert abs(far / 1024 - (1 - s)) < 0.09
+            assert s < 0.8 or far <= hamming.MAX_FINE
