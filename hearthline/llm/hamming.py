@@ -38,8 +38,10 @@ SEED = 42
 _DRAWN = np.random.default_rng(SEED)
 FACTORS = _DRAWN.integers(1, 1 << 63, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _DRAWN.integers(0, 1 << 63, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2)
-#: Single bits of the longer signature and the most that may differ: at 0.8 the mean is 205, beyond the limit 1 in 10^6.
-FINE_BITS, MAX_FINE = 2048, 270
+#: Single bits of the longer signature and the most that may differ: at 0.8 the mean is 410, beyond the limit 1 in 10^6.
+FINE_BITS, MAX_FINE = 4096, 502
+#: The same for its first words, which are compared first.
+BRIEF_WORDS, MAX_BRIEF = 16, 150
 FINE_FACTORS = _DRAWN.integers(1, 1 << 31, FINE_BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 FINE_SHIFTS = _DRAWN.integers(0, 1 << 32, FINE_BITS, dtype=np.uint32)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -133,9 +135,9 @@ def distance(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, [differing(w) for w in WORDS])
 
 
-def fine_distance(a: str, b: str) -> Column:
-    """Number of bits in which the longer signatures differ."""
-    bits = F.zip_with(f"{a}.fine", f"{b}.fine", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+def fine_distance(a: str, b: str, part: str) -> Column:
+    """Number of bits in which one part of the longer signatures differs."""
+    bits = F.zip_with(f"{a}.{part}", f"{b}.{part}", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     return F.aggregate(bits, F.lit(0), lambda acc, n: acc + n)
 
 
@@ -177,7 +179,7 @@ def _with_sets(keys: DataFrame, classes: DataFrame, texts: DataFrame, words: int
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, steps: _Steps) -> DataFrame:
     """Those of the stored ``pairs(a, b)`` whose whole sets are similar enough."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     sets = _with_sets(keys, classes, texts, words, lambda h: h, "hashes", steps)
     left, right = (sets.select(F.col("key").alias(k), F.col("hashes").alias(f"_{k}")) for k in "ab")
     both = F.size(F.array_intersect("_a", "_b"))
@@ -227,7 +229,8 @@ def links(classes: DataFrame, texts: DataFrame, words: int, steps: _Steps) -> Da
     mixed = steps.store(rooted.join(largest.where("roots > 1").drop("roots"), "view"), "mixed")
     steps.drop("rooted")
     fine = _with_sets(mixed.select("key").distinct(), classes, texts, words, fine_signature, "fine", steps)
-    mixed = mixed.join(fine.join(classes.select("key", "size", "words"), "key"), "key")
+    brief = F.slice("fine", 1, BRIEF_WORDS).alias("brief"), F.slice("fine", BRIEF_WORDS + 1, FINE_BITS // 64).alias("rest")
+    mixed = mixed.join(fine.select("key", *brief).join(classes.select("key", "size", "words"), "key"), "key")
     mixed = steps.store(mixed, "signed")
     a, b = mixed.where("root <> main").alias("a"), mixed.alias("b")
     close = (
@@ -235,7 +238,8 @@ def links(classes: DataFrame, texts: DataFrame, words: int, steps: _Steps) -> Da
         & (F.col("a.root") != F.col("b.root"))
         & ((F.col("b.root") == F.col("b.main")) | (F.col("a.key") < F.col("b.key")))
         & _sized("a", "b")
-        & (fine_distance("a", "b") <= MAX_FINE)
+        & (fine_distance("a", "b", "brief") <= MAX_BRIEF)
+        & (fine_distance("a", "b", "brief") + fine_distance("a", "b", "rest") <= MAX_FINE)
         # Of the views that a pair shares, only the first makes a row.
         & (_first_shared("a", "b") == F.col("a.place") + 1)
     )
