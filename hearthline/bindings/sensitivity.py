@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hearthline import params as P
 from hearthline.bindings import tables as T
-from hearthline.bindings.registry import query, rounded, rounded_sql
+from hearthline.bindings.registry import QUERIES, query, rounded, rounded_sql
 from hearthline.bindings.scoring import REG_SQL, YEAR, ready, steps
 from hearthline.operators.joins import year_pairs
 from hearthline.plans import scenarios as S
@@ -85,21 +85,24 @@ def alt_weighting(spark, d):
 _SWEEP = (0.1, 0.2, 0.6)
 
 
-@query(
-    "threshold_sweep",
-    steps("scores") + chain(
-        "sweep(threshold) AS (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in _SWEEP) + ")",
-        """sweep_pen AS (SELECT threshold, loser AS component, greatest(0.2, product(1 - r * r)) AS penalty FROM (
-            SELECT threshold, CASE WHEN ra.place <= rb.place THEN b ELSE a END AS loser, r FROM pairs JOIN reg ra ON ra.component = a JOIN reg rb ON rb.component = b JOIN sweep ON round(abs(r), 12) > threshold) GROUP BY ALL)""",
-        """alt_parts AS (SELECT CAST(s.threshold AS VARCHAR) AS scenario, c.fips, c.value * coalesce(p.penalty, 1) * coalesce(acceleration, 1) * weight AS score
-            FROM centered c CROSS JOIN sweep s JOIN reg USING (component) LEFT JOIN sweep_pen p ON p.component = c.component AND p.threshold = s.threshold LEFT JOIN accel a ON a.fips = c.fips AND a.component = c.component)""",
-        _ALT_SQL, _COMPARE_SQL,
-    ) + rounded_sql(
-        """SELECT CAST(scenario AS DOUBLE) AS threshold, coalesce(n, 0) AS n_penalized, spearman_r AS spearman_r_vs_primary, max_rank_shift, n_shifted_gt_10
-        FROM agree LEFT JOIN (SELECT CAST(threshold AS VARCHAR) AS scenario, count(*) FILTER (WHERE penalty < 1) AS n FROM sweep_pen GROUP BY ALL) USING (scenario)""",
-        "spearman_r_vs_primary",
-    ),
-)
+def _sweep_sql(thresholds) -> str:
+    return (
+        steps("scores") + chain(
+            "sweep(threshold) AS (VALUES " + ", ".join(f"({t}::DOUBLE)" for t in thresholds) + ")",
+            """sweep_pen AS (SELECT threshold, loser AS component, greatest(0.2, product(1 - r * r)) AS penalty FROM (
+                SELECT threshold, CASE WHEN ra.place <= rb.place THEN b ELSE a END AS loser, r FROM pairs JOIN reg ra ON ra.component = a JOIN reg rb ON rb.component = b JOIN sweep ON round(abs(r), 12) > threshold) GROUP BY ALL)""",
+            """alt_parts AS (SELECT CAST(s.threshold AS VARCHAR) AS scenario, c.fips, c.value * coalesce(p.penalty, 1) * coalesce(acceleration, 1) * weight AS score
+                FROM centered c CROSS JOIN sweep s JOIN reg USING (component) LEFT JOIN sweep_pen p ON p.component = c.component AND p.threshold = s.threshold LEFT JOIN accel a ON a.fips = c.fips AND a.component = c.component)""",
+            _ALT_SQL, _COMPARE_SQL,
+        ) + rounded_sql(
+            """SELECT CAST(scenario AS DOUBLE) AS threshold, coalesce(n, 0) AS n_penalized, spearman_r AS spearman_r_vs_primary, max_rank_shift, n_shifted_gt_10
+            FROM agree LEFT JOIN (SELECT CAST(threshold AS VARCHAR) AS scenario, count(*) FILTER (WHERE penalty < 1) AS n FROM sweep_pen GROUP BY ALL) USING (scenario)""",
+            "spearman_r_vs_primary",
+        )
+    )
+
+
+@query("threshold_sweep", _sweep_sql(_SWEEP))
 def threshold_sweep(spark, d):
     result = S.threshold_sweep(ready(spark, d), T.SETTINGS, _SWEEP).drop("penalties")
     return rounded(result, "spearman_r_vs_primary")
@@ -287,10 +290,43 @@ def monte_carlo_summary(spark, d):
     return rounded(S.monte_carlo_weights(ready(spark, d), T.SETTINGS, ITERATIONS).summary, "p05 p25 p50 p75 p95 mean")
 
 
-@query("sensitivity_report")
+def _report_part(sql: str, test: str, variant: str, r: str, flagged: str = "n_shifted_gt_10", status: str = "'success'") -> str:
+    """One test's own SQL brought to the columns of the report."""
+    return f"""SELECT '{test}' AS test_name, CAST({variant} AS VARCHAR) AS variant, CAST({r} AS DOUBLE) AS spearman_r_vs_primary,
+        CAST(max_rank_shift AS DOUBLE) AS max_rank_shift, CAST({flagged} AS BIGINT) AS n_flagged_counties, {status} AS status FROM ({sql})"""
+
+
+_MC_ROW_SQL = steps("scores") + _mc_sql(ITERATIONS) + """
+    SELECT r AS spearman, shift AS max_rank_shift, flagged FROM
+    (SELECT median(r) AS r FROM (SELECT iteration, corr(mean_place, own_place) AS r FROM
+        (SELECT iteration, fips, r + (count(*) OVER (PARTITION BY iteration, r) - 1) / 2.0 AS mean_place FROM mc_rank)
+        JOIN (SELECT fips, primary_rank + (count(*) OVER (PARTITION BY primary_rank) - 1) / 2.0 AS own_place FROM own) USING (fips) GROUP BY iteration)),
+    (SELECT quantile_cont(s, 0.95) AS shift, count(*) FILTER (WHERE s > 0.15 * (SELECT count(*) FROM scores)) AS flagged
+        FROM (SELECT fips, max(r) - min(r) AS s FROM mc_rank GROUP BY fips))"""
+_ABSENT_SQL = """SELECT '1991-2020' AS baseline, 1.0 AS r, 0 AS max_rank_shift, 0 AS n, 'primary' AS state
+    UNION ALL SELECT '1981-2010', NULL, NULL, NULL, 'data_unavailable'"""
+
+
+def _report_sql() -> str:
+    own = {name: QUERIES[name][1] for name in ("jackknife", "alt_weighting", "normalization_compare", "severity_perturbation", "window_sensitivity")}
+    r = "spearman_r_vs_primary"
+    parts = [
+        _report_part(_MC_ROW_SQL, "weight_perturbation", "'monte_carlo'", "spearman", "flagged"),
+        _report_part(own["jackknife"], "jackknife", "'drop_' || excluded_component", "spearman_r"),
+        _report_part(own["alt_weighting"], "alt_weighting", "scheme", r),
+        _report_part(_sweep_sql((0.5, 0.6, 0.7)), "correlation_threshold", "threshold", r),
+        _report_part(own["normalization_compare"], "normalization", "normalization", r),
+        _report_part(own["severity_perturbation"], "severity_perturbation", "perturbation_factor", r),
+        _report_part(own["window_sensitivity"], "window_sensitivity", "window_years", r, "0"),
+        _report_part(_ABSENT_SQL, "baseline_comparison", "baseline", "r", "n", "state"),
+    ]
+    return rounded_sql("\nUNION ALL ".join(parts), r)
+
+
+@query("sensitivity_report", _report_sql())
 def sensitivity_report(spark, d):
-    """All tests in one table; each part has its own compared query above."""
-    return S.sensitivity_report(T.panel(spark, d), T.SETTINGS, ITERATIONS)
+    """All tests in one table."""
+    return rounded(S.sensitivity_report(T.panel(spark, d), T.SETTINGS, ITERATIONS), "spearman_r_vs_primary")
 
 
 @query(

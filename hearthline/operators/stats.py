@@ -24,8 +24,8 @@ def pearson(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(a, b), F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b)))
 
 
-def pair_rows(wide: DataFrame, keys: list[str], components: list[str]) -> DataFrame:
-    """Every component pair of a row: keys, ``a``, ``b``, ``x``, ``y``.
+def pair_rows(wide: DataFrame, keys: list[str], components: list[str], only: str | None = None) -> DataFrame:
+    """Every component pair of a row, or those with the component ``only``: keys, ``a``, ``b``, ``x``, ``y``.
 
     The fan-out is the fixed number of component pairs per row.
     """
@@ -33,14 +33,15 @@ def pair_rows(wide: DataFrame, keys: list[str], components: list[str]) -> DataFr
         *[
             F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).alias("x"), F.col(b).alias("y"))
             for a, b in combinations(components, 2)
+            if only is None or only in (a, b)
         ]
     )
     return wide.select(*keys, F.inline(pairs))
 
 
-def pearson_pairs(wide: DataFrame, keys: list[str], components: list[str]) -> DataFrame:
-    """Pearson correlation of each component pair: keys, ``a``, ``b``, ``r``, ``n``."""
-    rows = pair_rows(wide, keys, components)
+def pearson_pairs(wide: DataFrame, keys: list[str], components: list[str], only: str | None = None) -> DataFrame:
+    """Pearson correlation of each component pair (or of those with ``only``): keys, ``a``, ``b``, ``r``, ``n``."""
+    rows = pair_rows(wide, keys, components, only)
     both = F.col("x").isNotNull() & F.col("y").isNotNull()
     return rows.groupBy(*keys, "a", "b").agg(pearson("x", "y").alias("r"), F.count_if(both).alias("n"))
 

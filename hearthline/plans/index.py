@@ -86,9 +86,9 @@ def center(long: DataFrame, subtract: float = 50.0) -> DataFrame:
     return long.withColumn("value", F.col("value") - subtract)
 
 
-def winsorized_universe(panel: DataFrame, settings: P.Settings) -> DataFrame:
+def winsorized_universe(panel: DataFrame, settings: P.Settings, components: list[str] | None = None) -> DataFrame:
     """Steps 1 to 3a: transformed values, cut at the percentile over all counties, universe only."""
-    long = observed_long(transform_inputs(panel), components_of(panel))
+    long = observed_long(transform_inputs(panel), components or components_of(panel))
     cut = windows.winsorize_upper(long, ["scenario", "component"], settings.winsorize_percentile)
     return cut.where("in_universe").select(*UNIT, "component", "value")
 
@@ -181,9 +181,11 @@ def prepare(panel: DataFrame, settings: P.Settings, registry=P.REGISTRY) -> Prep
     stored = materialize(with_scenario(panel), "panel")
     current = stored.where(F.col("year") == settings.scoring_year)
     centered = materialize(center(percentile_rank(winsorized_universe(current, settings))), "centered")
-    pairs = stats.pearson_pairs(to_wide(centered, components), ["scenario"], components)
+    # Pairs and trends are read by every later step, so they are computed once.
+    pairs = materialize(stats.pearson_pairs(to_wide(centered, components), ["scenario"], components), "pairs")
     penalties = overlap_penalties(flagged_pairs(pairs, settings.overlap_threshold, registry=registry), settings.overlap_floor)
     accel = accelerations(stored, components, settings, P.registry_frame(panel.sparkSession, registry))
+    accel = materialize(accel, "accelerations")
     return Prepared(stored, components, centered, pairs, penalties, accel)
 
 
@@ -209,12 +211,16 @@ def component_scores(parts: DataFrame, weights: DataFrame) -> DataFrame:
 
 def composite(scores: DataFrame, settings: P.Settings, k: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Steps 9 and 10: sum per county, calibrate k, scale to 100 + k·S."""
-    raw = scores.groupBy(*UNIT).agg(F.sum("score").alias("raw_composite"))
+    return scaled(scores.groupBy(*UNIT).agg(F.sum("score").alias("raw_composite")), settings, k)
+
+
+def scaled(raw: DataFrame, settings: P.Settings, k: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Step 10 for raw composites: calibrate k unless given, scale to 100 + k·S."""
     scale = k if k is not None else rollups.calibrate_k(raw, ["scenario"], "raw_composite", settings.target_span)
-    scaled = raw.join(scale, "scenario").select(
+    out = raw.join(scale, "scenario").select(
         *UNIT, (100.0 + F.col("k") * F.col("raw_composite")).alias("index_score"), "raw_composite"
     )
-    return scaled, scale
+    return out, scale
 
 
 def strain(scores: DataFrame, income: DataFrame) -> DataFrame:
@@ -251,8 +257,8 @@ def compute_index(
     if weights is None:
         weights = P.registry_frame(spark, registry).select("component", "weight")
     parts = component_scores(contributions(ready.centered, ready.penalties, ready.accelerations), weights)
-    scaled, scale = composite(parts, settings, k)
-    scored = materialize(scaled, "scores")
+    indexed, scale = composite(parts, settings, k)
+    scored = materialize(indexed, "scores")
     current = ready.panel.where(F.col("year") == settings.scoring_year)
     tiers = current.select(*UNIT, C.quality_tier(current.columns).alias("data_quality_tier"))
     wide = impute_and_downgrade(parts.groupBy(*UNIT).pivot("component", ready.components).agg(F.first("score")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,19 +18,20 @@ UNIT = I.UNIT
 
 
 def compare_rankings(
-    primary: DataFrame, alternatives: DataFrame, kendall: bool = True, top: int = 10
+    primary: DataFrame, alternatives: DataFrame, kendall: bool = True, top: int = 10, same_units: bool = False
 ) -> DataFrame:
     """Rank agreement of each scenario with the primary scores.
 
     ``primary`` has ``fips, index_score``; ``alternatives`` also ``scenario``.
-    Ranks are taken over the counties both share; fewer than two give NULL.
+    Ranks are taken over the counties both share; fewer than two give NULL.  With ``same_units`` every scenario
+    scores exactly the primary counties, and ``primary`` brings their ``primary_rank`` and ``_rx``.
     """
     shared = alternatives.select("scenario", "fips", F.col("index_score").alias("y")).join(
-        primary.select("fips", F.col("index_score").alias("x")), "fips"
+        primary.select("fips", F.col("index_score").alias("x"), *(["primary_rank", "_rx"] if same_units else [])), "fips"
     )
     # Both rankings, the shifts and tau read these rows.
     shared = materialize(shared, "rankings")
-    ranked = with_ranks(shared, ["scenario"], "x", {"primary_rank": "min", "_rx": "average"})
+    ranked = shared if same_units else with_ranks(shared, ["scenario"], "x", {"primary_rank": "min", "_rx": "average"})
     ranked = with_ranks(ranked, ["scenario"], "y", {"alt_rank": "min", "_ry": "average"})
     shift = ranked.withColumn("shift", F.abs(F.col("alt_rank") - F.col("primary_rank")))
     summary = shift.groupBy("scenario").agg(
@@ -64,6 +66,31 @@ def primary_scores(ready: I.Prepared, settings: P.Settings, weights: DataFrame)
     return scored.drop("scenario"), k
 
 
+class Shared(NamedTuple):
+    """Stored steps that every sensitivity test reads and none changes."""
+
+    ready: I.Prepared
+    #: Contributions under the base penalties and trends.
+    parts: DataFrame
+    #: ``fips, index_score, primary_rank, _rx`` of the primary index.
+    primary: DataFrame
+    k: DataFrame
+
+
+def share(ready: I.Prepared, settings: P.Settings) -> Shared:
+    """Store contributions, primary scores with their ranks, and the scale once for all tests."""
+    weights = base_weights_frame(ready.panel.sparkSession)
+    parts = materialize(I.contributions(ready.centered, ready.penalties, ready.accelerations), "contributions")
+    scored, k = I.composite(I.component_scores(parts, weights), settings)
+    scored = scored.select("scenario", "fips", "index_score")
+    ranked = with_ranks(scored, ["scenario"], "index_score", {"primary_rank": "min", "_rx": "average"})
+    return Shared(ready, parts, materialize(ranked.drop("scenario"), "primary"), materialize(k, "scale"))
+
+
+def _shared(ready: I.Prepared | Shared, settings: P.Settings) -> Shared:
+    return ready if isinstance(ready, Shared) else share(ready, settings)
+
+
 def rescored(contributions: DataFrame, schemes: DataFrame, settings: P.Settings) -> DataFrame:
     """Scores of each weighting scheme over the same contributions, k recalibrated."""
     parts = contributions.drop("scenario").join(schemes, "component").select(
@@ -89,14 +116,37 @@ def jackknife_schemes(weights: dict[str, float]) -> dict[str, dict[str, float]]:
     return schemes
 
 
-def jackknife(ready: I.Prepared, settings: P.Settings) -> DataFrame:
+def left_out(parts: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """Raw composite ``(scenario, fips, raw_composite)`` without each component in turn.
+
+    With ``S`` the weighted sum of a county and ``T`` the sum of weights, leaving ``j`` out and scaling the other
+    weights to one gives ``(S - v_j w_j) / (T - w_j)``, so no table of weighting schemes is joined.  A component that carries all
+    weight has no rest to scale and is no scenario.
+    """
+    total = sum(weights.values())
+    names = list(jackknife_schemes(weights))
+    weight = P.lookup(weights, F.col("component"), 0.0)
+    # One row per county; a component without a value weighs nothing.
+    scored = parts.groupBy("fips").agg(
+        F.sum(F.col("value") * weight).alias("_all"),
+        *[F.sum(F.when(F.col("component") == c, F.col("value") * F.lit(weights[c]))).alias(f"_at_{c}") for c in names],
+    )
+    rest = [
+        F.struct(
+            F.lit(c).alias("scenario"),
+            ((F.col("_all") - F.coalesce(f"_at_{c}", F.lit(0.0))) / F.lit(total - weights[c])).alias("raw_composite"),
+        )
+        for c in names
+    ]
+    return scored.select("fips", F.inline(F.array(*rest))).select("scenario", "fips", "raw_composite")
+
+
+def jackknife(ready: I.Prepared | Shared, settings: P.Settings) -> DataFrame:
     """Rank change when each component is left out."""
-    spark = ready.panel.sparkSession
-    primary, _ = primary_scores(ready, settings, base_weights_frame(spark))
-    schemes = P.weights_frame(spark, jackknife_schemes(P.base_weights()))
-    parts = I.contributions(ready.centered, ready.penalties, ready.accelerations)
-    alternatives = rescored(parts, schemes, settings)
-    return compare_rankings(primary, alternatives, kendall=False).select(
+    base = _shared(ready, settings)
+    raw = materialize(left_out(base.parts, P.base_weights()), "left_out")
+    alternatives = I.scaled(raw, settings)[0]
+    return compare_rankings(base.primary, alternatives, kendall=False, same_units=True).select(
         F.col("scenario").alias("excluded_component"), "spearman_r", "max_rank_shift", "n_shifted_gt_10",
         F.col("top_shifted").alias("most_affected_counties"),
     )
@@ -105,27 +155,26 @@ def jackknife(ready: I.Prepared, settings: P.Settings) -> DataFrame:
 # --- alternative weightings -----------------------------------------------------
 
 
-def alternative_weightings(ready: I.Prepared, settings: P.Settings) -> DataFrame:
+def alternative_weightings(ready: I.Prepared | Shared, settings: P.Settings) -> DataFrame:
     """Equal and risk weights, and the base weights without acceleration.
 
     The method lists the last scheme under two names; both are kept.
     """
+    shared = _shared(ready, settings)
+    ready, moving = shared.ready, shared.parts
     spark = ready.panel.sparkSession
     base = P.base_weights()
-    primary, _ = primary_scores(ready, settings, base_weights_frame(spark))
     equal = {c: 1.0 / len(P.REGISTRY) for c in base}
-    moving = I.contributions(ready.centered, ready.penalties, ready.accelerations)
     neutral = I.contributions(ready.centered, ready.penalties, None)
     weighted = P.weights_frame(spark, {"equal": equal, "pure_risk": P.RISK_WEIGHTS})
     unmoved = P.weights_frame(spark, {"pure_budget": base, "neutral_acceleration": base})
-    scored = rescored(moving, weighted, settings).unionByName(
-        rescored(neutral, unmoved, settings)
-    )
+    scored = rescored(moving, weighted, settings).unionByName(rescored(neutral, unmoved, settings))
+    scored = materialize(scored, "reweighted")
     spread = quantiles(
         scored, ["scenario"], "index_score", {"iqr_low": 0.25, "median_index_score": 0.5, "iqr_high": 0.75}
     )
     return (
-        compare_rankings(primary, scored, kendall=False)
+        compare_rankings(shared.primary, scored, kendall=False, same_units=True)
         .join(spread, "scenario")
         .select(
             F.col("scenario").alias("scheme"), F.col("spearman_r").alias("spearman_r_vs_primary"), "max_rank_shift",
@@ -137,15 +186,16 @@ def alternative_weightings(ready: I.Prepared, settings: P.Settings) -> DataFrame
 # --- overlap threshold ------------------------------------------------------------
 
 
-def threshold_sweep(ready: I.Prepared, settings: P.Settings, thresholds=(0.5, 0.6, 0.7)) -> DataFrame:
+def threshold_sweep(ready: I.Prepared | Shared, settings: P.Settings, thresholds=(0.5, 0.6, 0.7)) -> DataFrame:
     """Index under several overlap thresholds.
 
     ``n_penalized`` counts components with a penalty below one (the method calls
     the same number flagged pairs).
     """
+    base = _shared(ready, settings)
+    ready = base.ready
     spark = ready.panel.sparkSession
     weights = base_weights_frame(spark)
-    primary, _ = primary_scores(ready, settings, weights)
     table = spark.createDataFrame([(str(t), float(t)) for t in thresholds], "sweep string, threshold double")
     # The pair table has 66 rows; each meets the fixed list of thresholds.
     swept = ready.pairs.drop("scenario").withColumn(
@@ -163,7 +213,7 @@ def threshold_sweep(ready: I.Prepared, settings: P.Settings, thresholds=(0.5, 0.
     )
     parts = I.component_scores(I.contributions(fanned, penalties, accel), weights)
     scored, _ = I.composite(parts, settings)
-    compared = compare_rankings(primary, scored, kendall=False)
+    compared = compare_rankings(base.primary, scored, kendall=False, same_units=True)
     counted = penalties.groupBy("scenario").agg(
         F.count_if(F.col("penalty") < 1).alias("n_penalized"),
         F.map_from_entries(F.collect_list(F.struct("component", "penalty"))).alias("penalties"),
@@ -181,21 +231,21 @@ def threshold_sweep(ready: I.Prepared, settings: P.Settings, thresholds=(0.5, 0.
 # --- normalization ----------------------------------------------------------------
 
 
-def normalization_compare(ready: I.Prepared, settings: P.Settings) -> DataFrame:
+def normalization_compare(ready: I.Prepared | Shared, settings: P.Settings) -> DataFrame:
     """Percentile against z-score normalization with the primary penalties and trends."""
-    spark = ready.panel.sparkSession
-    weights = base_weights_frame(spark)
-    primary, _ = primary_scores(ready, settings, weights)
+    base = _shared(ready, settings)
+    ready = base.ready
+    weights = base_weights_frame(ready.panel.sparkSession)
     current = ready.panel.where(F.col("year") == settings.scoring_year)
     scaled = windows.zscore_normalize(
         I.winsorized_universe(current, settings), ["scenario", "component"]
     )
     parts = I.component_scores(I.contributions(scaled, ready.penalties, ready.accelerations), weights)
     scored, _ = I.composite(parts, settings)
-    both = scored.withColumn("scenario", F.lit("z_score")).unionByName(
-        primary.withColumn("scenario", F.lit("percentile"))
+    both = scored.select(F.lit("z_score").alias("scenario"), "fips", "index_score").unionByName(
+        base.primary.select(F.lit("percentile").alias("scenario"), "fips", "index_score")
     )
-    return compare_rankings(primary, both).select(
+    return compare_rankings(base.primary, both, same_units=True).select(
         F.col("scenario").alias("normalization"), F.col("spearman_r").alias("spearman_r_vs_primary"), "kendall_tau",
         "max_rank_shift", "n_shifted_gt_10",
     )
@@ -227,16 +277,48 @@ def full_variants(
     return materialize(I.composite(parts, settings)[0], "variants")
 
 
-def severity_perturbation(panel: DataFrame, settings: P.Settings, factors=(0.75, 0.875, 1.0, 1.125, 1.25)) -> DataFrame:
+def changed_component(base: Shared, settings: P.Settings, component: str, variants: dict[str, Column]) -> DataFrame:
+    """Index scores of each variant of one component, computed from what depends on it.
+
+    ``variants`` maps a scenario to the component's new column, which must be NULL in the same rows as before, so the
+    universe stays.  Only this component's cut, rank and trend and its pairs are computed again; the others' centered
+    values, trends and pairs are those of the base.
+    """
+    ready, spark = base.ready, base.ready.panel.sparkSession
+    others = [c for c in ready.components if c != component]
+    panel = ready.panel.drop("scenario")
+    columns = [c for c in panel.columns if c in ("fips", "year") or c in P.COMPONENT_IDS]
+    fanned = materialize(fan_out(panel.select(*columns), {name: {component: value} for name, value in variants.items()}), "changed")
+    current = fanned.where(F.col("year") == settings.scoring_year)
+    new = materialize(I.center(I.percentile_rank(I.winsorized_universe(current, settings, [component]))), "recentered")
+    trend = materialize(I.accelerations(fanned, [component], settings, P.registry_frame(spark)), "retrend")
+    # Pairs of the component: its new values beside the others' unchanged ones.
+    wide = I.to_wide(ready.centered.drop("scenario"), others, ["fips"])
+    beside = new.select("scenario", "fips", F.col("value").alias(component)).join(wide, "fips")
+    pairs = stats.pearson_pairs(beside, ["scenario"], ready.components, only=component)
+    kept = ready.pairs.drop("scenario").where((F.col("a") != component) & (F.col("b") != component))
+    names = F.explode(F.array(*[F.lit(n) for n in variants]))
+    pairs = pairs.unionByName(kept.withColumn("scenario", names))
+    penalties = materialize(I.overlap_penalties(I.flagged_pairs(pairs, settings.overlap_threshold), settings.overlap_floor), "repenalized")
+    fan = lambda df: df.drop("scenario").where(F.col("component") != component).withColumn("scenario", names)
+    centered = fan(ready.centered).unionByName(new)
+    accel = fan(ready.accelerations).unionByName(trend)
+    parts = I.component_scores(I.contributions(centered, penalties, accel), base_weights_frame(spark))
+    return I.composite(parts, settings)[0]
+
+
+def severity_perturbation(
+    panel: DataFrame | Shared, settings: P.Settings, factors=(0.75, 0.875, 1.0, 1.125, 1.25)
+) -> DataFrame:
     """Index with storm severity scaled up and down."""
-    variants = {"primary": {}}
-    if "storm_severity" in panel.columns:
-        variants.update({str(f): {"storm_severity": F.col("storm_severity") * float(f)} for f in factors})
+    base = panel if isinstance(panel, Shared) else share(I.prepare(panel, settings), settings)
+    if "storm_severity" in base.ready.components:
+        variants = {str(f): F.col("storm_severity") * float(f) for f in factors}
+        scored = changed_component(base, settings, "storm_severity", variants)
     else:
-        variants.update({str(f): {} for f in factors})
-    scored = full_variants(panel, variants, settings)
-    primary = scored.where(F.col("scenario") == "primary").drop("scenario")
-    return compare_rankings(primary, scored.where(F.col("scenario") != "primary"), kendall=False).select(
+        names = F.explode(F.array(*[F.lit(str(f)) for f in factors]))
+        scored = base.primary.select("fips", "index_score").withColumn("scenario", names)
+    return compare_rankings(base.primary, scored, kendall=False, same_units=True).select(
         F.col("scenario").cast("double").alias("perturbation_factor"),
         F.col("spearman_r").alias("spearman_r_vs_primary"),
         "max_rank_shift",
@@ -279,18 +361,19 @@ def baseline_comparison(panel: DataFrame, settings: P.Settings, alternative: Dat
 # --- trend windows --------------------------------------------------------------
 
 
-def window_sensitivity(ready: I.Prepared, settings: P.Settings, lengths=(3, 5, 7, 10)) -> DataFrame:
+def window_sensitivity(ready: I.Prepared | Shared, settings: P.Settings, lengths=(3, 5, 7, 10)) -> DataFrame:
     """Index under several trend windows; static components keep theirs."""
+    base = _shared(ready, settings)
+    ready = base.ready
     spark = ready.panel.sparkSession
     weights = base_weights_frame(spark)
-    primary, _ = primary_scores(ready, settings, weights)
     tables = [
         P.registry_frame(spark, P.registry_with_windows(w)).select("component", "window").withColumn("scenario", F.lit(str(w)))
         for w in lengths
     ]
     table = reduce(lambda a, b: a.unionByName(b), tables)
     fan = lambda df: df.drop("scenario").withColumn("scenario", F.explode(F.array(*[F.lit(str(w)) for w in lengths])))
-    accel = I.accelerations(fan(ready.panel), ready.components, settings, table)
+    accel = materialize(I.accelerations(fan(ready.panel), ready.components, settings, table), "windows")
     penalties = fan(ready.penalties)
     parts = I.component_scores(I.contributions(fan(ready.centered), penalties, accel), weights)
     scored, _ = I.composite(parts, settings)
@@ -303,7 +386,7 @@ def window_sensitivity(ready: I.Prepared, settings: P.Settings, lengths=(3, 5, 7
     )
     spread = rollups.acceleration_distribution(full, ["scenario"], settings.accel_low, settings.accel_high)
     return (
-        compare_rankings(primary, scored, kendall=False)
+        compare_rankings(base.primary, scored, kendall=False, same_units=True)
         .join(spread, "scenario")
         .select(
             F.col("scenario").cast("int").alias("window_years"), F.col("spearman_r").alias("spearman_r_vs_primary"),
@@ -355,52 +438,76 @@ class MonteCarlo:
         self.detail, self.summary, self.draws = detail, summary, draws
 
 
+def packed_units(base: Shared, names: list[str]) -> DataFrame:
+    """One row: ``units``, the array of all counties with their contributions in the order of ``names``.
+
+    Its size is bounded by the number of counties, which no amount of input changes.
+    """
+    values = [F.coalesce(F.sum(F.when(F.col("component") == c, F.col("value"))), F.lit(0.0)) for c in names]
+    units = base.parts.groupBy("fips").agg(F.array(*values).alias("values"))
+    return units.agg(F.array_sort(F.collect_list(F.struct("fips", "values"))).alias("units"))
+
+
+def ranked_draws(orders: DataFrame) -> DataFrame:
+    """``(iteration, unit, rank, mean_place)`` from each draw's units in the order of their scores.
+
+    A unit alone at its score has the rank of its place.  Only units that share a score are grouped.
+    """
+    near = lambda x, i: F.get("order", i)["score"].eqNullSafe(x["score"])
+    marked = F.transform("order", lambda x, i: F.struct(x["unit"].alias("unit"), x["score"].alias("score"), (near(x, i - 1) | near(x, i + 1)).alias("tied")))
+    placed = orders.select("iteration", F.posexplode(marked).alias("place", "one")).select("iteration", F.col("place") + 1, "one.*")
+    placed = placed.toDF("iteration", "place", "unit", "score", "tied")
+    alone = placed.where(~F.col("tied")).select("iteration", "unit", F.col("place").alias("rank"), F.col("place").cast("double").alias("mean_place"))
+    ties = placed.where("tied").groupBy("iteration", "score").agg(
+        F.min("place").alias("rank"), F.avg("place").alias("mean_place"), F.collect_list("unit").alias("unit")
+    )
+    return alone.unionByName(ties.select("iteration", F.explode("unit").alias("unit"), "rank", "mean_place"))
+
+
 def monte_carlo_weights(
-    ready: I.Prepared, settings: P.Settings, iterations: int | None = None, perturbation: float | None = None,
+    ready: I.Prepared | Shared, settings: P.Settings, iterations: int | None = None, perturbation: float | None = None,
     seed: int = 42, flag_share: float = 0.15,
 ) -> MonteCarlo:
     """Rank spread of each county under random weights, with the primary scale.
 
-    A draw's weights are arithmetic on its number, so each county row computes its
-    score of every draw in place; no table of draws is joined.
+    A draw is one row: its weights are arithmetic on its number, its scores an array over the packed counties, and
+    its ranking that array sorted.  Ranks leave the draws only as counts per county and rank.
     """
-    spark = ready.panel.sparkSession
+    base = _shared(ready, settings)
+    spark = base.parts.sparkSession
     iterations = iterations or settings.monte_carlo_iterations
     perturbation = settings.perturbation if perturbation is None else perturbation
-    base = P.base_weights()
-    primary, scale = primary_scores(ready, settings, base_weights_frame(spark))
-    parts = I.contributions(ready.centered, ready.penalties, ready.accelerations)
-    names = list(base)
-    wide = parts.groupBy("scenario", "fips").pivot("component", names).agg(F.first("value"))
-    flat = wide.join(scale, "scenario").select(
-        "fips", "k", *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in names]
-    )
-    fanned = flat.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    fanned = with_perturbed_weights(fanned, base, perturbation, seed)
-    total = reduce(lambda a, b: a + b, [F.col(c) * F.get("weights", F.lit(i)) for i, c in enumerate(names)])
-    scored = fanned.select("iteration", "fips", (100.0 + F.col("k") * total).alias("score"))
-    # A draw ranks the counties, so its group is as large as their number, whatever the number of draws.
-    order = Window.partitionBy("iteration").orderBy("score")
-    ties = F.count(F.lit(1)).over(order.rangeBetween(Window.currentRow, Window.currentRow))
-    ranked = scored.select("*", F.rank().over(order).alias("rank"), ties.alias("_ties"))
-    ranked = ranked.withColumn("_ry", F.col("rank") + (F.col("_ties") - 1) / 2.0).drop("_ties")
-    own = with_ranks(
-        primary.withColumn("_all", F.lit("primary")), ["_all"], "index_score", {"primary_rank": "min", "_rx": "average"}
-    ).select("fips", "primary_rank", "_rx")
-    draws = materialize(ranked.join(own, "fips").drop("score"), "draws")
-    n_units = own.groupBy().agg(F.count(F.lit(1)).alias("_units"))
-    # The ranks of one county are as many as there are iterations.
-    spread = draws.groupBy("fips").agg(
-        F.first("primary_rank").alias("primary_rank"),
-        F.avg("rank").alias("mean_rank"),
-        F.stddev_pop("rank").alias("rank_std"),
-        F.percentile("rank", 0.05).alias("rank_p05"),
-        F.percentile("rank", 0.95).alias("rank_p95"),
+    weights = P.base_weights()
+    packed = materialize(packed_units(base, list(weights)).crossJoin(base.k.select("k")), "packed")
+    draws = perturbed_weights(spark, weights, iterations, perturbation, seed)
+    total = lambda u: reduce(lambda x, y: x + y, [u["values"][i] * F.get("weights", F.lit(i)) for i in range(len(weights))])
+    scores = F.transform("units", lambda u, i: F.struct((100.0 + F.col("k") * total(u)).alias("score"), i.alias("unit")))
+    # The other side is the one packed row.
+    orders = materialize(draws.crossJoin(packed).select("iteration", F.array_sort(scores).alias("order")), "orders")
+    ranked = ranked_draws(orders)
+    counted = ranked.groupBy("unit", "rank").agg(F.count(F.lit(1)).alias("n"))
+    r, n = F.col("rank").cast("long"), F.col("n")
+    spread = counted.groupBy("unit").agg(
+        F.sum(n).alias("_n"), F.sum(r * n).alias("_sum"), F.sum(r * r * n).alias("_squares"),
+        F.percentile("rank", F.array(F.lit(0.05), F.lit(0.95)), n).alias("_p"),
         (F.max("rank") - F.min("rank")).alias("max_rank_shift"),
     )
-    units = n_units.first()[0]
-    detail = spread.withColumn("is_flagged", F.col("max_rank_shift") > F.lit(flag_share * units))
-    agreement = draws.groupBy("iteration").agg(stats.pearson("_rx", "_ry").alias("spearman_r"))
+    units = packed.select(F.size("units").alias("_units"), F.posexplode("units").alias("unit", "_one")).select(
+        "unit", "_units", F.col("_one.fips").alias("fips")
+    )
+    units = units.join(base.primary.select("fips", "primary_rank", "_rx"), "fips")
+    m = F.col("_n")
+    detail = spread.join(units, "unit").select(
+        "fips", "primary_rank",
+        (F.col("_sum") / m).alias("mean_rank"),
+        (F.sqrt(m * F.col("_squares") - F.col("_sum") * F.col("_sum")) / m).alias("rank_std"),
+        F.col("_p")[0].alias("rank_p05"), F.col("_p")[1].alias("rank_p95"),
+        "max_rank_shift",
+        (F.col("max_rank_shift") > F.lit(flag_share) * F.col("_units")).alias("is_flagged"),
+    )
+    agreement = ranked.join(units.select("unit", "_rx"), "unit").groupBy("iteration").agg(
+        stats.pearson("_rx", "mean_place").alias("spearman_r")
+    )
     levels = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
     summary = agreement.groupBy().agg(
         F.count(F.lit(1)).alias("n_iterations"),
@@ -460,20 +567,20 @@ def robustness_label(report: DataFrame) -> DataFrame:
 
 
 def sensitivity_report(panel: DataFrame, settings: P.Settings, iterations: int | None = None) -> DataFrame:
-    """All eight tests in the common report columns."""
-    ready = I.prepare(panel, settings)
+    """All eight tests in the common report columns, over one store of the steps they share."""
+    base = share(I.prepare(panel, settings), settings)
     r = "spearman_r_vs_primary"
     baseline = baseline_comparison(panel, settings)
     parts = [
-        monte_carlo_row(monte_carlo_weights(ready, settings, iterations)),
+        monte_carlo_row(monte_carlo_weights(base, settings, iterations)),
         report_rows(
-            jackknife(ready, settings), "jackknife", F.concat(F.lit("drop_"), "excluded_component"), "spearman_r"
+            jackknife(base, settings), "jackknife", F.concat(F.lit("drop_"), "excluded_component"), "spearman_r"
         ),
-        report_rows(alternative_weightings(ready, settings), "alt_weighting", F.col("scheme"), r),
-        report_rows(threshold_sweep(ready, settings), "correlation_threshold", F.col("threshold"), r),
-        report_rows(normalization_compare(ready, settings), "normalization", F.col("normalization"), r),
-        report_rows(severity_perturbation(panel, settings), "severity_perturbation", F.col("perturbation_factor"), r),
-        report_rows(window_sensitivity(ready, settings), "window_sensitivity", F.col("window_years"), r, flagged=None),
+        report_rows(alternative_weightings(base, settings), "alt_weighting", F.col("scheme"), r),
+        report_rows(threshold_sweep(base, settings), "correlation_threshold", F.col("threshold"), r),
+        report_rows(normalization_compare(base, settings), "normalization", F.col("normalization"), r),
+        report_rows(severity_perturbation(base, settings), "severity_perturbation", F.col("perturbation_factor"), r),
+        report_rows(window_sensitivity(base, settings), "window_sensitivity", F.col("window_years"), r, flagged=None),
         report_rows(baseline, "baseline_comparison", F.col("baseline"), r, status=F.col("status")),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -37,4 +37,4 @@ def test_every_query_is_callable_and_named_once():
     table = catalog()
     assert all(callable(f) for f, _ in table.values())
     without_sql = [n for n, (_, sql) in table.items() if sql is None]
-    assert sorted(without_sql) == ["correlation_pvalues", "sensitivity_report"]
+    assert sorted(without_sql) == ["correlation_pvalues"]
