@@ -34,3 +34,14 @@ def rounded_sql(body: str, spec: str) -> str:
     """The same rounding around a SQL body."""
     changes = ", ".join(f"round({c}, {digits}) + 0.0 AS {c}" for c, digits in _columns(spec))
     return f"\nSELECT * REPLACE ({changes}) FROM ({body})"
+
+
+def pvalue_sql(r: str, n: str) -> str:
+    """Two-sided p-value of a correlation in SQL: the same share of a t distribution, its terms by gamma functions."""
+    odd, v, x = f"(({n} - 2) % 2)", f"({n} - 2)", f"least(1.0, abs({r}))"
+    even = f"lgamma(k + 0.5) - lgamma(k + 1) - 0.5 * ln(pi())"
+    other = f"lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)"
+    term = f"exp(CASE WHEN {odd} = 1 THEN {other} ELSE {even} END + k * ln(1 - {x} * {x}))"
+    total = f"coalesce(list_sum(list_transform(range(0, CAST(({v} - 2 - {odd}) // 2 + 1 AS BIGINT)), lambda k: {term})), 0.0)"
+    share = f"CASE WHEN {odd} = 1 THEN (asin({x}) + {x} * sqrt(1 - {x} * {x}) * {total}) * 2 / pi() ELSE {x} * {total} END"
+    return f"CASE WHEN {n} < 3 OR {r} IS NULL THEN NULL WHEN {x} >= 1 THEN 0.0 ELSE greatest(0.0, 1 - ({share})) END"

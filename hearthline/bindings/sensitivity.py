@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from hearthline import params as P
 from hearthline.bindings import tables as T
-from hearthline.bindings.registry import QUERIES, query, rounded, rounded_sql
-from hearthline.bindings.scoring import REG_SQL, YEAR, ready, steps
+from hearthline.bindings.registry import QUERIES, pvalue_sql, query, rounded, rounded_sql
+from hearthline.bindings.scoring import REG_SQL, YEAR, current, ready, steps
+from hearthline.operators import windows
 from hearthline.operators.joins import year_pairs
+from hearthline.plans import index as I
 from hearthline.plans import scenarios as S
 
 #: All draws of the method.
@@ -129,15 +131,22 @@ def normalization_compare(spark, d):
 @query(
     "compare_rankings",
     steps("scores") + chain(_Z_PARTS, _ALT_SQL, _COMPARE_SQL, _TAU) + rounded_sql(
-        "SELECT scenario, spearman_r, max_rank_shift, n_shifted_gt_10, n_shifted_gt_15, kendall_tau, n_shared FROM agree JOIN tau USING (scenario) JOIN (SELECT scenario, count(*) AS n_shared FROM shared GROUP BY scenario) USING (scenario) WHERE scenario = 'percentile'",
-        "spearman_r kendall_tau",
+        "SELECT scenario, spearman_r, " + pvalue_sql("spearman_r", "n_shared") + """ AS spearman_p, max_rank_shift, n_shifted_gt_10, n_shifted_gt_15, kendall_tau, n_shared
+        FROM agree JOIN tau USING (scenario) JOIN (SELECT scenario, count(*) AS n_shared FROM shared GROUP BY scenario) USING (scenario)""",
+        "spearman_r spearman_p kendall_tau",
     ),
 )
 def compare_rankings(spark, d):
-    base = ready(spark, d)
-    primary, _ = S.primary_scores(base, T.SETTINGS, S.base_weights_frame(spark))
-    same = primary.withColumn("scenario", F.lit("percentile"))
-    return rounded(S.compare_rankings(primary, same).drop("top_shifted"), "spearman_r kendall_tau")
+    """The z-score index and the primary one itself against the primary index, ranked over the counties they share."""
+    base = S.share(ready(spark, d), T.SETTINGS)
+    scaled = windows.zscore_normalize(I.winsorized_universe(current(spark, d), T.SETTINGS), ["scenario", "component"])
+    parts = I.contributions(scaled, base.ready.penalties, base.ready.accelerations)
+    other = I.composite(I.component_scores(parts, S.base_weights_frame(spark)), T.SETTINGS)[0]
+    both = other.select(F.lit("z_score").alias("scenario"), "fips", "index_score").unionByName(
+        base.primary.select(F.lit("percentile").alias("scenario"), "fips", "index_score")
+    )
+    compared = S.compare_rankings(base.primary.select("fips", "index_score"), both).drop("top_shifted")
+    return rounded(compared, "spearman_r spearman_p kendall_tau")
 
 
 _WINDOWS = (3, 5, 7, 10)

@@ -7,14 +7,18 @@ the original tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline import params as P
+from hearthline.bindings import scoring, validating
 from hearthline.bindings import tables as T
 from hearthline.bindings.registry import query, rounded, rounded_sql
 from hearthline.functions import geometry as G
 from hearthline.plans import index as I
+from hearthline.plans import validation as V
 from hearthline.sources import readers as R
 from hearthline.sources import sinks as W
 from hearthline.storage import materialize, scratch_path
@@ -88,20 +92,42 @@ def write_metadata_sidecar(spark, d):
     return facts.join(years, "source")
 
 
-@query(
-    "write_score_bundle",
-    T.with_roles("panel") + f"""
-    SELECT 'components' AS part, count(*) AS n FROM panel WHERE year = {T.SCORING_YEAR} UNION ALL SELECT 'dollar', count(*) FROM panel WHERE year = {T.SCORING_YEAR}
-    UNION ALL SELECT 'scores', count(*) FROM panel WHERE year = {T.SCORING_YEAR}""",
+_BUNDLE_SQL = scoring.steps("scores", "census") + rounded_sql(
+    """SELECT 'scores' AS part, count(*) AS n, sum(index_score) AS total, min(fips) AS first FROM scores
+    UNION ALL SELECT 'components', count(DISTINCT fips), sum(score), min(fips) FROM comp_scores
+    UNION ALL SELECT 'accelerations', count(*), sum(acceleration), min(fips) FROM accel
+    UNION ALL SELECT 'correlation', count(*), sum(r), min(a) FROM pairs
+    UNION ALL SELECT 'penalties', count(*), sum(penalty), min(component) FROM penalties
+    UNION ALL SELECT 'k', 1, (SELECT k FROM kval), NULL
+    UNION ALL SELECT 'universe_size', (SELECT count(*) FROM universe), (SELECT count(*) FROM universe), NULL
+    UNION ALL SELECT 'n_penalties', (SELECT count(*) FROM penalties), (SELECT count(*) FROM penalties), NULL""",
+    "total:4",
 )
+
+
+@query("write_score_bundle", _BUNDLE_SQL)
 def write_score_bundle(spark, d):
-    result = I.compute_index(T.panel(spark, d), T.SETTINGS)
-    parts = {"scores": result.scores, "components": result.components, "dollar": result.dollar}
-    paths = W.write_bundle(parts, scratch_path(spark, "bundle"))
-    counted = [
-        spark.read.parquet(p).groupBy(F.lit(n).alias("part")).agg(F.count(F.lit(1)).alias("n")) for n, p in paths.items()
+    """An index result published twice; what a reader finds of the last one, by stored values."""
+    result = I.compute_index(T.panel(spark, d), T.SETTINGS, T.census(spark, d))
+    root = scratch_path(spark, "bundle")
+    W.write_bundle({"scores": result.scores.limit(0)}, root)
+    W.write_index(result, root)
+    tables, facts = W.read_bundle(spark, root)
+    wide = tables["components"]
+    long = wide.unpivot(["scenario", "fips"], [c for c in P.COMPONENT_IDS if c in wide.columns], "component", "score")
+    tables["components"] = long.where(F.col("score").isNotNull())
+    measured = {
+        "scores": (F.count(F.lit(1)), "index_score", "fips"), "components": (F.count_distinct("fips"), "score", "fips"),
+        "accelerations": (F.count(F.lit(1)), "acceleration", "fips"), "correlation": (F.count(F.lit(1)), "r", "a"),
+        "penalties": (F.count(F.lit(1)), "penalty", "component"),
+    }
+    rows = [
+        tables[part].agg(n.alias("n"), F.sum(total).alias("total"), F.min(first).alias("first")).withColumn("part", F.lit(part))
+        for part, (n, total, first) in measured.items()
     ]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    told = [("k", 1, facts["k"], None)] + [(f, int(facts[f]), facts[f], None) for f in ("universe_size", "n_penalties")]
+    rows.append(spark.createDataFrame(told, "part string, n long, total double, first string"))
+    return rounded(reduce(lambda a, b: a.unionByName(b), rows), "total:4")
 
 
 @query(
@@ -120,12 +146,20 @@ def write_harmonized(spark, d):
 
 @query(
     "write_validation_outputs",
-    T.with_roles("panel") + "\nSELECT year, count(*) AS n_rows, count(health_burden) AS n_health FROM panel GROUP BY year",
+    validating._EXTERNAL + rounded_sql(
+        "SELECT indicator, pearson_r, status, (SELECT count(*) FROM external) AS n_rows, 'external' AS report FROM external", "pearson_r"
+    ),
 )
 def write_validation_outputs(spark, d):
-    summary = T.panel(spark, d).groupBy("year").agg(F.count(F.lit(1)).alias("n_rows"), F.count("health_burden").alias("n_health"))
-    paths = W.write_bundle({"validation_summary": summary}, scratch_path(spark, "validation"))
-    return spark.read.parquet(paths["validation_summary"])
+    """The report on external indicators, published with its metadata and read back."""
+    external = V.external_validation(validating.scored(spark, d), T.panel(spark, d), T.census(spark, d), T.SCORING_YEAR)
+    root = scratch_path(spark, "validation")
+    counted = external.agg(F.count(F.lit(1)).alias("n_rows"))
+    W.write_bundle({"validation_summary": external}, root, counted, report="external")
+    tables, facts = W.read_bundle(spark, root)
+    found = tables["validation_summary"].select("indicator", "pearson_r", "status")
+    found = found.withColumn("n_rows", F.lit(int(facts["n_rows"])).cast("long")).withColumn("report", F.lit(facts["report"]))
+    return rounded(found, "pearson_r")
 
 
 # --- weather and storms ------------------------------------------------------------------

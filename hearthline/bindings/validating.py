@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hearthline.bindings import tables as T
-from hearthline.bindings.registry import query, rounded, rounded_sql
+from hearthline.bindings.registry import pvalue_sql, query, rounded, rounded_sql
 from hearthline.bindings.scoring import YEAR, steps
 from hearthline.functions import columns as C
 from hearthline.operators import rollups, windows
@@ -171,25 +171,32 @@ def growth_rate(spark, d):
     return rounded(rollups.growth_rate(T.census(spark, d), "population"), "growth")
 
 
-@query(
-    "pearson_spearman_test",
-    T.with_roles("panel") + rounded_sql(
-        """SELECT year, corr(storm_severity, health_burden) AS pearson_r, corr(rx, ry) AS spearman_r, count(*) AS n_observations FROM (
+_TEST_SQL = """SELECT year, corr(storm_severity, health_burden) AS pearson_r, corr(rx, ry) AS spearman_r, count(*) AS n_observations FROM (
         SELECT year, storm_severity, health_burden, rank() OVER (PARTITION BY year ORDER BY storm_severity) + (count(*) OVER (PARTITION BY year, storm_severity) - 1) / 2.0 AS rx,
-        rank() OVER (PARTITION BY year ORDER BY health_burden) + (count(*) OVER (PARTITION BY year, health_burden) - 1) / 2.0 AS ry FROM panel WHERE health_burden IS NOT NULL AND storm_severity IS NOT NULL) GROUP BY year""",
-        "pearson_r spearman_r",
-    ),
-)
+        rank() OVER (PARTITION BY year ORDER BY health_burden) + (count(*) OVER (PARTITION BY year, health_burden) - 1) / 2.0 AS ry FROM panel WHERE health_burden IS NOT NULL AND storm_severity IS NOT NULL) GROUP BY year"""
+_P_COLUMNS = "pearson_r spearman_r p_value_pearson p_value_spearman"
+
+
+def _with_pvalues(body: str, n: str) -> str:
+    return f"SELECT *, {pvalue_sql('pearson_r', n)} AS p_value_pearson, {pvalue_sql('spearman_r', n)} AS p_value_spearman FROM ({body})"
+
+
+@query("pearson_spearman_test", T.with_roles("panel") + rounded_sql(_with_pvalues(_TEST_SQL, "n_observations"), _P_COLUMNS))
 def pearson_spearman_test(spark, d):
     result = V.correlation_test(T.panel(spark, d), ["year"], "storm_severity", "health_burden")
-    return rounded(result.drop("p_value_pearson", "p_value_spearman"), "pearson_r spearman_r")
+    return rounded(result, _P_COLUMNS)
 
 
-@query("correlation_pvalues")
+@query(
+    "correlation_pvalues",
+    T.with_roles("panel") + rounded_sql(
+        "SELECT year, p_value_pearson, p_value_spearman FROM (" + _with_pvalues(_TEST_SQL, "n_observations") + ")", "p_value_pearson:9 p_value_spearman:9"
+    ),
+)
 def correlation_pvalues(spark, d):
-    """p-values have no closed SQL form; tests compare them with tabled values."""
+    """The p-values alone, compared at nine decimals."""
     result = V.correlation_test(T.panel(spark, d), ["year"], "storm_severity", "health_burden")
-    return rounded(result, "pearson_r spearman_r p_value_pearson p_value_spearman")
+    return rounded(result.select("year", "p_value_pearson", "p_value_spearman"), "p_value_pearson:9 p_value_spearman:9")
 
 
 _AVG_RANK = "rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
@@ -211,10 +218,10 @@ EXTERNAL_SQL = f"""ext AS (SELECT 'fema_ia_per_household' AS indicator, * FROM (
 _EXTERNAL = steps("scores", "census") + ", " + ", ".join([VOL_SQL, GROWTH_SQL, EXTERNAL_SQL])
 
 
-@query("external_criteria", _EXTERNAL + rounded_sql("SELECT * FROM external", "pearson_r spearman_r"))
+@query("external_criteria", _EXTERNAL + rounded_sql(_with_pvalues("SELECT * FROM external", "n_observations"), _P_COLUMNS))
 def external_criteria(spark, d):
     result = V.external_validation(scored(spark, d), T.panel(spark, d), T.census(spark, d), YEAR)
-    return rounded(result.drop("p_value_pearson", "p_value_spearman", "note"), "pearson_r spearman_r")
+    return rounded(result.drop("note"), _P_COLUMNS)
 
 
 def benchmark(spark, d):
@@ -228,15 +235,15 @@ def benchmark(spark, d):
 CONVERGENT_SQL = f"""bench AS (SELECT printf('%02d%03d', s_nationkey + 1, s_suppkey) AS fips, s_acctbal AS nri_score FROM supplier),
     conv AS ({_pair_sql('bench', 'nri_score')}),
     targets(benchmark, validity_type, lo, hi) AS (VALUES ('fema_nri', 'convergent', 0.4::DOUBLE, 0.7::DOUBLE), ('fema_nri', 'divergent', 0.0, 0.85), ('first_street', 'convergent', 0.4, 0.7), ('first_street', 'divergent', 0.0, 0.85)),
-    convergent AS (SELECT benchmark, validity_type, pearson_r, spearman_r, lo AS target_r_low, hi AS target_r_high,
+    convergent AS (SELECT benchmark, validity_type, pearson_r, spearman_r, n AS n_observations, lo AS target_r_low, hi AS target_r_high,
         CASE WHEN validity_type = 'convergent' THEN abs(pearson_r) BETWEEN lo AND hi ELSE abs(pearson_r) < hi END AS within_target,
         CASE WHEN pearson_r IS NULL THEN 'data_unavailable' ELSE 'success' END AS status FROM targets LEFT JOIN conv ON benchmark = 'fema_nri')"""
 
 
-@query("convergent_divergent", steps("scores") + ", " + CONVERGENT_SQL + rounded_sql("SELECT * FROM convergent", "pearson_r spearman_r"))
+@query("convergent_divergent", steps("scores") + ", " + CONVERGENT_SQL + rounded_sql(_with_pvalues("SELECT * FROM convergent", "n_observations"), _P_COLUMNS))
 def convergent_divergent(spark, d):
     result = V.convergent_divergent(scored(spark, d), benchmark(spark, d)).drop("interpretation")
-    return rounded(result, "pearson_r spearman_r")
+    return rounded(result, _P_COLUMNS)
 
 
 @query(

@@ -146,17 +146,24 @@ def iso_date(text: Column) -> Column:
     return F.try_to_date(F.when(day.rlike(r"^\d{4}-\d{2}-\d{2}$"), day), "yyyy-MM-dd")
 
 
-# Letters with marks and their base letters, pairwise in order.
-_MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěģīķļłńňōőŕřśšťūůűźžż"
-_PLAIN = "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegikllnnoorrsstuuuzzz"
+# Letters with a stroke, which are letters of their own and not a base letter with a mark.
+_STROKED, _SET_ASIDE = "đłŧ", "\ue000\ue001\ue002"
+
+
+def without_marks(text: Column) -> Column:
+    """Text without accents, by Unicode decomposition in the JVM; letters that do not decompose stay."""
+    decomposed = F.reflect(
+        F.lit("org.apache.commons.lang3.StringUtils"), F.lit("stripAccents"), F.translate(text, _STROKED, _SET_ASIDE)
+    )
+    # The call turns a missing text into the word "null".
+    return F.when(text.isNotNull(), F.translate(decomposed, _SET_ASIDE, _STROKED))
 
 
 def normalize_county_name(name: Column) -> Column:
     """Lower-case county name without a bracketed suffix, marks, or ``St.``."""
     bare = F.lower(F.trim(F.regexp_replace(name, r"\s*\(.*\)\s*$", "")))
     spelled = F.regexp_replace(F.regexp_replace(bare, r"^st\.\s*", "saint "), r"\bst\.\s", "saint ")
-    composed = F.translate(spelled, _MARKED, _PLAIN)
-    return F.regexp_replace(composed, r"\p{Mn}", "")
+    return F.regexp_replace(without_marks(spelled), r"\p{Mn}", "")
 
 
 def series_id(area: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthline import params as P
+from hearthline.functions.pvalues import correlation_pvalue
 from hearthline.operators import rollups, stats, windows
 from hearthline.operators.order_stats import quantiles, with_ranks
 from hearthline.plans import index as I
@@ -36,6 +37,7 @@ def compare_rankings(
     shift = ranked.withColumn("shift", F.abs(F.col("alt_rank") - F.col("primary_rank")))
     summary = shift.groupBy("scenario").agg(
         stats.pearson("_rx", "_ry").alias("spearman_r"),
+        correlation_pvalue(stats.pearson("_rx", "_ry"), F.count(F.lit(1))).alias("spearman_p"),
         F.count(F.lit(1)).alias("n_shared"),
         F.max("shift").alias("max_rank_shift"),
         F.count_if(F.col("shift") > 10).alias("n_shifted_gt_10"),

@@ -101,7 +101,8 @@ def convergent_divergent(scored: DataFrame, benchmark: DataFrame | None) -> Data
         "benchmark string, validity_type string, target_r_low double, target_r_high double, closed boolean",
     )
     if benchmark is None:
-        tested = spark.createDataFrame([], "benchmark string, pearson_r double, spearman_r double, n_observations long")
+        tested = spark.createDataFrame([], "benchmark string, pearson_r double, spearman_r double, p_value_pearson double, "
+                                       "p_value_spearman double, n_observations long")
     else:
         matched = scored.select("fips", F.col("index_score").alias("x")).join(
             benchmark.select("fips", F.col("nri_score").alias("y"), F.lit("fema_nri").alias("benchmark")), "fips"
@@ -117,7 +118,8 @@ def convergent_divergent(scored: DataFrame, benchmark: DataFrame | None) -> Data
         .otherwise(F.lit("success"))
     )
     return targets.join(tested, "benchmark", "left").select(
-        "benchmark", "validity_type", "pearson_r", "spearman_r", "target_r_low", "target_r_high",
+        "benchmark", "validity_type", "pearson_r", "spearman_r", "p_value_pearson", "p_value_spearman", "n_observations",
+        "target_r_low", "target_r_high",
         within.alias("within_target"), C.interpret_correlation(F.col("pearson_r")).alias("interpretation"),
         status.alias("status"),
     )

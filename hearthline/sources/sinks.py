@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+import uuid
+from typing import TYPE_CHECKING
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline import params as P
 
+if TYPE_CHECKING:
+    from hearthline.plans.index import IndexResult
+
 
 def write_year_partitions(df: DataFrame, root: str, name: str) -> str:
     """Write one folder per year, replacing only the years present in ``df``.
@@ -34,15 +41,51 @@ def write_metadata(df: DataFrame, path: str, **facts) -> str:
     return path
 
 
-def write_bundle(tables: dict[str, DataFrame], root: str) -> dict[str, str]:
-    """Write each table of a result bundle under its name."""
-    paths = {}
+def write_bundle(tables: dict[str, DataFrame], root: str, facts: DataFrame | None = None, **fixed) -> dict[str, str]:
+    """Publish all tables of a result, with its facts, in one step.
+
+    Each part goes to a folder of this run; the manifest row that names them is appended last, in one file.  Readers
+    start from the manifest, so they see the whole former result or the whole new one, and a run that fails half-way
+    leaves nothing they would read.  ``facts`` is a one-row table of values, ``fixed`` are constants.
+    """
+    run = uuid.uuid4().hex
+    paths = {name: f"{root}/{run}/{name}" for name in tables}
     for name, table in tables.items():
-        paths[name] = f"{root}/{name}"
-        table.write.mode("overwrite").parquet(paths[name])
+        table.write.parquet(paths[name])
+    spark = next(iter(tables.values())).sparkSession
+    row = facts if facts is not None else spark.range(1).drop("id")
+    values = [F.col(c).cast("double").alias(c) for c in row.columns] + [F.lit(v).alias(k) for k, v in fixed.items()]
+    row = row.select(
+        F.lit(run).alias("run"), F.current_timestamp().alias("published_at"),
+        F.array(*[F.lit(n) for n in sorted(tables)]).alias("parts"), F.to_json(F.struct(*values) if values else F.create_map()).alias("facts"),
+    )
+    row.coalesce(1).write.mode("append").parquet(f"{root}/manifest")
     return paths
 
 
+def read_bundle(spark: SparkSession, root: str) -> tuple[dict[str, DataFrame], dict]:
+    """Tables and facts of the result published last under ``root``."""
+    last = spark.read.parquet(f"{root}/manifest").orderBy(F.desc("published_at"), "run").first()
+    return {name: spark.read.parquet(f"{root}/{last['run']}/{name}") for name in last["parts"]}, json.loads(last["facts"])
+
+
+def write_index(result: IndexResult, root: str) -> dict[str, str]:
+    """Publish an index result: eight tables, and its scale, national value, universe and penalty counts as facts."""
+    tables = {
+        "scores": result.scores, "components": result.components, "accelerations": result.accelerations,
+        "penalties": result.penalties, "correlation": result.correlation, "strain": result.strain,
+        "dollar": result.dollar, "universe": result.universe,
+    }
+    counted = lambda df, name: df.groupBy("scenario").agg(F.count(F.lit(1)).alias(name))
+    facts = (
+        result.k.join(result.national, "scenario", "left")
+        .join(counted(result.universe, "universe_size"), "scenario", "left")
+        .join(counted(result.penalties, "n_penalties"), "scenario", "left")
+        .fillna(0, ["universe_size", "n_penalties"])
+    )
+    return write_bundle(tables, root, facts.where(F.col("scenario") == "primary").drop("scenario"))
+
+
 def panel_metadata(panel: DataFrame) -> DataFrame:
     """One row: rows, counties, year range, components included and empty."""
     present = [c for c in P.COMPONENT_IDS if c in panel.columns]
