@@ -38,8 +38,8 @@ SEED = 42
 _DRAWN = np.random.default_rng(SEED)
 FACTORS = _DRAWN.integers(1, 1 << 63, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SHIFTS = _DRAWN.integers(0, 1 << 63, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2)
-#: Single bits of the longer signature and the most that may differ: at 0.8 the mean is 410, beyond the limit 1 in 10^6.
-FINE_BITS, MAX_FINE = 4096, 502
+#: Single bits of the longer signature and the most that may differ: at 0.8 the mean is 307, beyond the limit 1 in 10^6.
+FINE_BITS, MAX_FINE = 3072, 387
 #: The same for its first words, which are compared first.
 BRIEF_WORDS, MAX_BRIEF = 16, 150
 FINE_FACTORS = _DRAWN.integers(1, 1 << 31, FINE_BITS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
