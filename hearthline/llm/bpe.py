@@ -10,10 +10,10 @@ lengths of its left parts, is the sufficient lookahead: a token is stable, and e
 from __future__ import annotations
 
 import codecs
-import heapq
+import hashlib
 import json
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.segments import Memory, pieces
+from hearthline.llm.segments import SAFE, pieces
 
 #: Fixed value: the pre-token pattern of the public byte-level vocabularies.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -72,8 +72,6 @@ class Vocabulary:
     def merged(self, data: bytes) -> list[int]:
         """Tokens of a whole byte string, merged by rank, leftmost first."""
         ids = [self.byte_id[b] for b in data]
-        if len(ids) > 48:
-            return self._merged_long(ids)
         get, none = self.ranked.get, 1 << 60
         ranks = [get(a << 24 | b, none) for a, b in zip(ids, ids[1:])]
         while ranks:
@@ -89,31 +87,6 @@ class Vocabulary:
                 ranks[i] = get(ids[i] << 24 | ids[i + 1], none)
         return ids
 
-    def _merged_long(self, ids: list[int]) -> list[int]:
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < n:
-                found = self.merges.get((ids[i], ids[after[i]]))
-                if found:
-                    heapq.heappush(heap, (found[0], i, ids[i], ids[after[i]], found[1]))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, left, right, made = heapq.heappop(heap)
-            j = after[i] if ids[i] >= 0 else n
-            if ids[i] != left or j >= n or ids[j] != right:
-                continue
-            ids[i], ids[j], after[i] = made, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            offer(before[i])
-            offer(i)
-        return [t for t in ids if t >= 0]
-
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Tokens of one pre-token that arrives in chunks; holds a chunk and the lookahead, not the whole."""
         held = b""
@@ -132,42 +105,80 @@ class Vocabulary:
         yield from self.merged(held)
 
 
+class Recent(dict):
+    """Results of ``compute`` by argument, in bounded memory: beyond ``limit`` bytes the ones not asked for lately go."""
+
+    ENTRY = 200
+
+    def __init__(self, compute: Callable[[str], bytes], limit: int = 24 << 20):
+        super().__init__()
+        self.compute, self.limit, self.held = compute, limit, 0
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        cost = self.ENTRY + 4 * len(key) + len(value)
+        if cost > self.limit >> 8:
+            return value
+        if self.held + cost > self.limit:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self.held += cost
+        self[key] = value
+        return value
+
+
 class Encoder:
-    """Encodes texts as the public library does, special tokens found in a text included."""
+    """Encodes texts as the public library does, special tokens found in a text included.
+
+    A text is read in blocks that end where no token reaches across, and every pre-token goes through the transducer
+    in chunks; what is held is one block, the transducer's window and a bounded memory of frequent words.
+    """
 
-    CHUNK = 4096
+    CHUNK, BLOCK = 256, 1 << 16
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.pre_token = regex.compile(PRE_TOKEN)
         names = sorted(self.vocabulary.special, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, names))) if names else None
-        self.start, self.inner = Memory(self._plain), Memory(lambda s: self._plain(" " + s))
-        self.words = Memory(self._word)
+        self.words = Recent(self._words)
 
-    def _word(self, word: str) -> bytes:
+    def _word(self, word: str) -> array:
         data = word.encode()
-        if len(data) <= 48:
-            return array("i", self.vocabulary.merged(data)).tobytes()
         parts = (data[i : i + self.CHUNK] for i in range(0, len(data), self.CHUNK))
-        return np.fromiter(self.vocabulary.stream(parts), "<i4").tobytes()
+        return array("i", self.vocabulary.stream(parts))
 
-    def _plain(self, text: str) -> bytes:
-        return b"".join(self.words[m[0]] for m in self.pre_token.finditer(text))
+    def _words(self, piece: str) -> bytes:
+        return b"".join(self._word(m[0]) for m in self.pre_token.finditer(piece))
 
-    def _cut(self, text: str) -> bytes:
+    def _plain(self, text: str) -> bytes:
         first, rest = pieces(text)
-        return self.start[first] + b"".join(map(self.inner.__getitem__, rest))
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of a text."""
+        return self.words[first] + b"".join([self.words[" " + piece] for piece in rest])
+
+    def blocks(self, text: str) -> Iterator[bytes]:
+        """Ids of a text in order, as little-endian 32-bit integers, a block at a time."""
+        done = 0
+        while done < len(text):
+            cut = SAFE.search(text, done + self.BLOCK)
+            end = cut.start() if cut else len(text)
+            yield self._block(text[done:end])
+            done = end
+
+    def _block(self, text: str) -> bytes:
         if self.special is None or not self.special.search(text):
-            return np.frombuffer(self._cut(text), "<i4")
+            return self._plain(text)
         out, done = [], 0
         for m in self.special.finditer(text):
-            out += [self._cut(text[done : m.start()]), np.int32(self.vocabulary.special[m[0]]).astype("<i4").tobytes()]
+            out += [self._plain(text[done : m.start()]), array("i", [self.vocabulary.special[m[0]]]).tobytes()]
             done = m.end()
-        return np.frombuffer(b"".join([*out, self._cut(text[done:])]), "<i4")
+        return b"".join([*out, self._plain(text[done:])])
+
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a text."""
+        return np.frombuffer(b"".join(self.blocks(text)), "<i4")
 
 
 class Decoder:
@@ -228,3 +239,34 @@ def with_text(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded",
             yield pa.array(out, pa.string())
 
     return df.withColumn(name, each(F.col(ids)))
+
+
+def with_digests(df: DataFrame, path: str, text: str = "text", name: str = "digests") -> DataFrame:
+    """Add the number of tokens of a text and digests of its ids and of the text decoded from them.
+
+    A struct of ``n_tokens``, ``ids_sha256`` (decimal ids joined by commas) and ``decoded_sha256`` (UTF-8).  Ids go from
+    the transducer to the decoder and both digests block by block, so neither is ever held whole.  A null text counts
+    as empty; rows that repeat have equal digests; an empty table gives no rows.  A column named ``name`` is replaced.
+    """
+
+    @F.arrow_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        machine = encoder(path)
+        for batch in batches:
+            columns = zip(*[_digests(machine, t.as_py() or "") for t in batch]) if len(batch) else ([], [], [])
+            made = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()))]
+            yield pa.StructArray.from_arrays(made, ["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return df.withColumn(name, each(F.col(text)))
+
+
+def _digests(machine: Encoder, text: str) -> tuple[int, str, str]:
+    count, of_ids, of_text, back = 0, hashlib.sha256(), hashlib.sha256(), Decoder(machine.vocabulary.bytes_of)
+    for block in machine.blocks(text):
+        ids = np.frombuffer(block, "<i4").tolist()
+        if ids:
+            of_ids.update((("," if count else "") + ",".join(map(str, ids))).encode())
+            of_text.update(back.feed(ids).encode())
+        count += len(ids)
+    of_text.update(back.close().encode())
+    return count, of_ids.hexdigest(), of_text.hexdigest()

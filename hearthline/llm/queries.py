@@ -79,14 +79,8 @@ def op7_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_streaming_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document by the streaming transducer, and their text by the incremental decoder."""
-    coded = bpe.with_ids(table(spark, folder, "documents").select("doc_id", "text"), _vocabulary()).drop("text")
-    both = bpe.with_text(coded, _vocabulary())
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    coded = bpe.with_digests(table(spark, folder, "documents").select("doc_id", "text"), _vocabulary())
+    return coded.select("doc_id", "digests.*")
 
 
 def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:

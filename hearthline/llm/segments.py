@@ -8,7 +8,8 @@ from collections.abc import Callable
 #: A space next to other white space may belong to either side's token; any other space starts a new one.
 _BESIDE = tuple(x for w in " \n\t\r" for x in (w + " ", " " + w))
 _RARE = re.compile("[" + "".join(chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n\t\r") + "]")
-_SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: A space between visible characters.
+SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def pieces(text: str) -> tuple[str, list[str]]:
@@ -18,7 +19,7 @@ def pieces(text: str) -> tuple[str, list[str]]:
     visible character; so a space between visible characters always starts a pre-token, whatever surrounds it.
     """
     plain = text[:1] != " " and text[-1:] != " " and not any(x in text for x in _BESIDE) and not _RARE.search(text)
-    parts = text.split(" ") if plain else _SAFE.split(text)
+    parts = text.split(" ") if plain else SAFE.split(text)
     return parts[0], parts[1:]
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -72,3 +73,43 @@ def test_null_ids_and_empty_table(spark):
     assert sorted(len(r["ids"]) for r in bpe.with_ids(df, PATH).collect()) == [0, 1]
     assert bpe.with_text(spark.createDataFrame([(None,)], "ids array<int>"), PATH).first()["decoded"] is None
     assert bpe.with_ids(df.limit(0), PATH).count() == 0
+
+
+def test_every_pre_token_goes_through_the_transducer(monkeypatch):
+    machine, seen = bpe.Encoder(PATH), []
+    stream = bpe.Vocabulary.stream
+    monkeypatch.setattr(bpe.Vocabulary, "stream", lambda self, chunks: (seen.append(1), stream(self, chunks))[1])
+    words = [f"word{i}" for i in range(500)]
+    machine.encode(" ".join(words))
+    assert len(seen) == sum(len(machine.pre_token.findall(" " + w)) for w in words)
+
+
+def test_memory_stays_bounded_on_ever_new_words():
+    machine, rng = bpe.Encoder(PATH), random.Random(3)
+    machine.words.limit = 1 << 20
+    new = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(12)) for _ in range(n))
+    for _ in range(3):
+        bpe._digests(machine, new(10_000))
+    tracemalloc.start()
+    for _ in range(6):
+        bpe._digests(machine, new(10_000))
+    grown = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert machine.words.held <= machine.words.limit
+    assert grown < 3 * machine.words.limit
+
+
+def test_blocks_join_to_the_whole(library, own):
+    rng = random.Random(4)
+    parts = ["word", " ", " ", "  ", "\n", "é", "1", "<|endoftext|>", "\t", "it's", "\x1c", "\xa0"]
+    text = "".join(rng.choice(parts) for _ in range(60_000)) + "z" * 70_000 + " end"
+    assert len(list(own.blocks(text))) > 2
+    assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_repeated_rows_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "ab cd", "x")] * 3 + [(2, None, "y")], "doc_id long, text string, digests string")
+    rows = bpe.with_digests(df, PATH).collect()
+    assert len(rows) == 4 and len({tuple(r["digests"]) for r in rows if r["doc_id"] == 1}) == 1
+    assert [r["digests"]["n_tokens"] for r in rows if r["doc_id"] == 2] == [0]
+    assert bpe.with_digests(df.limit(0), PATH).count() == 0
