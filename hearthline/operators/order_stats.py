@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 _STEPS = (128, 64, 32, 16, 8, 4, 2, 1)
 _FRACTIONS = [i / 256 for i in range(1, 256)]
+#: A value held by more than this part of its group's rows is hot.
+HOT_SHARE = 256
 
 
 def _range_of(bounds: Column, value: Column) -> Column:
@@ -99,9 +101,26 @@ def with_ranks(
         "descending": total + 1 - average,
         "pct": average / total * 100.0,
     }
-    ranks = {out: methods[method] for out, method in outs.items()}
-    table = ordered_histogram(df, keys, value).select(*keys, value, *[r.alias(out) for out, r in ranks.items()])
-    return df.join(table, [*keys, value]).select(*df.columns, *ranks)
+    ranks = F.struct(*[methods[method].alias(out) for out, method in outs.items()])
+    table = ordered_histogram(df, keys, value).select(*keys, value, "n", "total", ranks.alias("_ranks"))
+    # A group has fewer than HOT_SHARE values this frequent; their rows take the ranks from one row of the group.
+    entry = F.struct(value, "_ranks")
+    hot = table.where(F.col("n") * HOT_SHARE > F.col("total")).groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("_hot")
+    )
+    known = df.where(F.col(value).isNotNull()).join(hot, keys, "left").withColumn("_of_hot", F.try_element_at("_hot", F.col(value)))
+    # Only rarer values meet the histogram; rows that need no match are spread by their content.
+    content = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    is_hot = F.col("_of_hot").isNotNull()
+    asked = known.withColumns({
+        "_at": F.when(~is_hot, F.col(value)),
+        "_spread": F.when(is_hot, F.xxhash64(*content)).otherwise(F.lit(0).cast("long")),
+    }).drop("_hot")
+    rare = table.where(F.col("n") * HOT_SHARE <= F.col("total")).select(
+        *keys, F.col(value).alias("_at"), F.lit(0).cast("long").alias("_spread"), "_ranks"
+    )
+    found = asked.join(rare, [*keys, "_at", "_spread"], "left").withColumn("_ranks", F.coalesce("_of_hot", "_ranks"))
+    return found.select(*df.columns, *[F.col(f"_ranks.{out}").alias(out) for out in outs])
 
 
 def with_rank(

@@ -8,8 +8,6 @@ removes the false candidates.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +26,8 @@ def repair_or_drop(polygons: DataFrame) -> DataFrame:
 # boxes of about its own size.  Dense areas of small polygons get small cells.
 DEGREES = (-9, 5)
 METRES = (0, 13)
+#: Levels of the projected plane: its coarsest cell and those beside it hold the whole plane.
+PLANE = (2, 13)
 
 
 def _cell(value: Column, size) -> Column:
@@ -74,53 +74,124 @@ def point_in_polygon(
     Copies of one polygon reduce to the lowest id before the join.
     """
     distinct = polygons.groupBy("rings").agg(F.min(polygon_id).alias(polygon_id))
-    cells = _on_cells(_boxed(distinct).withColumn("_level", _own_level(levels)), _side())
+    boxed = _boxed(distinct).withColumn("_level", _own_level(levels))
+    cells = _on_cells(boxed, _side())
     placed = (
         points.dropna(subset=["lat", "lon"])
         .select(point_id, "lon", "lat")
-        .withColumn("_level", F.explode(F.sequence(F.lit(levels[0]), F.lit(levels[1]))))
+        .withColumn("_levels", _occupied(boxed))
+        .withColumn("_level", F.explode("_levels"))
+        .drop("_levels")
         .withColumns({"_cx": _cell(F.col("lon"), _side()), "_cy": _cell(F.col("lat"), _side())})
     )
     x, y = F.col("lon"), F.col("lat")
     near = (x >= F.col("_box.west")) & (x <= F.col("_box.east")) & (y >= F.col("_box.south")) & (y <= F.col("_box.north"))
-    hits = placed.join(cells, ["_level", "_cx", "_cy"]).where(near).where(G.point_in(F.col("_edges"), x, y))
+    hits = _crowd_join(placed, cells, [point_id, "lon", "lat"]).where(near).where(G.point_in(F.col("_edges"), x, y))
     return hits.groupBy(point_id).agg(F.min(polygon_id).alias(polygon_id))
 
 
+def _occupied(leveled: DataFrame, level: str = "_level") -> Column:
+    """Levels that hold any row, as a scalar subquery: an array of at most a dozen numbers."""
+    return leveled.agg(F.sort_array(F.collect_set(level)).alias("levels")).scalar()
+
+
+_GRID = ["_level", "_cx", "_cy"]
+#: Rows of one cell that one task may take in a join of points with polygons.
+CROWD = 100_000
+
+
+def _crowd_join(placed: DataFrame, cells: DataFrame, spread_by: list[str]) -> DataFrame:
+    """Join on the cell, where cells with very many ``placed`` rows are dealt into shares.
+
+    The rows of a crowded cell are spread over its shares by a hash of ``spread_by``, and the other side of such a
+    cell is copied to each of them; all other cells have one share.
+    """
+    crowded = (
+        placed.groupBy(*_GRID)
+        .agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).cast("int").alias("_shares"))
+        .where(F.col("_shares") > 1)
+    )
+    shares = F.coalesce("_shares", F.lit(1))
+    dealt = placed.join(crowded, _GRID, "left").withColumn("_share", F.pmod(F.xxhash64(*spread_by), shares).cast("int"))
+    copied = cells.join(crowded, _GRID, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), shares - 1)))
+    return dealt.drop("_shares").join(copied.drop("_shares"), [*_GRID, "_share"]).drop("_share")
+
+
 def nearest_polygon(
-    points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str,
-    limit_m: float | None = None, first_m: float = 50_000.0,
+    points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, limit_m: float | None = None
 ) -> DataFrame:
     """Nearest polygon of each point in the equal-area plane: ids and ``distance_m``.
 
-    Searches rings of growing radius.  A point leaves as soon as a polygon lies
-    within the radius, since any nearer one would have been a candidate too; so
-    the few steps together are exact.  ``limit_m`` drops points beyond it.
+    A pyramid over one border point of every polygon gives each point its own
+    radius: on the finest level where the point's cell or one beside it holds
+    such a border point, the nearest of them bounds the distance from above.
+    Only polygons whose box lies within that bound are measured, so the search
+    is exact at any distance and looks at small cells where polygons are dense.
+    Points of one cell share its lookup.  ``limit_m`` drops points beyond it.
     """
     x, y = G.albers_xy(F.col("lon"), F.col("lat"))
-    waiting = points.dropna(subset=["lat", "lon"]).select(point_id, x.alias("_x"), y.alias("_y"))
-    planar = _boxed(polygons.select(polygon_id, G.albers_rings(F.col("rings")).alias("rings")))
-    # The last radius spans any distance in the projected plane.
-    radii = [limit_m] if limit_m else [first_m, first_m * 8, first_m * 64, first_m * 512]
-    found = []
-    for step, radius in enumerate(radii):
-        cells = _on_cells(planar, radius, margin=radius)
-        placed = waiting.withColumns({"_cx": _cell(F.col("_x"), radius), "_cy": _cell(F.col("_y"), radius)})
-        reached = (
-            placed.join(cells, ["_cx", "_cy"])
-            .withColumn("distance_m", G.distance_to_edges(F.col("_edges"), F.col("_x"), F.col("_y")))
-            .where(F.col("distance_m") <= radius)
-            .groupBy(point_id)
-            .agg(F.min(F.struct("distance_m", polygon_id)).alias("_best"))
-            .select(point_id, f"_best.{polygon_id}", "_best.distance_m")
-        )
-        # Stored, because the next step and the result both read it.
-        reached = materialize(reached, f"nearest{step}") if len(radii) > 1 else reached
-        found.append(reached)
-        waiting = waiting.join(reached.select(point_id), point_id, "left_anti")
-        if step + 1 < len(radii) and waiting.isEmpty():
-            break
-    return reduce(lambda a, b: a.unionByName(b), found)
+    planar = materialize(_boxed(polygons.select(polygon_id, G.albers_rings(F.col("rings")).alias("rings"))), "planar")
+    first, last = PLANE
+    at = points.dropna(subset=["lat", "lon"]).select(point_id, x.alias("_x"), y.alias("_y"))
+    at = at.withColumns({"_fx": _cell(F.col("_x"), 4.0**first), "_fy": _cell(F.col("_y"), 4.0**first)})
+
+    # Cells with a border point in them or beside them, with one such point for each side it may come from.
+    border = planar.where(F.size("_edges") > 0).select(
+        F.col("_edges")[0]["x1"].alias("_px"), F.col("_edges")[0]["y1"].alias("_py")
+    )
+    one_each = (
+        border.withColumn("_level", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        .withColumns({"_cx": _cell(F.col("_px"), _side()), "_cy": _cell(F.col("_py"), _side())})
+        .groupBy(*_GRID)
+        .agg(F.min(F.struct("_px", "_py")).alias("_sample"))
+    )
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    beside = (
+        one_each.withColumn("_dx", F.explode(steps))
+        .withColumn("_dy", F.explode(steps))
+        .select("_level", (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy"), "_sample")
+        .groupBy(*_GRID)
+        .agg(F.collect_list("_sample").alias("_samples"))
+    )
+    # A cell of a level lies in one cell of each level above, so its finest filled level is looked up once.
+    asked = at.select("_fx", "_fy").distinct().withColumn("_level", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    up = F.pow(F.lit(4.0), F.col("_level") - F.lit(first))
+    asked = asked.withColumns({"_cx": F.floor(F.col("_fx") / up).cast("long"), "_cy": F.floor(F.col("_fy") / up).cast("long")})
+    nearest_level = asked.join(beside, _GRID).groupBy("_fx", "_fy").agg(F.min_by("_samples", "_level").alias("_samples"))
+    reach = F.array_min(
+        F.transform("_samples", lambda s: F.hypot(F.col("_x") - s["_px"], F.col("_y") - s["_py"]))
+    )
+    bound = F.least(reach, F.lit(float(limit_m))) if limit_m else reach
+    # Widened by a hair, so that rounding cannot lose the polygon the bound comes from.
+    bounded = at.join(nearest_level, ["_fx", "_fy"]).select(point_id, "_x", "_y", (bound * (1 + 1e-9) + 1e-6).alias("_reach"))
+    fitting = F.ceil(F.log(F.col("_reach")) / F.log(F.lit(4.0))).cast("int")
+    bounded = materialize(bounded.withColumn("_search", F.least(F.lit(last), F.greatest(F.lit(first), fitting))), "bounded")
+
+    # A polygon waits on its own level and on those above that are searched; a point asks its search level for all
+    # polygons up to that size, and each occupied level above for those of that size.
+    sized = planar.select(polygon_id, "_box", _own_level(PLANE).alias("_own"))
+    levels = F.array_union(_occupied(bounded, "_search"), F.array("_own"))
+    homes = sized.withColumn("_levels", levels).withColumn("_level", F.explode("_levels")).where("_level >= _own").drop("_levels")
+    homes = homes.withColumn("_cx", _span(F.col("_box.west"), F.col("_box.east"), _side(), _side()))
+    homes = homes.withColumn("_cy", _span(F.col("_box.south"), F.col("_box.north"), _side(), _side()))
+    sought = F.array_union(F.array("_search"), F.filter("_homes", lambda level: level > F.col("_search")))
+    visits = bounded.withColumn("_homes", _occupied(sized, "_own")).withColumn("_level", F.explode(sought)).drop("_homes")
+    visits = visits.withColumns({"_cx": _cell(F.col("_x"), _side()), "_cy": _cell(F.col("_y"), _side())})
+    outside = lambda low, high, v: F.greatest(F.col(f"_box.{low}") - F.col(v), F.col(v) - F.col(f"_box.{high}"), F.lit(0.0))
+    candidates = (
+        _crowd_join(visits, homes, [point_id, "_x", "_y"])
+        .where((F.col("_level") == F.col("_search")) | (F.col("_level") == F.col("_own")))
+        .where(F.hypot(outside("west", "east", "_x"), outside("south", "north", "_y")) <= F.col("_reach"))
+        .select(point_id, "_x", "_y", polygon_id, "_box")
+    )
+    distance = G.distance_to_edges(F.col("_edges"), F.col("_x"), F.col("_y"))
+    measured = candidates.join(planar, [polygon_id, "_box"]).withColumn("distance_m", distance)
+    measured = measured.where(F.col("distance_m") <= float(limit_m)) if limit_m else measured
+    return (
+        measured.groupBy(point_id)
+        .agg(F.min(F.struct("distance_m", polygon_id)).alias("_best"))
+        .select(point_id, f"_best.{polygon_id}", "_best.distance_m")
+    )
 
 
 def locate_points(

@@ -90,3 +90,23 @@ def test_partial_keeps_first_region(spark):
         means = wide.groupby("region")[c].transform("mean")
         wide[c] = np.where(wide.region == 1, wide[c], wide[c] - means)
     assert got == pytest.approx(np.corrcoef(wide.p, wide.q)[0, 1])
+
+
+def test_ranks_of_a_hot_value(spark):
+    """Nine of ten rows share one value; they are ranked without meeting in one task."""
+    n = 20_000
+    x = np.where(np.arange(n) % 10 == 0, np.arange(n) % 977, 0.0)
+    frame = pd.DataFrame({"k": "a", "i": range(n), "x": x})
+    rows = spark.createDataFrame(frame).repartition(8)
+    ranked = O.with_ranks(rows, ["k"], "x", {"average": "average", "down": "descending"})
+    got = ranked.toPandas().sort_values("i")
+    assert len(got) == n and np.allclose(got.average, frame.x.rank()) and np.allclose(got.down, frame.x.rank(ascending=False))
+    tasks = ranked.groupBy(F.spark_partition_id().alias("task")).count().toPandas()["count"]
+    assert tasks.max() <= 2 * max(tasks.median(), n / 8)
+
+
+def test_ranks_with_null_and_signed_zero(spark):
+    rows = spark.createDataFrame([("a", 0.0), ("a", -0.0), ("a", None), ("a", 3.0), ("b", 1.0)], "k string, x double")
+    got = O.with_ranks(rows, ["k"], "x", {"r": "average"}).collect()
+    assert sorted((r.k, r.r) for r in got) == [("a", 1.5), ("a", 1.5), ("a", 3.0), ("b", 1.0)]
+    assert O.with_ranks(rows.limit(0), ["k"], "x", {"r": "min"}).count() == 0

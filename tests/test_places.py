@@ -128,3 +128,37 @@ def test_wildfire_without_pixels_or_events(spark):
     assert got["01001"].whp_mean == 3.0 and got["01001"].pct_high_hazard == 50.0
     assert got["01001"].wildfire_score == pytest.approx(0.7 * (0.5 * 3 + 0.5 * 2.5))
     assert got["01003"].whp_mean is None and got["01003"].wildfire_score == 0.0
+
+
+def test_nearest_with_a_far_point_and_a_dense_cell(spark):
+    """Many tiny polygons in one cell, large ones around, and points at every distance: equal to measuring all pairs."""
+    random.seed(4)
+    shapes = {f"d{i:03d}": [box(-95 + random.uniform(0, 0.02), 38 + random.uniform(0, 0.02), 2e-4, 2e-4)] for i in range(120)}
+    shapes |= {f"l{i}": [box(-110 + 6 * i, 44, 3, 3)] for i in range(4)}
+    places = {"far": (-158.0, 21.0), "other": (-66.0, 18.0), "dense": (-94.99, 38.01)}
+    places |= {f"p{i:02d}": (random.uniform(-112, -85), random.uniform(36, 50)) for i in range(25)}
+    areas = polygons(spark, shapes)
+    got = spatial.nearest_polygon(points(spark, places), areas, "id", "fips").collect()
+    x, y = G.albers_xy(F.col("lon"), F.col("lat"))
+    planar = areas.select("fips", G.edges_of(G.albers_rings(F.col("rings"))).alias("e"))
+    pairs = points(spark, places).select("id", x.alias("x"), y.alias("y")).crossJoin(planar)
+    best = pairs.select("id", F.struct(G.distance_to_edges(F.col("e"), F.col("x"), F.col("y")).alias("d"), "fips").alias("b"))
+    want = {r.id: r.b for r in best.groupBy("id").agg(F.min("b").alias("b")).collect()}
+    assert {r.id: r.fips for r in got} == {k: b.fips for k, b in want.items()}
+    assert all(r.distance_m == pytest.approx(want[r.id].d) for r in got)
+    near = spatial.nearest_polygon(points(spark, places), areas, "id", "fips", 50_000.0).collect()
+    assert {r.id for r in near} == {k for k, b in want.items() if b.d <= 50_000}
+    assert spatial.nearest_polygon(points(spark, places), areas.limit(0), "id", "fips").count() == 0
+
+
+def test_all_points_in_one_cell(spark, monkeypatch):
+    """A crowded cell is dealt into shares without losing or repeating a row."""
+    monkeypatch.setattr(spatial, "CROWD", 50)
+    random.seed(5)
+    shapes = {f"c{i}": [box(-90 + 0.1 * i, 40, 0.1, 0.1)] for i in range(3)}
+    places = {f"p{i:04d}": (-90 + random.uniform(0, 0.3), 40.05) for i in range(600)}
+    places |= {f"q{i}": (-89.95, 40.05) for i in range(300)}
+    got = spatial.point_in_polygon(points(spark, places), polygons(spark, shapes), "id", "fips").collect()
+    found = {r.id: r.fips for r in got}
+    assert len(got) == len(found) == len(places)
+    assert all(found[k] == f"c{min(2, int((x + 90) / 0.1))}" for k, (x, _) in places.items() if abs((x + 90) / 0.1 % 1) > 1e-6)
