@@ -71,7 +71,7 @@ class Vocabulary:
 
     def merged(self, data: bytes) -> list[int]:
         """Tokens of a whole byte string, merged by rank, leftmost first."""
-        ids = [self.byte_id[b] for b in data]
+        ids = list(map(self.byte_id.__getitem__, data))
         get, none = self.ranked.get, 1 << 60
         ranks = [get(a << 24 | b, none) for a, b in zip(ids, ids[1:])]
         while ranks:
@@ -110,7 +110,7 @@ class Recent(dict):
 
     ENTRY = 200
 
-    def __init__(self, compute: Callable[[str], bytes], limit: int = 24 << 20):
+    def __init__(self, compute: Callable[[str], bytes], limit: int = 96 << 20):
         super().__init__()
         self.compute, self.limit, self.held = compute, limit, 0
         self.older: dict[str, bytes] = {}
@@ -120,7 +120,7 @@ class Recent(dict):
         if value is None:
             value = self.compute(key)
         cost = self.ENTRY + 4 * len(key) + len(value)
-        if cost > self.limit >> 8:
+        if cost > self.limit >> 10:
             return value
         if self.held + cost > self.limit:
             self.older, self.held = dict(self), 0
@@ -148,11 +148,11 @@ class Encoder:
 
     def _word(self, word: str) -> array:
         data = word.encode()
-        parts = (data[i : i + self.CHUNK] for i in range(0, len(data), self.CHUNK))
+        parts = [data[i : i + self.CHUNK] for i in range(0, len(data), self.CHUNK)]
         return array("i", self.vocabulary.stream(parts))
 
     def _words(self, piece: str) -> bytes:
-        return b"".join(self._word(m[0]) for m in self.pre_token.finditer(piece))
+        return b"".join(map(self._word, self.pre_token.findall(piece)))
 
     def _plain(self, text: str) -> bytes:
         first, rest = pieces(text)
