@@ -239,9 +239,11 @@ def block_groups(spark, d):
 
 def map_panels(spark, d):
     orders = T.table(spark, d, "orders").join(T.table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey"))
-    return orders.where("c_nationkey > 4").select(
+    # Counties of the first five nations have panels without a date.
+    dated = (F.col("o_totalprice") < 12000) & (F.col("c_nationkey") > 4)
+    return orders.select(
         T.county(F.col("c_nationkey"), F.lit(1)).alias("county_fips"),
-        F.when(F.col("o_totalprice") < 12000, F.to_date("o_orderdate")).alias("effective_date"),
+        F.when(dated, F.to_date("o_orderdate")).alias("effective_date"),
     )
 
 
@@ -252,7 +254,7 @@ _FLOOD_SQL = ", ".join(
             FROM patches JOIN patch_area USING (fips) WHERE label <= 3 GROUP BY label) JOIN box_area USING (fips))""",
         """bg AS (SELECT printf('%02d001', label + 1) AS fips, CAST(fips AS DOUBLE) + 1 AS units, EXISTS (SELECT 1 FROM patches h WHERE h.label <= 2 AND p.lon + 0.02 BETWEEN h.west AND h.east AND p.lat + 0.02 BETWEEN h.south AND h.north) AS hit FROM places p)""",
         "share AS (SELECT fips, coalesce(sum(CASE WHEN hit THEN units ELSE 0 END) * 100.0 / sum(units), 0) AS pct_hu_high_risk FROM bg GROUP BY fips)",
-        """newest AS (SELECT printf('%02d001', c_nationkey + 1) AS fips, max(CASE WHEN o_totalprice < 12000 THEN CAST(o_orderdate AS DATE) END) AS day FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_nationkey > 4 GROUP BY c_nationkey)""",
+        """newest AS (SELECT printf('%02d001', c_nationkey + 1) AS fips, max(CASE WHEN o_totalprice < 12000 AND c_nationkey > 4 THEN CAST(o_orderdate AS DATE) END) AS day FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey)""",
     ]
 )
 _FLOOD = "flood_exposure pct_area_high_risk pct_area_moderate_risk pct_hu_high_risk"
