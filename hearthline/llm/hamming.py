@@ -152,7 +152,7 @@ def _sized(a: str, b: str) -> Column:
     return WHOLE * F.least(f"{a}.size", f"{b}.size") >= PART * F.greatest(f"{a}.size", f"{b}.size")
 
 
-class _Steps:
+class Steps:
     """Stored tables of one run; each is deleted when nothing reads it any more."""
 
     def __init__(self, spark: SparkSession):
@@ -169,7 +169,7 @@ class _Steps:
                 discard(self.spark, self.paths.pop(name))
 
 
-def _with_sets(keys: DataFrame, classes: DataFrame, texts: DataFrame, words: int, what: Callable, name: str, steps: _Steps) -> DataFrame:
+def _with_sets(keys: DataFrame, classes: DataFrame, texts: DataFrame, words: int, what: Callable, name: str, steps: Steps) -> DataFrame:
     """Stored ``what`` of the whole shingle set of each of ``keys(key)``."""
     wanted = steps.store(classes.join(keys, "key", "left_semi").select("key", "at"), "wanted")
     # Copies fall together before they are dealt out.
@@ -177,7 +177,7 @@ def _with_sets(keys: DataFrame, classes: DataFrame, texts: DataFrame, words: int
     return steps.store(whole.join(wanted, "at").select("key", _of_set("_text", words, what).alias(name)), name)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, steps: _Steps) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int, steps: Steps) -> DataFrame:
     """Those of the stored ``pairs(a, b)`` whose whole sets are similar enough."""
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     sets = _with_sets(keys, classes, texts, words, lambda h: h, "hashes", steps)
@@ -187,10 +187,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, words: int
     return pairs.join(left, "a").join(right, "b").where(similar).select("a", "b")
 
 
-def links(classes: DataFrame, texts: DataFrame, words: int, steps: _Steps) -> DataFrame:
+def links(classes: DataFrame, texts: DataFrame, words: int, steps: Steps, known: DataFrame | None = None) -> DataFrame:
     """Components ``(node, root)`` of the similar classes, roots left out.
 
     ``classes(key, size, words, at)`` has one row per distinct set; ``texts(at, _text)`` the texts by their hash.
+    ``known(a, b)``, stored, are candidates found elsewhere; they are decided first.
     """
     spark = classes.sparkSession
     symbols = [F.col("words")[i] for i in range(CHUNKS)]
@@ -207,6 +208,11 @@ def links(classes: DataFrame, texts: DataFrame, words: int, steps: _Steps) -> Da
     near = ends.where(_sized("x", "y") & (distance("x", "y") <= MAX_DISTANCE))
     near = steps.store(near.select(F.col("x.key").alias("key"), "end", distance("x", "y").alias("far")), "ends")
     found, tested, roots = None, None, None
+    if known is not None and known.take(1):
+        found = steps.store(_verified(known, classes, texts, words, steps), "given")
+        roots = steps.store(components(found), "given_roots")
+        tested = known.select(F.col("a").alias("key"), F.col("b").alias("end"))
+        tested = tested.unionByName(known.select(F.col("b").alias("key"), F.col("a").alias("end")))
     for turn in range(ROUNDS):
         fresh = near if roots is None else _across(near, roots, "key", "end").join(tested, ["key", "end"], "left_anti")
         best = fresh.groupBy("key").agg(F.min_by("end", F.struct("far", "end")).alias("end"))
@@ -271,7 +277,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     null ids only has a null id, and all its rows are kept.  Equal rows come back as often as they are there and share
     ``kept``.  An empty table gives no rows.  Other columns play no part and may have any name.
     """
-    steps = _Steps(df.sparkSession)
+    steps = Steps(df.sparkSession)
     text_or_empty = F.coalesce(F.col(text), F.lit("")).alias("_text")
     texts = df.select(F.col(id_column).alias("_id"), text_or_empty).withColumn("at", F.xxhash64("_text"))
     marked = materialize(with_signature(texts, "_text", words).drop("_text"), "sketches")

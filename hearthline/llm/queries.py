@@ -21,7 +21,7 @@ def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 VOCABULARY = "byte_bpe_50k.json"
 
 
-def _vocabulary() -> str:
+def vocabulary() -> str:
     """Path of the public vocabulary file."""
     import public_tokenizers
 
@@ -31,7 +31,7 @@ def _vocabulary() -> str:
 def op1_bit_plane_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of all documents written in order as planes, and what is read back of them."""
     to = scratch_path(spark, "ids")
-    bitplane.write(table(spark, folder, "documents"), to, _vocabulary())
+    bitplane.write(table(spark, folder, "documents"), to, vocabulary())
     return bitplane.read(spark, to).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
@@ -48,7 +48,7 @@ def op2_character_lstm_crf(spark: SparkSession, folder: str) -> DataFrame:
 def op3_length_buckets(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's pieces, counted in tokens, with their bucket and batch."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return packing.pack(docs, length=packing.tokens(_vocabulary()))
+    return packing.pack(docs, length=packing.tokens(vocabulary()))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,7 +79,7 @@ def op7_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
 
 def op8_streaming_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of every document by the streaming transducer, and their text by the incremental decoder."""
-    coded = bpe.with_digests(table(spark, folder, "documents").select("doc_id", "text"), _vocabulary())
+    coded = bpe.with_digests(table(spark, folder, "documents").select("doc_id", "text"), vocabulary())
     return coded.select("doc_id", "digests.*")
 
 

@@ -1,6 +1,6 @@
 import random
 
-from hearthline.llm import overlap
+from hearthline.llm import near
 
 LETTERS = "abcdefghijklmnop"
 
@@ -44,10 +44,11 @@ def test_classes_match_brute_force_for_one_to_many_edits(spark):
                 close += 0 < i and sets[i] != sets[j]
     assert close > 40
     rows = [(i, t or None) for i, t in enumerate(texts)]
-    out = overlap.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    out = near.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     got, want = {}, {}
     for r in out:
         got.setdefault(r["class"], set()).add(r["doc_id"])
+    assert got[None] == {0}
     for i in range(len(texts)):
         want.setdefault(root(i), set()).add(i)
     assert len(out) == len(texts)
@@ -64,3 +65,19 @@ def test_near_copy_leaves_the_corpus(spark):
     rows = [(917, " ".join(other)), (596, " ".join(words)), (None, None), (3, "alone")]
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
     assert sorted(r["doc_id"] or 0 for r in kept) == [0, 3, 596]
+
+
+def test_edges_of_rows_and_columns(spark):
+    schema = "doc_id long, text string, key string, class string, size string"
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, words, "k", "c", "s"), (None, words, "k", "c", "s"), (7, words.upper(), "l", "d", "t"), (8, " \n", "m", "e", "u"), (9, None, None, None, None)]
+    out = near.near_duplicates(spark.createDataFrame(rows, schema)).collect()
+    found = [(r["doc_id"], r["class"]) for r in out]
+    assert len(found) == 5 and len({c for i, c in found if i in (None, 7)}) == 1
+    assert {i for i, c in found if c is None} == {8, 9}
+    assert near.near_duplicates(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_proposed_pairs_do_not_grow_with_the_square(spark):
+    rows = [(f"{i:04d}".encode(), i % 2) for i in range(300)]
+    assert near.proposed(spark.createDataFrame(rows, "key binary, fingerprint long")).count() <= 600
