@@ -6,46 +6,62 @@ quality rules (rejected documents go) - near-duplicates (one document of each gr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm import overlap, packing, pii, quality, suffix
+from hearthline.llm import near, packing, pii, quality, suffix
 from hearthline.llm.common import table
+from hearthline.llm.queries import vocabulary
 from hearthline.storage import materialize
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """Text and id of the documents, and all their other columns out of reach of an operator's own names."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("document"), "doc_id", "text")
+
+
+def _restored(rows: DataFrame, docs: DataFrame, text: Column) -> DataFrame:
+    """The columns of ``docs`` again, with a new text and its length."""
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*[changed.get(c, F.col("document")[c]).alias(c) for c in docs.columns])
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither a base rule nor the learned verdict rejects."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    kept = quality.judge(_wrapped(docs)).where("kept")
+    return kept.select(*[(F.col("text") if c == "text" else F.col("document")[c]).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class linked by a five-word-shingle similarity of 0.8; of equal rows one."""
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    found = overlap.near_duplicates(marked, words=5, keep=("_text_hash",))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text_hash")).alias("first")
-    stays = materialize(found.groupBy("class").agg(first).select("first.doc_id", "first._text_hash"), "stays")
-    same = marked["doc_id"].eqNullSafe(stays["doc_id"]) & marked["_text_hash"].eqNullSafe(stays["_text_hash"])
-    kept = marked.join(stays, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"])
-    return kept.select(*docs.columns)
+    """The document with the smallest id of each class linked by a five-word-shingle similarity of 0.8.
+
+    Of rows with equal id and text one stays, also where they have no class because they have no words.
+    """
+    whole = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text").isNull(), "text")
+    marked = _wrapped(docs).withColumn("which", F.md5(whole))
+    found = near.near_duplicates(marked.select("doc_id", "text", "which"), words=5, keep=("which",))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "which")).alias("first")
+    alone = F.when(F.col("class").isNull(), F.col("which"))
+    stays = materialize(found.groupBy("class", alone).agg(first).select("first.which"), "stays")
+    kept = marked.join(stays, "which", "left_semi").dropDuplicates(["which"])
+    return kept.select(*[(F.col("text") if c == "text" else F.col("document")[c]).alias(c) for c in docs.columns])
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 200 bytes or more that occur twice; cut at whole characters."""
-    kept = suffix.without_repeats(docs, characters=True)
-    kept = kept.withColumn("text", F.decode("kept", "UTF-8"))
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    kept = suffix.without_repeats(_wrapped(docs), characters=True)
+    return _restored(kept, docs, F.decode("kept", "UTF-8"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every span of personal data replaced by its kind."""
-    hidden = pii.masked(pii.with_spans(docs, name="_pii"), spans="_pii")
-    return hidden.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _restored(pii.masked(pii.with_spans(_wrapped(docs))), docs, F.col("text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with the bucket and batch they are packed into."""
-    return packing.pack(docs)
+    """Pieces of the documents, counted in tokens, with the bucket and batch they are packed into."""
+    return packing.pack(docs.select("doc_id", "text"), length=packing.tokens(vocabulary()))
 
 
 STAGES = [
