@@ -8,6 +8,10 @@ Every link, wherever it was proposed, is decided on the whole sets of shingles.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +19,26 @@ from hearthline.llm import hamming, simhash
 from hearthline.storage import materialize
 
 
+def with_sketches(df: DataFrame, text: str, words: int) -> DataFrame:
+    """Add ``size``, ``key`` and ``words`` as ``hamming.with_signature`` does, and the fingerprint of ``simhash``.
+
+    One function for both, so that a task keeps one Python worker.
+    """
+
+    def each(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for t in batch:
+                found = hamming.shingles(t, words)
+                some = len(found) > 0
+                key = xxhash.xxh3_128_digest(found.tobytes(), hamming.SEED) if some else None
+                rows.append((len(found), key, hamming.signature(found) if some else None, simhash.fingerprint(t, words)))
+            yield pd.DataFrame(rows, columns=["size", "key", "words", "fingerprint"])
+
+    sketch = F.pandas_udf(each, "size long, key binary, words array<long>, fingerprint long")
+    return df.withColumn("_sketch", sketch(F.col(text))).select("*", "_sketch.*").drop("_sketch")
+
+
 def proposed(classes: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of keys with equal or close fingerprints: every key with at most two others.
 
@@ -40,8 +64,7 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     steps = hamming.Steps(df.sparkSession)
     text_or_empty = F.coalesce(F.col(text), F.lit("")).alias("_text")
     texts = df.select(F.col(id_column), text_or_empty, *keep).withColumn("at", F.xxhash64("_text"))
-    signed = simhash.with_fingerprint(hamming.with_signature(texts, "_text", words), "_text", words, "fingerprint")
-    marked = materialize(signed.drop("_text"), "sketches")
+    marked = materialize(with_sketches(texts, "_text", words).drop("_text"), "sketches")
     least = [F.first("size").alias("size"), F.first("words").alias("words"), F.min("at").alias("at"), F.min("fingerprint").alias("fingerprint")]
     classes = steps.store(marked.where("size > 0").groupBy("key").agg(*least), "classes")
     known = steps.store(proposed(classes.select("key", "fingerprint")), "proposed")

@@ -122,3 +122,12 @@ def test_learning_from_a_table(spark):
     df = spark.createDataFrame([(i, make(rng)) for i in range(300)] + [(-1, None)], "doc_id long, text string")
     assert pii.labelled_windows(df, limit=50).count() == 50
     assert pii.with_spans(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hidden_equals_masked_spans(spark):
+    texts = ["write a.b@c.org or +49 (30) 1234-5678 now", None, "", "10.0.0.1 10.0.0.1", "no data", "no data"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    net = pii.Network.fresh()
+    one = {r["doc_id"]: r["text"] for r in pii.hidden(docs, net=net).collect()}
+    two = {r["doc_id"]: r["text"] for r in pii.masked(pii.with_spans(docs, net=net)).collect()}
+    assert one == two and one[1] is None and one[2] == "" and "[EMAIL]" in one[0] and "[IP]" in one[3]
