@@ -56,7 +56,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every span of personal data replaced by its kind."""
-    return _restored(pii.masked(pii.with_spans(_wrapped(docs))), docs, F.col("text"))
+    return _restored(pii.hidden(_wrapped(docs)), docs, F.col("text"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
