@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hearthline import params as P
 from hearthline.functions.pvalues import correlation_pvalue
-from hearthline.operators import rollups, stats, windows
+from hearthline.operators import draws, rollups, stats, windows
 from hearthline.operators.order_stats import quantiles, with_ranks
 from hearthline.plans import index as I
 from hearthline.storage import materialize
@@ -429,25 +430,24 @@ def perturbed_weights(
     spark: SparkSession, weights: dict[str, float], iterations: int, perturbation: float, seed: int = 42
 ) -> DataFrame:
     """``(iteration, weights)`` of all draws."""
-    draws = spark.range(iterations).select(F.col("id").cast("int").alias("iteration"))
-    return with_perturbed_weights(draws, weights, perturbation, seed)
+    numbered = spark.range(iterations).select(F.col("id").cast("int").alias("iteration"))
+    return with_perturbed_weights(numbered, weights, perturbation, seed)
 
 
 class MonteCarlo:
     """Lazy results of a weight perturbation run."""
 
-    def __init__(self, detail: DataFrame, summary: DataFrame, draws: DataFrame):
-        self.detail, self.summary, self.draws = detail, summary, draws
+    def __init__(self, detail: DataFrame, summary: DataFrame, agreement: DataFrame):
+        self.detail, self.summary, self.draws = detail, summary, agreement
 
 
-def packed_units(base: Shared, names: list[str]) -> DataFrame:
-    """One row: ``units``, the array of all counties with their contributions in the order of ``names``.
-
-    Its size is bounded by the number of counties, which no amount of input changes.
-    """
+def unit_blocks(base: Shared, names: list[str]) -> DataFrame:
+    """``(block, units, k)``: counties in blocks, each with contributions in the order of ``names`` and primary place."""
     values = [F.coalesce(F.sum(F.when(F.col("component") == c, F.col("value"))), F.lit(0.0)) for c in names]
-    units = base.parts.groupBy("fips").agg(F.array(*values).alias("values"))
-    return units.agg(F.array_sort(F.collect_list(F.struct("fips", "values"))).alias("units"))
+    units = base.parts.groupBy("fips").agg(F.array(*values).alias("values")).join(
+        base.primary.select("fips", "primary_rank", F.col("_rx").alias("place")), "fips"
+    )
+    return draws.blocks_of(units, "fips", base.primary.count()).crossJoin(base.k.select("k"))
 
 
 def ranked_draws(orders: DataFrame) -> DataFrame:
@@ -472,44 +472,29 @@ def monte_carlo_weights(
 ) -> MonteCarlo:
     """Rank spread of each county under random weights, with the primary scale.
 
-    A draw is one row: its weights are arithmetic on its number, its scores an array over the packed counties, and
-    its ranking that array sorted.  Ranks leave the draws only as counts per county and rank.
+    Counties are scored in blocks, ranked within each draw, and their ranks turned back to their blocks.
     """
     base = _shared(ready, settings)
     spark = base.parts.sparkSession
     iterations = iterations or settings.monte_carlo_iterations
     perturbation = settings.perturbation if perturbation is None else perturbation
     weights = P.base_weights()
-    packed = materialize(packed_units(base, list(weights)).crossJoin(base.k.select("k")), "packed")
-    draws = perturbed_weights(spark, weights, iterations, perturbation, seed)
-    total = lambda u: reduce(lambda x, y: x + y, [u["values"][i] * F.get("weights", F.lit(i)) for i in range(len(weights))])
-    scores = F.transform("units", lambda u, i: F.struct((100.0 + F.col("k") * total(u)).alias("score"), i.alias("unit")))
-    # The other side is the one packed row.
-    orders = materialize(draws.crossJoin(packed).select("iteration", F.array_sort(scores).alias("order")), "orders")
-    ranked = ranked_draws(orders)
-    counted = ranked.groupBy("unit", "rank").agg(F.count(F.lit(1)).alias("n"))
-    r, n = F.col("rank").cast("long"), F.col("n")
-    spread = counted.groupBy("unit").agg(
-        F.sum(n).alias("_n"), F.sum(r * n).alias("_sum"), F.sum(r * r * n).alias("_squares"),
-        F.percentile("rank", F.array(F.lit(0.05), F.lit(0.95)), n).alias("_p"),
-        (F.max("rank") - F.min("rank")).alias("max_rank_shift"),
-    )
-    units = packed.select(F.size("units").alias("_units"), F.posexplode("units").alias("unit", "_one")).select(
-        "unit", "_units", F.col("_one.fips").alias("fips")
-    )
-    units = units.join(base.primary.select("fips", "primary_rank", "_rx"), "fips")
-    m = F.col("_n")
-    detail = spread.join(units, "unit").select(
+    blocks = materialize(unit_blocks(base, list(weights)), "blocks")
+    # As many rows as draws, whatever the input.
+    drawn = perturbed_weights(spark, weights, iterations, perturbation, seed).orderBy("iteration").collect()
+    ranked = draws.ranked(draws.scored(blocks, np.array([row["weights"] for row in drawn])))
+    units = blocks.select("block", F.posexplode("units").alias("position", "_one")).select("block", "position", "_one.fips", "_one.primary_rank")
+    counted = base.primary.agg(F.count(F.lit(1)).alias("_units"))
+    m = F.col("n")
+    detail = draws.spread(ranked).join(units, ["block", "position"]).crossJoin(counted).select(
         "fips", "primary_rank",
-        (F.col("_sum") / m).alias("mean_rank"),
-        (F.sqrt(m * F.col("_squares") - F.col("_sum") * F.col("_sum")) / m).alias("rank_std"),
-        F.col("_p")[0].alias("rank_p05"), F.col("_p")[1].alias("rank_p95"),
-        "max_rank_shift",
-        (F.col("max_rank_shift") > F.lit(flag_share) * F.col("_units")).alias("is_flagged"),
-    )
-    agreement = ranked.join(units.select("unit", "_rx"), "unit").groupBy("iteration").agg(
-        stats.pearson("_rx", "mean_place").alias("spearman_r")
+        (F.col("total") / m).alias("mean_rank"),
+        (F.sqrt(m * F.col("squares") - F.col("total") * F.col("total")) / m).alias("rank_std"),
+        F.col("p05").alias("rank_p05"), F.col("p95").alias("rank_p95"),
+        F.col("shift").alias("max_rank_shift"),
+        (F.col("shift") > F.lit(flag_share) * F.col("_units")).alias("is_flagged"),
     )
+    agreement = ranked.groupBy("iteration").agg(F.max("r").alias("spearman_r"))
     levels = {"p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
     summary = agreement.groupBy().agg(
         F.count(F.lit(1)).alias("n_iterations"),
