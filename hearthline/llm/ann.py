@@ -5,8 +5,8 @@ small network learns, for a vector, how its neighbours spread over the parts.  E
 its most probable part; a query visits its most probable parts until their summed probability reaches a limit that
 the sample calibrates for the wanted recall.  Visited candidates are ranked by the exact inner product.
 
-Parts are cut into blocks of rows, and queries of a part into blocks of queries: a task joins one block with one
-block, keeps the best of each query, and never sees a whole part, however many rows lie in it.
+Rows are dealt to a fixed number of slices and queries to blocks.  A task holds one block of queries, reads the rows
+of one slice batch by batch and keeps the best of each query so far, so it gives out at most k rows a query.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ SAMPLE = 6_000
 #: Rows from which one part (all rows visited) is no longer enough, rows a part should have, and most parts.
 PLAIN, ROWS_PER_PART, MOST_PARTS = 2_000, 500, 64
 NEIGHBOURS, HIDDEN = 16, 96
-CANDIDATES, QUERIES = 8_192, 4_096
+#: Slices of the rows, rows scored at once, and queries of a block.
+SLICES, CANDIDATES, QUERIES = 8, 8_192, 4_096
 RECALL = 0.95
 
 
@@ -178,14 +179,14 @@ def _routed(router: Router, scale: float, sizes: np.ndarray | None, least: int):
     return F.pandas_udf(each, "array<int>")
 
 
-def best_of(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best rows of a block for each query of a block; scores do not depend on the blocks."""
+def best_of(queries: pd.DataFrame, rows: pd.DataFrame, k: int, visited: np.ndarray) -> pd.DataFrame:
+    """The k best rows of a batch in the parts that each query visits; scores do not depend on the batches."""
     q, x = _matrix(queries["vector"]), _matrix(rows["vector"])
-    ids, own = rows["id"].to_numpy(), queries["id"].to_numpy()
+    ids, own, part = rows["id"].to_numpy(), queries["id"].to_numpy(), rows["part"].to_numpy(dtype=np.int64)
     out = []
     for low in range(0, len(q), 256):
         rough = q[low : low + 256] @ x.T
-        rough[own[low : low + 256, None] == ids[None, :]] = -np.inf
+        rough[(own[low : low + 256, None] == ids[None, :]) | ~visited[low : low + 256][:, part]] = -np.inf
         kept = min(k, len(ids))
         edge = -np.partition(-rough, kept - 1, axis=1)[:, kept - 1]
         for i, (row, limit) in enumerate(zip(rough, edge), low):
@@ -197,6 +198,41 @@ def best_of(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
+def first_of(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of each query."""
+    found = found.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+    return found[found.groupby("query_id").cumcount() < k]
+
+
+def best_of_slices(k: int, parts: int, at_once: int):
+    """A group's queries come first in its batches, then its rows."""
+
+    def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asking, queries, visited, kept = [], None, None, None
+        for frame in frames:
+            asks = frame["parts"].notna()
+            if asks.any():
+                if queries is not None:
+                    raise ValueError("queries after rows")
+                asking.append(frame[asks])
+            rows = frame[~asks]
+            if not len(rows) or not asking:
+                continue
+            if queries is None:
+                queries = pd.concat(asking)
+                visited = np.zeros((len(queries), parts), bool)
+                for i, chosen in enumerate(queries["parts"]):
+                    visited[i, np.asarray(chosen, dtype=np.int64)] = True
+            for low in range(0, len(rows), at_once):
+                found = best_of(queries, rows.iloc[low : low + at_once], k, visited)
+                if len(found):
+                    kept = first_of(found if kept is None else pd.concat([kept, found]), k)
+        if kept is not None:
+            yield kept
+
+    return each
+
+
 def learn(rows: DataFrame, parts: int) -> tuple[Router, float]:
     """Fit the router in one task, on the ``SAMPLE`` rows with the lowest content hash; its weights reach the driver."""
 
@@ -232,21 +268,17 @@ def search(df: DataFrame, id_column: str = "vec_id", vector: str = "embedding",
     rows = materialize(rows.withColumn("part", _routed(router, scale, None, 0)("vector")[0]), "parts")
     counts = {r[0]: (r[1], r[2]) for r in rows.groupBy("part").agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).collect()}
     sizes = np.array([counts.get(p, (0, 0))[0] for p in range(parts)])
-    asks = rows.where("asks").select("id", "vector", F.explode(_routed(router, scale, sizes, 5 * k)("vector")).alias("part"))
-    # A part's rows and queries are dealt to blocks by their id; numbers of blocks come from counts of the parts.
-    n_queries = max(1, sum(c for _, c in counts.values()))
-    by_part = F.create_map(*[F.lit(int(v)) for p in range(parts) for v in (p, -(-sizes[p] // CANDIDATES) or 1)])
-    query_blocks = -(-n_queries // QUERIES)
-    blocks = F.sequence(F.lit(0), by_part[F.col("part")] - 1)
-    mod = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    asks = asks.withColumn("qblock", mod(F.lit(query_blocks))).withColumn("block", F.explode(blocks))
-    stored = rows.withColumn("block", mod(by_part[F.col("part")])).withColumn("qblock", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    key = ["part", "block", "qblock"]
-
-    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        return best_of(q, c, k) if len(q) and len(c) else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-
-    left, right = asks.select("id", "vector", *key).groupBy(*key), stored.select("id", "vector", *key).groupBy(*key)
-    found = left.cogroup(right).applyInPandas(best, "query_id long, vec_id long, score double")
+    mod = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    query_blocks = max(1, -(-sum(c for _, c in counts.values()) // QUERIES))
+    asks = rows.where("asks").withColumns({"parts": _routed(router, scale, sizes, 5 * k)("vector"), "qblock": mod(query_blocks)})
+    asks = asks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))))
+    stored = rows.withColumns({
+        "parts": F.lit(None).cast("array<int>"), "qblock": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))), "slice": mod(SLICES),
+    })
+    columns = ["id", "vector", "part", "parts", "qblock", "slice"]
+    met = asks.select(*columns).unionByName(stored.select(*columns)).repartition("qblock", "slice")
+    # Within a group queries lie before rows; the task fails if they do not.
+    met = met.sortWithinPartitions("qblock", "slice", F.col("parts").isNull())
+    found = met.groupBy("qblock", "slice").applyInPandas(best_of_slices(k, parts, CANDIDATES), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

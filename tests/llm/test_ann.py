@@ -59,3 +59,20 @@ def test_recall_and_scores(spark, monkeypatch, clustered):
     for q, found in got.items():
         assert [s for _, s in found] == [float((exact[i] * exact[q]).sum()) for i, _ in found]
         assert found == sorted(found, key=lambda f: (-f[1], f[0]))
+
+
+def test_a_slice_gives_out_at_most_k_rows_a_query(spark, monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(ann, "QUERIES", 7)
+    rng = np.random.default_rng(4)
+    ids, x = np.arange(300), rng.integers(-3, 4, (300, 4)).astype(float) + 0.5
+    assert results(frame(spark, ids, x)) == brute(ids, x)
+    queries = pd.DataFrame({"id": [0, 20], "vector": [x[0], x[20]], "part": [0, 0], "parts": [[0, 1], [1]]})
+    rows = pd.DataFrame({"id": ids, "vector": list(x), "part": ids % 3, "parts": None})
+    found = pd.concat(ann.best_of_slices(5, 3, 16)(iter([queries, rows[:100], rows[100:]])))
+    assert found.groupby("query_id").size().to_dict() == {0: 5, 20: 5}
+    for q, parts in ((0, [0, 1]), (20, [1])):
+        allowed = [i for i in ids if i % 3 in parts and i != q]
+        best = sorted(allowed, key=lambda i: (-(x[i] * x[q]).sum(), i))[:5]
+        assert found[found.query_id == q].vec_id.tolist() == best
