@@ -239,6 +239,8 @@ def polygons_touching(
 
 
 _LEVELS = 11
+#: Parts of rows that are about to be copied to 27 cells: few rows make many.
+_PARTS = 64
 
 
 def _leveled(df: DataFrame) -> DataFrame:
@@ -285,17 +287,19 @@ def nearest_neighbours(
     cell = [*keys, "_level", "_cx", "_cy", "_cz"]
     counts = source_cells.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
     asked = place(queries.select(*keys, unit, "lat", "lon", "max_km"))
-    around = _around(_leveled(asked))
-    per_level = around.join(counts, cell).groupBy(*keys, unit, "_level").agg(F.sum("_n").alias("_n"))
-    level = per_level.groupBy(*keys, unit).agg(
-        F.greatest(F.lit(0), F.coalesce(F.max(F.when(F.col("_n") > k, F.col("_level"))), F.lit(0)) - 2).alias("_level")
-    )
-    at_level = asked.join(level, [*keys, unit]).withColumns(
+    # Neighbourhoods are counted once per occupied cell; a query meets only its own cell of each level.
+    own = _leveled(asked).select(*cell, unit)
+    home = F.struct("_cx", "_cy", "_cz").alias("_home")
+    around = _around(own.select(*cell).repartition(_PARTS, *cell).distinct().select("*", home))
+    per_cell = around.join(counts, cell).groupBy(*keys, "_level", "_home").agg(F.sum("_n").alias("_n")).where(F.col("_n") > k)
+    crowded = per_cell.select(*keys, "_level", "_home.*")
+    level = own.join(crowded, cell).groupBy(*keys, unit).agg(F.greatest(F.lit(0), F.max("_level") - 2).alias("_level"))
+    at_level = asked.join(level, [*keys, unit], "left").withColumn("_level", F.coalesce("_level", F.lit(0))).withColumns(
         {f"_c{a}": F.floor(F.col(f"_{a}") * F.pow(F.lit(2.0), F.col("_level")) / F.col("max_km")).cast("long") for a in "xyz"}
     )
     km = G.haversine_km(F.col("lat"), F.col("lon"), F.col("_slat"), F.col("_slon"))
     candidates = (
-        _around(at_level)
+        _around(at_level.repartition(_PARTS, *keys, unit))
         .join(source_cells, cell)
         .withColumn("km", km)
         .where(F.col("km") <= F.col("max_km"))
