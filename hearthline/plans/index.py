@@ -210,8 +210,15 @@ def component_scores(parts: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def composite(scores: DataFrame, settings: P.Settings, k: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Steps 9 and 10: sum per county, calibrate k, scale to 100 + k·S."""
-    return scaled(scores.groupBy(*UNIT).agg(F.sum("score").alias("raw_composite")), settings, k)
+    """Steps 9 and 10: sum per county, calibrate k, scale to 100 + k·S.
+
+    A county's scores are added in the order of their components: counties with equal scores then have equal sums,
+    whatever order their rows arrive in, and share their rank.
+    """
+    entries = F.collect_list(F.when(F.col("score").isNotNull(), F.struct("component", "score")))
+    listed = scores.groupBy(*UNIT).agg(F.array_sort(entries).alias("_entries"))
+    total = F.aggregate("_entries", F.lit(0.0), lambda acc, e: acc + e["score"])
+    return scaled(listed.select(*UNIT, F.when(F.size("_entries") > 0, total).alias("raw_composite")), settings, k)
 
 
 def scaled(raw: DataFrame, settings: P.Settings, k: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

@@ -128,12 +128,11 @@ def left_out(parts: DataFrame, weights: dict[str, float]) -> DataFrame:
     """
     total = sum(weights.values())
     names = list(jackknife_schemes(weights))
-    weight = P.lookup(weights, F.col("component"), 0.0)
-    # One row per county; a component without a value weighs nothing.
+    # One row per county; a component without a value weighs nothing.  Sums have a fixed order, so equal counties tie.
     scored = parts.groupBy("fips").agg(
-        F.sum(F.col("value") * weight).alias("_all"),
-        *[F.sum(F.when(F.col("component") == c, F.col("value") * F.lit(weights[c]))).alias(f"_at_{c}") for c in names],
+        *[F.sum(F.when(F.col("component") == c, F.col("value") * F.lit(w))).alias(f"_at_{c}") for c, w in weights.items()]
     )
+    scored = scored.withColumn("_all", reduce(lambda x, y: x + y, [F.coalesce(f"_at_{c}", F.lit(0.0)) for c in weights]))
     rest = [
         F.struct(
             F.lit(c).alias("scenario"),
