@@ -10,8 +10,9 @@ blanking each of its four places in turn: any pair in range is equal in one of 5
 every such pair; the signature distance, a longer signature of single bits and then the whole sets decide.
 
 Groups of many near copies do not become all their pairs.  First every text is linked to the nearest of the smallest
-and greatest texts of its views, in several rounds of components; then only texts of different components are joined,
-in each view those outside its largest component with the others.
+and greatest texts of its views, in several rounds of components.  Where a view still has many pairs across components,
+its texts outside the largest one are linked to the nearest of some members of that one, drawn anew each round.  Then
+only texts of different components are joined, in each view those outside its largest component with the others.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ CHUNKS, LANES, BITS = 14, 4, 16
 MAX_DISTANCE = 2 * CHUNKS - 1
 #: Rounds of linking texts to the least and greatest text of their views.
 ROUNDS = 3
+#: Rounds of linking texts to drawn members of the largest component of a view, members a text meets in one round, and
+#: the pairs across components from which on a view takes part.  The join after them leaves no pair out.
+DRAWS, DRAWN, CROWDED = 3, 16, 256
 SEED = 42
 _DRAWN = np.random.default_rng(SEED)
 FACTORS = _DRAWN.integers(1, 1 << 63, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -227,16 +231,24 @@ def links(classes: DataFrame, texts: DataFrame, words: int, steps: Steps, known:
     steps.drop("ends", "pairs", "hashes", "wanted")
     if found is None:
         return spark.createDataFrame([], "node binary, root binary")
-    rooted = members.select("key", "place", "view").join(roots.withColumnRenamed("node", "key"), "key", "left")
-    rooted = steps.store(rooted.withColumn("root", F.coalesce("root", "key")), "rooted")
+    rooted = steps.store(_rooted(members.select("key", "place", "view"), roots), "rooted")
     steps.drop("members")
-    counted = rooted.groupBy("view", "root").agg(F.count("*").alias("n"))
-    largest = counted.groupBy("view").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
-    mixed = steps.store(rooted.join(largest.where("roots > 1").drop("roots"), "view"), "mixed")
+    mixed = steps.store(_mixed(rooted).drop("root", "main", "across"), "mixed")
     steps.drop("rooted")
     fine = _with_sets(mixed.select("key").distinct(), classes, texts, words, fine_signature, "fine", steps)
     brief = F.slice("fine", 1, BRIEF_WORDS).alias("brief"), F.slice("fine", BRIEF_WORDS + 1, FINE_BITS // 64).alias("rest")
-    mixed = mixed.join(fine.select("key", *brief).join(classes.select("key", "size", "words"), "key"), "key")
+    fine = fine.select("key", *brief)
+    for turn in range(DRAWS):
+        best = steps.store(_drawn(_mixed(_rooted(mixed, roots)), fine, signed, tested, turn), f"drawn{turn}")
+        if not best.take(1):
+            break
+        tested = tested.unionByName(best)
+        pairs = best.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
+        good = steps.store(_verified(steps.store(pairs, "pairs"), classes, texts, words, steps), f"fit{turn}")
+        if good.take(1):
+            found = found.unionByName(good)
+            roots = steps.store(components(found), f"drawn_roots{turn}")
+    mixed = _mixed(_rooted(mixed, roots)).join(fine.join(classes.select("key", "size", "words"), "key"), "key")
     mixed = steps.store(mixed, "signed")
     a, b = mixed.where("root <> main").alias("a"), mixed.alias("b")
     close = (
@@ -260,6 +272,37 @@ def links(classes: DataFrame, texts: DataFrame, words: int, steps: Steps, known:
     return roots
 
 
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of ``key`` with the ``root`` of its component."""
+    joined = rows.join(roots.withColumnRenamed("node", "key"), "key", "left")
+    return joined.withColumn("root", F.coalesce("root", "key"))
+
+
+def _mixed(rooted: DataFrame) -> DataFrame:
+    """Rows of views with several roots, the largest one as ``main`` and the pairs ``across`` that it makes."""
+    counted = rooted.groupBy("view", "root").agg(F.count("*").alias("n"))
+    most = F.max(F.struct("n", "root")).alias("most")
+    largest = counted.groupBy("view").agg(most, F.sum("n").alias("rows"), F.count("*").alias("roots")).where("roots > 1")
+    across = F.col("most.n") * (F.col("rows") - F.col("most.n"))
+    return rooted.join(largest.select("view", F.col("most.root").alias("main"), across.alias("across")), "view")
+
+
+def _drawn(mixed: DataFrame, fine: DataFrame, signed: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
+    """``(key, end)``: of each text outside the largest component of a crowded view the nearest drawn member not tested."""
+    crowded = mixed.where(F.col("across") >= CROWDED)
+    order = F.xxhash64("key", "view", F.lit(turn))
+    members = crowded.where("root = main").groupBy("view").agg(F.min_by("key", order).alias("low"), F.max_by("key", order).alias("high"))
+    met = crowded.where("root <> main").select("key", "view").join(members, "view")
+    met = met.groupBy("key").agg(F.array_union(F.collect_set("low"), F.collect_set("high")).alias("ends"))
+    some = F.slice(F.array_sort(F.transform("ends", lambda e: F.struct(F.xxhash64(e, "key", F.lit(turn)).alias("at"), e.alias("end")))), 1, DRAWN)
+    met = met.select("key", F.explode(F.transform(some, lambda e: e["end"])).alias("end")).join(tested, ["key", "end"], "left_anti")
+    known = fine.join(signed.select("key", "size"), "key").select("key", F.struct("size", "brief", "rest").alias("x"))
+    both = met.join(known, "key").join(known.select(F.col("key").alias("end"), F.col("x").alias("y")), "end")
+    far = fine_distance("x", "y", "brief") + fine_distance("x", "y", "rest")
+    near = both.where(_sized("x", "y") & (fine_distance("x", "y", "brief") <= MAX_BRIEF) & (far <= MAX_FINE))
+    return near.groupBy("key").agg(F.min_by("end", F.struct(far, "end")).alias("end"))
+
+
 def _across(pairs: DataFrame, roots: DataFrame, a: str, b: str) -> DataFrame:
     """Those of ``pairs`` whose two ends are not of one component yet."""
     one = roots.select(F.col("node").alias(a), F.col("root").alias("_one"))

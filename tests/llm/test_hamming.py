@@ -144,3 +144,28 @@ def test_long_signature_keeps_pairs_at_the_limit():
             assert abs(far / 1536 - (1 - s)) < 0.08
             assert s < 0.8 or far <= hamming.MAX_FINE
             assert s < 0.8 or np.unpackbits((x ^ y)[: 8 * hamming.BRIEF_WORDS]).sum() <= hamming.MAX_BRIEF
+
+
+def test_texts_far_from_the_ends_of_their_views_are_linked_before_the_join(spark, monkeypatch):
+    """The last join made 6,312 pairs here, most of texts that a few more links put into one component."""
+    draw, left = random.Random(7), []
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(360):
+        words = list(base)
+        for j, at in enumerate(draw.sample(range(80), 1 + i % 4)):
+            words[at] = f"x{i}n{j}"
+        texts.append((i, " ".join(words)))
+    store = hamming.Steps.store
+
+    def counted(self, df, name):
+        out = store(self, df, name)
+        if name == "pairs":
+            left.append(out.count())
+        return out
+
+    monkeypatch.setattr(hamming.Steps, "store", counted)
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in hamming.near_duplicates(rows).collect()}
+    assert got == {d: c for d, _, c, _ in brute(texts, 2)}
+    assert left[-1] < 4000
