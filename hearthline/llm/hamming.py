@@ -37,7 +37,7 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 ROUNDS = 3
 #: Rounds of linking texts to drawn members of the largest component of a view, members a text meets in one round, and
 #: the pairs across components from which on a view takes part.  The join after them leaves no pair out.
-DRAWS, DRAWN, CROWDED = 3, 16, 256
+DRAWS, DRAWN, CROWDED = 2, 16, 1024
 SEED = 42
 _DRAWN = np.random.default_rng(SEED)
 FACTORS = _DRAWN.integers(1, 1 << 63, CHUNKS * LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
