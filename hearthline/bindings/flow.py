@@ -10,7 +10,7 @@ from hearthline.bindings.registry import query, rounded, rounded_sql
 from hearthline.operators import rollups
 from hearthline.plans import components as K
 from hearthline.plans import harmonize as H
-from hearthline.storage import scratch_path
+from hearthline.storage import materialize, scratch_path
 
 _DD = "hdd_annual cdd_annual hdd_anomaly cdd_anomaly"
 DEGREE_DAYS_SQL = T.with_roles("station_year", "normal_year", "stations") + rounded_sql(
@@ -276,7 +276,7 @@ def storm_events_clean(spark, d):
 
 def component_tables(spark, d) -> dict:
     """Yearly component tables cut from the bound panel, as a transform run leaves them."""
-    panel = T.panel(spark, d)
+    panel = materialize(T.panel(spark, d), "panel")
     pick = lambda source, *columns: panel.select("fips", "year", *columns)
     return {
         "degree_days": panel.select(

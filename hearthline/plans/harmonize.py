@@ -75,6 +75,8 @@ def idw_gap_fill(
 ) -> DataFrame:
     """Gaps of the measured components filled from near counties of the same year."""
     names = [c for c in (components or P.IDW_COMPONENTS) if c in panel.columns]
+    # Coverage, gaps and the filled result all read the panel.
+    panel = materialize(panel, "gapped")
     limits = max_km or P.IDW_MAX_KM
     reach = P.lookup({c: float(limits.get(c, P.IDW_MAX_KM_DEFAULT)) for c in names}, F.col("component"))
     places = dedup_first(centroids.select("fips", "lat", "lon"), ["fips"], ["lat", "lon"])
