@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hearthline import params as P
 from hearthline.functions import columns as C
 from hearthline.operators.order_stats import quantiles
+from hearthline.storage import materialize
 
 
 def rolling_median_baseline(daily: DataFrame, value: str = "daily_pm25", rows: int = P.SMOKE_WINDOW_ROWS) -> DataFrame:
@@ -122,14 +123,31 @@ def theil_sen(
     columns among the keys.  Units with too few years get NULL; a component with
     fewer than two years anywhere gets 0 for every unit.
     """
+    return window_slopes(panel_long, registry, scoring_year, keys, min_completeness).drop("window")
+
+
+def window_slopes(
+    panel_long: DataFrame, registry: DataFrame, scoring_year: int, keys: list[str], min_completeness: float = 0.8
+) -> DataFrame:
+    """``theil_sen`` where ``registry`` may give a component several windows: adds ``window``.
+
+    The points of a unit are gathered once and cut to each window there.
+    """
     scenario = [k for k in keys if k != "fips"]
-    windowed = panel_long.where(F.col("value").isNotNull()).join(
-        registry.select("component", "window", *[c for c in registry.columns if c in scenario]),
-        [*[c for c in registry.columns if c in scenario], "component"],
-    ).where(F.col("year").between(scoring_year - F.col("window") + 1, scoring_year))
+    given = [*[c for c in registry.columns if c in scenario], "component"]
+    spans = registry.groupBy(*given).agg(F.collect_set("window").alias("_windows"))
+    windowed = panel_long.where(F.col("value").isNotNull()).join(spans, given).where(
+        F.col("year").between(scoring_year - F.array_max("_windows") + 1, scoring_year)
+    )
+    inside = lambda year: year > scoring_year - F.col("window")
     # A unit has at most ``window`` points per component, so the list is short.
-    grouped = windowed.groupBy(*keys, "component", "window").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("year").cast("double").alias("t"), F.col("value").alias("v")))).alias("_points")
+    point = F.struct(F.col("year").cast("double").alias("t"), F.col("value").alias("v"))
+    grouped = (
+        windowed.groupBy(*keys, "component")
+        .agg(F.sort_array(F.collect_list(point)).alias("_all"), F.first("_windows").alias("_windows"))
+        .withColumn("window", F.explode("_windows"))
+        .withColumn("_points", F.filter("_all", lambda p: inside(p["t"])))
+        .where(F.size("_points") > 0)
     )
     points = F.col("_points")
     slopes = F.flatten(
@@ -140,18 +158,22 @@ def theil_sen(
             ),
         )
     )
-    ordered = F.array_sort(slopes)
+    ordered = F.sort_array(slopes)
     size = F.size("_slopes")
     middle = (
         F.get("_slopes", F.floor((size - 1) / 2).cast("int")) + F.get("_slopes", F.floor(size / 2).cast("int"))
     ) / 2.0
     enough = F.greatest(F.lit(2), F.ceil(F.col("window") * min_completeness))
-    years = windowed.groupBy(*scenario, "component").agg(F.count_distinct("year").alias("_years"))
+    # One row per year of a component before its windows are counted.
+    seen = windowed.groupBy(*scenario, "component", "year").agg(F.first("_windows").alias("_windows"))
+    years = seen.withColumn("window", F.explode("_windows")).where(inside(F.col("year"))).groupBy(
+        *scenario, "component", "window"
+    ).agg(F.count(F.lit(1)).alias("_years"))
     return (
         grouped.withColumn("_slopes", ordered)
         .withColumn("slope", F.when((F.size("_points") >= enough) & (size > 0), middle))
-        .join(years, [*scenario, "component"])
-        .select(*keys, "component", F.when(F.col("_years") < 2, F.lit(0.0)).otherwise(F.col("slope")).alias("slope"))
+        .join(years, [*scenario, "component", "window"])
+        .select(*keys, "component", "window", F.when(F.col("_years") < 2, F.lit(0.0)).otherwise(F.col("slope")).alias("slope"))
     )
 
 
@@ -164,6 +186,8 @@ def acceleration_multipliers(
     median near zero switches from the ratio to the difference form.
     """
     group = [*scenario, "component"]
+    # Read for the deviation, the median and the result.
+    slopes = materialize(slopes, "slopes")
     spread = slopes.groupBy(*group).agg(F.stddev_samp("slope").alias("sigma"))
     medians = quantiles(slopes, group, "slope", {"median": 0.5})
     joined = slopes.join(spread, group).join(medians, group, "left")

@@ -167,11 +167,18 @@ def accelerations(
     panel: DataFrame, components: list[str], settings: P.Settings, registry_table: DataFrame
 ) -> DataFrame:
     """Step 6: trend multipliers from the untransformed multi-year values."""
+    return window_accelerations(panel, components, settings, registry_table).drop("window")
+
+
+def window_accelerations(
+    panel: DataFrame, components: list[str], settings: P.Settings, registry_table: DataFrame
+) -> DataFrame:
+    """Trend multipliers where ``registry_table`` may give a component several windows: adds ``window``."""
     wide = panel.select(*UNIT, "year", *[F.col(c).cast("double").alias(c) for c in components])
     long = wide.unpivot([*UNIT, "year"], components, "component", "value")
-    slopes = windows.theil_sen(long, registry_table, settings.scoring_year, UNIT, settings.min_completeness)
+    slopes = windows.window_slopes(long, registry_table, settings.scoring_year, UNIT, settings.min_completeness)
     return windows.acceleration_multipliers(
-        slopes, ["scenario"], settings.accel_low, settings.accel_high, settings.accel_epsilon
+        slopes, ["scenario", "window"], settings.accel_low, settings.accel_high, settings.accel_epsilon
     )
 
 
@@ -218,7 +225,9 @@ def composite(scores: DataFrame, settings: P.Settings, k: DataFrame | None = Non
     entries = F.collect_list(F.when(F.col("score").isNotNull(), F.struct("component", "score")))
     listed = scores.groupBy(*UNIT).agg(F.array_sort(entries).alias("_entries"))
     total = F.aggregate("_entries", F.lit(0.0), lambda acc, e: acc + e["score"])
-    return scaled(listed.select(*UNIT, F.when(F.size("_entries") > 0, total).alias("raw_composite")), settings, k)
+    # The scale is taken from the same sums that it is applied to.
+    raw = materialize(listed.select(*UNIT, F.when(F.size("_entries") > 0, total).alias("raw_composite")), "composite")
+    return scaled(raw, settings, k)
 
 
 def scaled(raw: DataFrame, settings: P.Settings, k: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

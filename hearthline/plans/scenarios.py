@@ -375,7 +375,10 @@ def window_sensitivity(ready: I.Prepared | Shared, settings: P.Settings, lengths
     ]
     table = reduce(lambda a, b: a.unionByName(b), tables)
     fan = lambda df: df.drop("scenario").withColumn("scenario", F.explode(F.array(*[F.lit(str(w)) for w in lengths])))
-    accel = materialize(I.accelerations(fan(ready.panel), ready.components, settings, table), "windows")
+    # A component's trend depends on its window alone; scenarios share those of equal windows.
+    table = table.where(F.col("component").isin(ready.components))
+    moved = I.window_accelerations(ready.panel, ready.components, settings, table.select("component", "window").distinct())
+    accel = materialize(moved.drop("scenario").join(table, ["component", "window"]), "windows")
     penalties = fan(ready.penalties)
     parts = I.component_scores(I.contributions(fan(ready.centered), penalties, accel), weights)
     scored, _ = I.composite(parts, settings)

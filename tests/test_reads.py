@@ -1,7 +1,10 @@
 """Steps that read their input once, however many results use it."""
 
+from hearthline import params as P
 from hearthline.bindings import flow
+from hearthline.operators import windows
 from hearthline.plans import harmonize as H
+from hearthline.plans import index as I
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -30,3 +33,26 @@ def test_gap_fill_computes_its_panel_once(spark):
     filled = H.idw_gap_fill(panel, centres).collect()
     assert [round(r.pm25_annual, 9) for r in filled] == [5.0] * 12 and sum(r.pm25_annual__gap_filled for r in filled) == 4
     assert seen.value == 12
+
+
+def test_trend_step_computes_its_panel_once(spark):
+    rows = [(c, f"{i:05d}", y, float(i * y % 7 + i)) for c in ("storm_severity", "pm25_annual") for i in range(6) for y in range(1994, 2001)]
+    long = spark.createDataFrame(rows, "component string, fips string, year int, value double")
+    wide = long.groupBy("fips", "year").pivot("component", ["storm_severity", "pm25_annual"]).sum("value")
+    panel, seen = counted(spark, wide)
+    panel = I.with_scenario(panel)
+    once = I.accelerations(panel, ["storm_severity", "pm25_annual"], P.Settings(scoring_year=2000), P.registry_frame(spark))
+    assert once.count() == 12 and once.where("acceleration is not null").count() == 12
+    # The points, and the years that occur.
+    assert seen.value <= 2 * 42
+
+
+def test_several_windows_in_one_run_equal_single_runs(spark):
+    rows = [(c, f"{i:05d}", "p", y, float(i * y % 5 - i)) for c in ("storm_severity", "pm25_annual") for i in range(5) for y in range(1994, 2001) if (i + y) % 4]
+    long = spark.createDataFrame(rows, "component string, fips string, scenario string, year int, value double")
+    spans = spark.createDataFrame([(c, w) for c in ("storm_severity", "pm25_annual") for w in (2, 4, 7)], "component string, window int")
+    together = windows.window_slopes(long, spans, 2000, I.UNIT)
+    for w in (2, 4, 7):
+        alone = windows.theil_sen(long, spans.where(f"window = {w}"), 2000, I.UNIT)
+        mine = together.where(f"window = {w}").select(*alone.columns)
+        assert sorted(map(tuple, mine.collect()), key=str) == sorted(map(tuple, alone.collect()), key=str)
