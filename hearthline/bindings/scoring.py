@@ -372,8 +372,8 @@ _ROBUST = steps("pairs") + ",\n" + ",\n".join([PAIR_ROWS_SQL, SPEARMAN_SQL, DCOR
 
 @query("correlation_robustness", _ROBUST + rounded_sql("SELECT a, b, method, r, round(abs(r), 12) > 0.6 AS flagged FROM methods WHERE r IS NOT NULL", "r"))
 def correlation_robustness(spark, d):
-    base = ready(spark, d)
-    return rounded(plain(I.correlation_robustness(base.centered, T.COMPONENTS, 0.6)), "r")
+    stored = materialize(centered(spark, d), "centered")
+    return rounded(plain(I.correlation_robustness(stored, T.COMPONENTS, 0.6)), "r")
 
 
 @query(
@@ -383,8 +383,8 @@ def correlation_robustness(spark, d):
     WHERE r IS NOT NULL GROUP BY ALL HAVING n_methods >= 2 AND n_flagged > 0 AND n_flagged < n_methods""",
 )
 def correlation_discrepancies(spark, d):
-    base = ready(spark, d)
-    methods = I.correlation_robustness(base.centered, T.COMPONENTS, 0.15)
+    stored = materialize(centered(spark, d), "centered")
+    methods = I.correlation_robustness(stored, T.COMPONENTS, 0.15)
     return plain(I.correlation_discrepancies(methods)).drop("methods")
 
 

@@ -1,7 +1,7 @@
 """Steps that read their input once, however many results use it."""
 
 from hearthline import params as P
-from hearthline.bindings import flow
+from hearthline.bindings import flow, scoring
 from hearthline.operators import windows
 from hearthline.plans import harmonize as H
 from hearthline.plans import index as I
@@ -56,3 +56,11 @@ def test_several_windows_in_one_run_equal_single_runs(spark):
         alone = windows.theil_sen(long, spans.where(f"window = {w}"), 2000, I.UNIT)
         mine = together.where(f"window = {w}").select(*alone.columns)
         assert sorted(map(tuple, mine.collect()), key=str) == sorted(map(tuple, alone.collect()), key=str)
+
+
+def test_correlations_take_no_trends(spark, monkeypatch):
+    def unused(*_):
+        raise AssertionError("correlations do not depend on trends")
+
+    monkeypatch.setattr(I, "accelerations", unused)
+    assert scoring.correlation_robustness(spark, SMALL).count() > 0
