@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.storage import materialize
+from hearthline.storage import discard, materialize, scratch_path
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -23,13 +23,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps alternate.  Each step is a grouped minimum and a join on the node, so a
     node with very many links is pre-aggregated on one side and split by adaptive execution on the other.
-    Each round is written to the shared folder; only two numbers per round reach the driver.
+    Each round is written to the shared folder in place of the one before; only two numbers per round reach the driver.
     """
+    spark = links.sparkSession
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = materialize(edges, "links")
+    edges = materialize(edges, "links", path := scratch_path(spark, "links"))
     mark = _mark(edges)
     while mark[0]:
-        edges = materialize(_small_star(_large_star(edges)), "links")
+        old, path = path, scratch_path(spark, "links")
+        edges = materialize(_small_star(_large_star(edges)), "links", path)
+        discard(spark, old)
         before, mark = mark, _mark(edges)
         if mark == before:
             break
