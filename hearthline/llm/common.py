@@ -21,33 +21,32 @@ def exact_sum(column) -> F.Column:
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a, b)``: rows ``(node, root)``, root the smallest node, roots left out.
 
-    Large-star and small-star steps alternate.  Each step is a grouped minimum and a join on the node, so a
-    node with very many links is pre-aggregated on one side and split by adaptive execution on the other.
-    Each round is written to the shared folder in place of the one before; only two numbers per round reach the driver.
+    Large-star and small-star steps alternate until every node has one link, to a node that has none.  Each step is a
+    grouped minimum and a join on the node, so a node with very many links is pre-aggregated on one side and split by
+    adaptive execution on the other.  Each round is written to the shared folder in place of the one before; only one
+    row of counts per round reaches the driver.
     """
     spark = links.sparkSession
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "links", path := scratch_path(spark, "links"))
-    mark = _mark(edges)
-    while mark[0]:
+    while not _flat(edges):
         old, path = path, scratch_path(spark, "links")
         edges = materialize(_small_star(_large_star(edges)), "links", path)
         discard(spark, old)
-        before, mark = mark, _mark(edges)
-        if mark == before:
-            break
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """Number and checksum of the links: equal before and after a round means nothing moved."""
-    return tuple(edges.agg(F.count("*"), exact_sum(F.xxhash64("a", "b"))).first())
+def _flat(edges: DataFrame) -> bool:
+    """Whether every ``a`` has one link only and is no other node's ``b``; then all links are those of components."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+    counted = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n"))
+    return not counted.where("up > 1 or up = 1 and n > 1").agg(F.count("*")).first()[0]
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:

@@ -211,10 +211,10 @@ def links(classes: DataFrame, texts: DataFrame, words: int, steps: Steps, known:
     ends = ends.join(signed.select(F.col("key").alias("end"), F.struct("size", *WORDS).alias("y")), "end")
     near = ends.where(_sized("x", "y") & (distance("x", "y") <= MAX_DISTANCE))
     near = steps.store(near.select(F.col("x.key").alias("key"), "end", distance("x", "y").alias("far")), "ends")
-    found, tested, roots = None, None, None
+    tested, roots = None, None
     if known is not None and known.take(1):
-        found = steps.store(_verified(known, classes, texts, words, steps), "given")
-        roots = steps.store(components(found), "given_roots")
+        given = steps.store(_verified(known, classes, texts, words, steps), "given")
+        roots = steps.store(components(given), "given_roots")
         tested = known.select(F.col("a").alias("key"), F.col("b").alias("end"))
         tested = tested.unionByName(known.select(F.col("b").alias("key"), F.col("a").alias("end")))
     for turn in range(ROUNDS):
@@ -226,10 +226,9 @@ def links(classes: DataFrame, texts: DataFrame, words: int, steps: Steps, known:
         tested = best if tested is None else tested.unionByName(best)
         pairs = best.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
         good = steps.store(_verified(steps.store(pairs, "pairs"), classes, texts, words, steps), f"good{turn}")
-        found = good if found is None else found.unionByName(good)
-        roots = steps.store(components(found), f"roots{turn}")
+        roots = _linked(roots, good, f"roots{turn}", steps)
     steps.drop("ends", "pairs", "hashes", "wanted")
-    if found is None:
+    if roots is None:
         return spark.createDataFrame([], "node binary, root binary")
     rooted = steps.store(_rooted(members.select("key", "place", "view"), roots), "rooted")
     steps.drop("members")
@@ -246,8 +245,7 @@ def links(classes: DataFrame, texts: DataFrame, words: int, steps: Steps, known:
         pairs = best.select(F.least("key", "end").alias("a"), F.greatest("key", "end").alias("b")).distinct()
         good = steps.store(_verified(steps.store(pairs, "pairs"), classes, texts, words, steps), f"fit{turn}")
         if good.take(1):
-            found = found.unionByName(good)
-            roots = steps.store(components(found), f"drawn_roots{turn}")
+            roots = _linked(roots, good, f"drawn_roots{turn}", steps)
     mixed = _mixed(_rooted(mixed, roots)).join(fine.join(classes.select("key", "size", "words"), "key"), "key")
     mixed = steps.store(mixed, "signed")
     a, b = mixed.where("root <> main").alias("a"), mixed.alias("b")
@@ -266,12 +264,26 @@ def links(classes: DataFrame, texts: DataFrame, words: int, steps: Steps, known:
     rest = steps.store(rest.join(old, ["a", "b"], "left_anti"), "pairs")
     steps.drop("mixed", "signed", "fine")
     if rest.take(1):
-        found = found.unionByName(steps.store(_verified(rest, classes, texts, words, steps), "good"))
-        roots = steps.store(components(found), "roots")
+        good = steps.store(_verified(rest, classes, texts, words, steps), "good")
+        roots = _linked(roots, good, "roots", steps)
     steps.drop("wanted", "hashes", "pairs")
     return roots
 
 
+def _linked(roots: DataFrame | None, good: DataFrame, name: str, steps: Steps) -> DataFrame:
+    """Stored components after the links ``good(a, b)``: only the roots that they join are linked anew."""
+    if roots is None:
+        return steps.store(components(good), name)
+    ends = good
+    for end in "ab":
+        of = roots.select(F.col("node").alias(end), F.col("root").alias("_root"))
+        ends = ends.join(of, end, "left").withColumn(end, F.coalesce("_root", end)).drop("_root")
+    merged = steps.store(components(ends), "merged")
+    to = merged.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    moved = roots.join(to, "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
+    return steps.store(moved.unionByName(merged), name)
+
+
 def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of ``key`` with the ``root`` of its component."""
     joined = rows.join(roots.withColumnRenamed("node", "key"), "key", "left")

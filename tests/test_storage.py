@@ -44,3 +44,26 @@ def test_rounds_of_components_replace_each_other(spark):
     found = {(r.node, r.root) for r in components(chain).collect()}
     assert found == {(i, 0) for i in range(1, 41)} | {(101, 100)}
     assert len(link_tables(spark) - before) == 1
+
+
+def test_components_stop_at_the_first_flat_round(spark, monkeypatch):
+    from hearthline.llm import common
+
+    rounds = []
+    monkeypatch.setattr(common, "_small_star", lambda edges, f=common._small_star: rounds.append(1) or f(edges))
+    star = spark.createDataFrame([(0, i) for i in range(1, 30)], "a long, b long")
+    assert {(r.node, r.root) for r in components(star).collect()} == {(i, 0) for i in range(1, 30)}
+    assert not rounds
+    links = [(5, 9), (7, 9), (9, 9), (3, 7), (20, 21), (21, 22), (20, 22), (5, 9)]
+    found = {(r.node, r.root) for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert found == {(5, 3), (7, 3), (9, 3), (21, 20), (22, 20)}
+
+
+def test_new_links_join_components_by_their_roots(spark):
+    from hearthline.llm import hamming
+
+    steps = hamming.Steps(spark)
+    roots = spark.createDataFrame([(2, 1), (3, 1), (11, 10), (31, 30)], "node long, root long")
+    good = spark.createDataFrame([(3, 11), (11, 40), (50, 51), (2, 3)], "a long, b long")
+    found = {(r.node, r.root) for r in hamming._linked(roots, good, "roots", steps).collect()}
+    assert found == {(2, 1), (3, 1), (10, 1), (11, 1), (40, 1), (31, 30), (51, 50)}
