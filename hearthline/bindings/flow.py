@@ -253,13 +253,14 @@ def storm_events_clean(spark, d):
     orders = T.table(spark, d, "orders").join(T.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     kind = F.when(F.col("o_orderstatus") == "F", "c").when(F.col("o_orderstatus") == "O", " Z ").otherwise("M")
     text = lambda c: c.cast("string")
-    key = F.format_string("%05d", F.col("o_orderkey"))
+    # A zone's last three digits are its number and all before them its state, so numbers of any length come together again.
+    key = F.col("o_orderkey")
     zone = F.col("o_orderstatus") == "O"
     details = orders.select(
         text(F.col("o_orderkey")).alias("EVENT_ID"),
-        F.when(zone, F.substring(key, 1, 2)).otherwise(text(F.col("c_nationkey") + 1)).alias("STATE_FIPS"),
+        F.when(zone, text(F.floor(key / 1000))).otherwise(text(F.col("c_nationkey") + 1)).alias("STATE_FIPS"),
         kind.alias("CZ_TYPE"),
-        F.when(zone, F.substring(key, 3, 20)).otherwise(F.lit("7")).alias("CZ_FIPS"),
+        F.when(zone, text(key % 1000)).otherwise(F.lit("7")).alias("CZ_FIPS"),
         F.date_format("o_orderdate", "yyyyMM").alias("BEGIN_YEARMONTH"),
         text(F.dayofmonth("o_orderdate")).alias("BEGIN_DAY"),
         F.col("o_orderpriority").alias("EVENT_TYPE"),
