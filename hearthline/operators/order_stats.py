@@ -5,7 +5,9 @@ a scenario) on one executor.  Here a group is first reduced to a histogram of
 its distinct values, which also removes hot values; the histogram is cut into
 value ranges by approximate quantiles, each range is counted on its own, and
 the small table of range totals is summed up in order.  The approximate cut
-points only balance the work, the counts are exact.
+points only balance the work, the counts are exact.  That holds only if rows
+and totals are cut at the same points, and approximate quantiles depend on the
+order in which their rows arrive, so histogram and cut points are stored.
 
 There is one form for every size: no row count chooses another plan.
 """
@@ -15,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthline.storage import materialize
+
 _STEPS = (128, 64, 32, 16, 8, 4, 2, 1)
 _FRACTIONS = [i / 256 for i in range(1, 256)]
 #: A value held by more than this part of its group's rows is hot.
@@ -40,17 +44,12 @@ def ordered_histogram(
     ``sum_total`` of the values.  NULL values are left out.
     """
     hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    hist = materialize(hist, "histogram")
     measures = {"before": F.col("n")}
     if sums:
         measures["sum_before"] = F.col("n") * F.col(value)
-    # The condition keeps the plan equal to the other uses of the histogram,
-    # so its shuffle is computed once.
-    bounds = (
-        hist.where(F.col("n") > 0)
-        .groupBy(*keys)
-        .agg(F.percentile_approx(value, _FRACTIONS, 2560).alias("_bounds"))
-    )
-    placed = hist.join(bounds, keys).withColumn("_range", _range_of(F.col("_bounds"), F.col(value))).drop("_bounds")
+    bounds = hist.groupBy(*keys).agg(F.percentile_approx(value, _FRACTIONS, 2560).alias("_bounds"))
+    placed = hist.join(materialize(bounds, "bounds"), keys).withColumn("_range", _range_of(F.col("_bounds"), F.col(value))).drop("_bounds")
 
     totals = placed.groupBy(*keys, "_range").agg(*[F.sum(m).alias(f"_{name}") for name, m in measures.items()])
     in_order = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
